@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .minhash import op7_minhash
 from .packing import op9_packing
+from .permutation_index import op4_permutation_index
+from .pii import op8_pii
 from .token_counts import op3_token_counts
+from .topk import OP6_SQL, op6_topk
 from .toxicity import op10_toxicity
 
 
@@ -12,10 +16,14 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op3_token_counts": op3_token_counts,
+        "op4_permutation_index": op4_permutation_index,
+        "op6_topk": op6_topk,
+        "op7_minhash": op7_minhash,
+        "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": OP6_SQL}
