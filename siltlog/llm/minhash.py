@@ -131,8 +131,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, t: int = 3, m: int = 12, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, t: int = 3, m: int | None = None, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept. ``m`` is by default the least that misses under 3 of 100,000 linked pairs."""
+    if m is None:
+        one = lambda m: (1 - (percent / 100) ** t) ** m
+        m = next(m for m in range(1, 200) if 1 - (1 - one(m)) ** 2 < 3e-5)
     stage = Stage(docs.sparkSession, "minhash")
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sketch = stage.put(sketches(own, width, t, m), "sketch")

@@ -80,7 +80,7 @@ class PermutationSearch:
         rows, vecs, scores = [], [], []
         for s in shards:
             n = len(s.ids)
-            depth = max(self.k + 1, int(np.ceil(self.depth * n)))
+            depth = max(self.k + 1, 200, int(np.ceil(self.depth * n)))
             shared = np.empty(n, np.int16)
             for i, order in enumerate(orders):
                 shared[:] = 0
@@ -115,7 +115,7 @@ def choose_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 256, length: int = 96, depth: float = 0.08, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = 4096, tile: int = 256, group_rows: int = 16_384) -> DataFrame:
-    """``depth``: the share of a shard that is reranked for a query, besides ties. ``queries`` has the columns of ``vectors``."""
+    """``depth``: the share of a shard (200 vectors at least) that is reranked for a query, besides ties. ``queries`` has the columns of ``vectors``."""
     own = usable(vectors, id_col, vec_col)
     groups = rows_for(vectors.count(), group_rows, 12)
     first = own.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("vec_id", "v")

@@ -109,23 +109,28 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id and, for each kind, ``<kind>`` (base spans) and ``more_<kind>`` (other proposed spans): arrays of (start, end, votes, ok)."""
     df = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     patterns = {k: (k, p) for k, p in BASE.items()} | {f"more_{k}": (k, p) for k, p in MORE.items()}
-    none = F.array().cast("array<string>")
-    found = {}
-    for name, (_, p) in patterns.items():
-        all_of = F.regexp_extract_all("text", F.lit(p), F.lit(0))
-        if name in NEEDS:
-            some = F.lit(False)
-            for x in NEEDS[name]:
-                some = some | F.contains("text", F.lit(x))
-            all_of = F.when(some, all_of).otherwise(none)
-        found[f"m_{name}"] = all_of
-    df = df.withColumns(found)
-    df = df.withColumns({f"g_{name}": F.when(F.size(f"m_{name}") > 0, F.split("text", p, -1)).otherwise(none) for name, (_, p) in patterns.items()}).drop("text")
+    df = df.withColumns({f"m_{name}": matches(name, p, "text") for name, (_, p) in patterns.items()})
+    df = df.withColumns({f"g_{name}": gaps(f"m_{name}", p, "text") for name, (_, p) in patterns.items()}).drop("text")
     df = df.withColumns({f"s_{name}": starts(name) for name in patterns})
     df = df.select("doc_id", *[spans(name, kind).alias(name) for name, (kind, _) in patterns.items()])
     return df.withColumns({f"more_{kind}": apart(kind) for kind in MORE})
 
 
+def matches(name: str, pattern: str, text: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if name in NEEDS:
+        some = F.lit(False)
+        for x in NEEDS[name]:
+            some = some | F.contains(text, F.lit(x))
+        found = F.when(some, found).otherwise(F.array().cast("array<string>"))
+    return found
+
+
+def gaps(matches_: str, pattern: str, text: str) -> Column:
+    """What lies before, between and behind the matches."""
+    return F.when(F.size(matches_) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
+
+
 def starts(name: str) -> Column:
     m, g = F.col(f"m_{name}"), F.col(f"g_{name}")
     return prefix_sums(F.transform(m, lambda x, i: (F.char_length(g[i]) + F.when(i > 0, F.char_length(m[F.greatest(i - 1, F.lit(0))])).otherwise(0)).cast("long")))
@@ -213,6 +218,30 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(*out)
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with each span, base or accepted, replaced by its kind in angle brackets, kind after kind; null texts stay null.
+
+    A text is put together again from what lies between the matches, so the work is linear in its length.
+    """
+    weights = learn(candidates(docs, id_col, text_col))
+    order = [(k, k, p) for k, p in BASE.items()] + [(f"more_{k}", k, p) for k, p in MORE.items()]
+    for name, kind, pattern in order:
+        docs = docs.withColumn("_m", matches(name, pattern, text_col))
+        docs = docs.withColumn("_g", gaps("_m", pattern, text_col))
+        docs = docs.withColumn(text_col, F.when(F.size("_m") > 0, refilled(name, kind, weights)).otherwise(F.col(text_col))).drop("_m", "_g")
+    return docs
+
+
+def refilled(name: str, kind: str, weights: dict[str, list[float]]) -> Column:
+    m, g, more = F.col("_m"), F.col("_g"), accepts(weights[kind])
+
+    def piece(x: Column, i: Column) -> Column:
+        goes = valid(kind, x) if name in BASE else more(F.struct(votes(kind, x, g[i], g[i + 1]).alias("votes"), valid(kind, x).alias("ok")))
+        return F.concat(g[i], F.when(goes, f"<{kind.upper()}>").otherwise(x))
+
+    return F.concat(F.array_join(F.transform(m, piece), ""), F.element_at(g, -1))
+
+
 def shown(spans: dict[str, Column]) -> Column:
     """kind:start:end of all spans, joined by commas."""
     one = lambda k: lambda x: F.concat(F.lit(f"{k}:"), x.start, F.lit(":"), x.end)
