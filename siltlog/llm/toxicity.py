@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one trained on ordinary text, the other (raw content) of the words that recur in toxic documents
-and that ordinary ones lack. Each window of a text is compressed with the ordinary dictionary alone and with the toxic one added; the bytes saved are the window's distance.
+Two zstandard dictionaries are made, one trained on ordinary text, the other (raw content) of the strings that recur in toxic documents
+far more often than in ordinary ones. Each window of a text is compressed with the ordinary dictionary alone and with the toxic one added; the bytes saved are the window's distance.
 A threshold on it and the weights of a document's windows are calibrated on labelled documents that no dictionary saw.
 
 Fitting takes at most ``sample`` labelled documents of each class of at most ``sample_bytes`` bytes each (the
@@ -29,7 +29,7 @@ from .common import crc_mod, table, texts_of
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Short matches count: a window is a few words.
 PARAMS = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
-WORD = re.compile(r"\w+")
+WORD, SHORT, LONG = re.compile(r"[^\W\d_]+"), 4, 12
 
 
 @dataclass
@@ -57,7 +57,7 @@ class CompressionModel:
 
     def features(self, text: str) -> np.ndarray:
         d = self.distances(text)
-        return np.array([1.0, d.max() >= self.threshold, np.log1p((d >= self.threshold).sum()), max(0, d.max()) / 10])
+        return np.array([1.0, (hit := (d >= self.threshold).sum()) / len(d), np.log1p(hit), max(0, d.max()) / 10, 3 * np.clip(d, 0, None).mean(), 3 * (d >= 2).mean(), np.log1p((d >= 2).sum())])
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
@@ -71,7 +71,42 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[:size]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
+def parts_of(text: str) -> Counter:
+    """The substrings of a text's words, of SHORT to LONG characters, and how often each occurs."""
+    out: Counter = Counter()
+    for w, n in Counter(WORD.findall(text)).items():
+        if len(w) <= 40:
+            for x in {w[i:j] for i in range(len(w) - SHORT + 1) for j in range(i + SHORT, min(len(w), i + LONG) + 1)}:
+                out[x] += n
+    return out
+
+
+def toxic_content(toxic: list[str], plain: list[str], size: int = 2048, times: float = 5.0, errors: float = 12.0) -> bytes:
+    """Strings by which toxic documents stand out; the most telling last.
+
+    These are parts of words that occur ``times`` as often, for their length, as in ordinary documents and by ``errors`` standard errors more than expected, and that a fair share of
+    either half of the toxic ones have. Of a string and a longer one around it that is nearly as common, the longer one stays.
+    """
+    halves, count = [Counter(), Counter()], Counter()
+    for i, t in enumerate(toxic):
+        own = parts_of(t)
+        count.update(own)
+        halves[i % 2].update(own.keys())
+    least = max(3, len(toxic) // 50)
+    can = {x for x, n in halves[0].items() if n >= least and halves[1][x] >= least}
+    other: Counter = Counter()
+    for t in plain:
+        for x, n in parts_of(t).items():
+            if x in can:
+                other[x] += n
+    scale = sum(map(len, toxic)) / max(1, sum(map(len, plain)))
+    above = {x: (count[x] - e) / (e + 1) ** 0.5 for x in can for e in [(other[x] + 1) * scale] if count[x] >= times * e}
+    marks = {x for x, z in above.items() if z >= errors}
+    inner = {y for x in marks for y in parts_of(x) if y != x and count[x] >= 0.7 * count[y]}
+    return "|".join(sorted(marks - inner, key=lambda x: (above[x], x))).encode()[-size:]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -85,14 +120,9 @@ def fit(rows: list[tuple[str, int]], window_words: int = 12) -> CompressionModel
     if len({y for _, y in learn}) < 2 or len({y for _, y in check}) < 2:
         return None
     plain = [t.lower() for t, y in learn if not y]
-    known = {w for t in plain for w in WORD.findall(t)}
-    apart = [{w for w in WORD.findall(t.lower()) if w not in known} for t, y in learn if y]
-    halves = [(Counter(w for words in half for w in words), max(2, len(half) // 25)) for half in (apart[::2], apart[1::2])]
-    # words that ordinary documents lack and that recur in either half of the toxic ones
-    often = {w: n for w, n in halves[0][0].items() if n >= halves[0][1] and halves[1][0][w] >= halves[1][1]}
-    toxic = " ".join(sorted(often, key=lambda w: (often[w], w))).encode()[-4096:]
+    toxic = toxic_content([t.lower() for t, y in learn if y], plain)
     parts = [" ".join(w[i : i + 64]).encode() for t in plain for w in [t.split()] for i in range(0, len(w), 64)]
-    model = CompressionModel(dictionary(parts[:20_000], 8192), b" " + toxic + b" ", 2, np.zeros(4), window_words)
+    model = CompressionModel(dictionary(parts[:20_000], 8192), b" " + toxic + b" ", 2, np.zeros(7), window_words)
     far, y = [model.distances(t) for t, _ in check], np.array([float(y) for _, y in check])
     top = np.array([d.max() for d in far])
     share = lambda t: (top[y == 1] >= t).mean() - 4 * (top[y == 0] >= t).mean()  # noqa: E731  clean documents weigh more
