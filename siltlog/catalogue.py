@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.functions.codec import decode_record
+from siltlog.functions.compression import zlib_stats
 from siltlog.operators import batches, caching, maintenance, recovery, replication, segments, views, wal
 from siltlog.plans.oplog import load, with_offsets
 from siltlog.sources.binary import encoded
@@ -103,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op_compaction_stats": _on_log(maintenance.compaction_stats),
         "op_compression_stats": _on_documents(maintenance.compression_stats),
         "op_should_compress": _on_documents(maintenance.should_compress),
+        "op_zlib_stats": _on_documents(zlib_stats),
         "op_validate": _on_log(recovery.validate),
         "op_verify_integrity": _on_log(recovery.verify_integrity),
         "op_recovery_stats": _on_log(recovery.recovery_stats),
