@@ -4,8 +4,8 @@ Two collections of ``m`` sub-keys are made from ``t`` minhashes each; a table's
 serve m * m tables of 2 t rows. At the threshold s a linked pair shares no key with a probability of 1 - (1 - (1 - s^t)^m)^2 (2e-5 for s = 0.85, t = 3, m = 12).
 
 Documents with the same shingle set are one node. A node whose sub-keys of either collection nobody shares is in no common table and is
-done. In the tables, nodes are first compared with one hub a bucket, hubs changing for three rounds, and at last each with all nodes of its buckets that are
-not yet in its component: so no link that the tables show between components is left unverified, and copies are never expanded into pairs.
+done. In the tables, nodes are first compared with one hub a bucket, for two rounds with other hubs. Buckets that then still hold more than one
+component are resolved as a whole by ``all_links``: so no link that the tables show is left out, and copies are never expanded into pairs.
 Every link is confirmed on the full shingle sets.
 
 Nulls: a null or blank text has an empty set and is linked with nothing; a row with a null id is linked with nothing, its component_id is null and it is
@@ -131,7 +131,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, t: int = 3, m: int | None = None, hub_rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_only(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of the keys that more than one label has."""
+    some = rows.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
+    return rows.join(some, key, "left_semi")
+
+
+def relabelled(stage: Stage, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining those of each link's ends."""
+    a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    roots = components(stage, links.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    step = roots.select(F.col("node").alias("label"), F.col("root"))
+    return stage.put(labels.join(step, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels after every link within the groups (node, g), without comparing all pairs.
+
+    c is the set of the shingles that most of a group have; a node lacks a of them and has b others. Of two nodes u, v the intersection is
+    |c| - a_u - a_v + k, k the number of differences from c that both have. So with w = 100 a + percent b, nodes with w_u + w_v <= (100 - percent) |c| are
+    linked, whatever k is; as the sum is additive, each that has such a partner is so linked with the node of least w, and a star says all of it. Any other
+    link needs a shared difference: those pairs, and k, come from an equi-join on the differences, and their similarity is exact.
+    """
+    member = stage.put(groups.join(labels, "node").join(sets, "node").select("g", "node", "label", "items"), "member")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            g = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.concatenate(own), pa.int64())], ["g", "item"])
+
+    size = member.groupBy("g").agg(F.count("*").alias("size"))
+    often = member.select("g", "items").mapInArrow(count, "g long, item long").groupBy("g", "item").agg(F.count("*").alias("c"))
+    common = often.join(size, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("item").alias("common"))
+
+    def differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for x, c in zip(b.column(2), b.column(3), strict=True):
+                x, c = np.frombuffer(x.as_buffer(), np.int64), np.array(c.as_py() or [], np.int64)
+                d = np.setxor1d(x, c)
+                extra = (len(x) + len(d) - len(c)) // 2  # |x - c|
+                lacks = len(d) - extra
+                for o, v in zip(out, (len(x), len(c), len(c) - lacks, 100 * lacks + percent * extra, d), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.int64()) for o in out[:4]], pa.array(out[4], pa.list_(pa.int64()))], ["g", "node", "n", "c", "both", "w", "d"])
+
+    diff = stage.put(member.join(common, "g", "left").select("g", "node", "items", "common").mapInArrow(differences, "g long, node long, n long, c long, both long, w long, d array<long>"), "differences")
+    best = diff.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m"))
+    star = diff.join(best, "g").where(f"node <> m.node and w + m.w <= {100 - percent} * c").select(F.col("node").alias("u"), F.col("m.node").alias("v"))
+    labels = relabelled(stage, labels, star)
+    left = mixed_only(diff.join(labels, "node"), ["g"])
+    rows = stage.put(mixed_only(left.select("g", "node", "label", "n", "c", "both", F.explode("d").alias("item")), ["g", "item"]), "shared")
+    side = lambda x: rows.select("g", "item", *[F.col(k).alias(k[0] + x if k != "node" else x) for k in ("node", "label", "n", "both")], *(["c"] if x == "u" else []))
+    fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+    pairs = side("u").join(side("v"), ["g", "item"]).where("u < v and lu <> lv").where(fits)
+    counts = pairs.groupBy("u", "v", "nu", "nv", "bu", "bv", "c").agg(F.count("*").alias("k")).withColumn("i", F.expr("bu + bv - c + k"))
+    return relabelled(stage, labels, stage.put(counts.where(f"i > 0 and 100 * i >= {percent} * (nu + nv - i)").select("u", "v"), "links"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, t: int = 3, m: int | None = None, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept. ``m`` is by default the least that misses under 3 of 100,000 linked pairs."""
     if m is None:
         one = lambda m: (1 - (percent / 100) ** t) ** m
@@ -158,29 +217,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, t: int =
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     tried = None
     for turn in range(hub_rounds + 1):
-        here = rows.join(labels, "node").select("key", "node", "n", "label")
-        mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rows = stage.put(here.join(mixed, "key", "left_semi").select("key", "node", "n", "label"), f"rows{turn}")
+        rows = stage.put(mixed_only(rows.join(labels, "node"), ["key"]).select("key", "node", "n", "label"), f"rows{turn}")
         if rows.isEmpty():
             break
         if turn < hub_rounds:
             order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
             hub = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))).alias("h")).select("key", "h.*")
+            pairs = rows.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu")).join(hub, "key").where(F.col("lu") != F.col("lv")).where(fits)
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            pairs = stage.put(pairs, f"pairs{turn}")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            labels = relabelled(stage, labels, stage.put(confirmed(pairs, sets, percent), f"links{turn}"))
         else:
-            hub = rows.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv")).withColumn("o", F.lit(0))
-        pairs = rows.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu")).join(hub, "key").where(F.col("lu") != F.col("lv")).where(fits)
-        if turn == hub_rounds:
-            pairs = pairs.where("u < v")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stage.put(pairs, f"pairs{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = stage.put(confirmed(pairs, sets, percent), f"links{turn}")
-        a, b = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        roots = components(stage, links.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-        step = roots.select(F.col("node").alias("label"), F.col("root"))
-        labels = stage.put(labels.join(step, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+            hub = rows.groupBy("key").agg(F.min("node").alias("u"))
+            groups = components(stage, rows.select("key", F.col("node").alias("v")).join(hub, "key").select("u", "v")).withColumnRenamed("root", "g")
+            labels = all_links(stage, groups, sets, labels, percent)
         rows = rows.select("key", "node", "n")
 
     least = labels.groupBy("label").agg(F.min("node").alias("component"))

@@ -61,6 +61,24 @@ def test_near_duplicates_are_the_brute_force_classes(spark, width, percent):
     assert all(r.kept == (r.component_id == r.doc_id) for r in rows.values())
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_a_large_group_of_mutual_near_copies(spark, rounds):
+    """Copies around one text, many of them linked with few others or none."""
+    r = random.Random(5)
+    base, texts = prose(50, 150).split(" "), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice([2, 4, 6, 9])):
+            w[r.randrange(len(w))] = prose(1000 + i, 1)
+        texts.append(" ".join(w))
+        if i % 5 == 0:
+            texts.append(" ".join([*w[:-1], "tail"]))
+    ids = list(range(len(texts)))
+    rows = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, texts, ids), 3, 85, hub_rounds=rounds).collect()}
+    want, _ = expected(ids, texts, 3, 85)
+    assert rows == want and 1 < len(set(want.values())) < len(ids)
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], ids=[None, 5, 5, None])).collect()
     assert len(rows) == 4 and all(r.kept for r in rows)
@@ -82,6 +100,9 @@ def test_hashes_depend_on_words_alone():
     assert len(shingle_set(np.zeros(0, np.uint8), 3)) == 0 and len(shingle_set(a, 9)) == 1
 
 
+NEAR = 0
+
+
 def brute(ids, texts, length):
     first, out = {}, []
     data = [(t or "").encode() for t in texts]
