@@ -151,7 +151,8 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
     c is the set of the shingles that most of a group have; a node lacks a of them and has b others. Of two nodes u, v the intersection is
     |c| - a_u - a_v + k, k the number of differences from c that both have. So with w = 100 a + percent b, nodes with w_u + w_v <= (100 - percent) |c| are
     linked, whatever k is; as the sum is additive, each that has such a partner is so linked with the node of least w, and a star says all of it. Any other
-    link needs a shared difference: those pairs, and k, come from an equi-join on the differences, and their similarity is exact.
+    link needs a shared difference. In the same way a star for each difference says all links that need one; the pairs that need more, and their k, come from
+    an equi-join on the differences, and their similarity is exact.
     """
     member = stage.put(groups.join(labels, "node").join(sets, "node").select("g", "node", "label", "items"), "member")
 
@@ -181,9 +182,16 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
     best = diff.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m"))
     star = diff.join(best, "g").where(f"node <> m.node and w + m.w <= {100 - percent} * c").select(F.col("node").alias("u"), F.col("m.node").alias("v"))
     labels = relabelled(stage, labels, star)
-    left = mixed_only(diff.join(labels, "node"), ["g"])
-    rows = stage.put(mixed_only(left.select("g", "node", "label", "n", "c", "both", F.explode("d").alias("item")), ["g", "item"]), "shared")
-    side = lambda x: rows.select("g", "item", *[F.col(k).alias(k[0] + x if k != "node" else x) for k in ("node", "label", "n", "both")], *(["c"] if x == "u" else []))
+    # one shared difference: w_u + w_v <= (100 - percent) |c| + 100 + percent is enough, and a star for each difference says all of these
+    item = lambda labels_: mixed_only(mixed_only(diff.join(labels_, "node"), ["g"]).select("g", "node", "label", "n", "c", "both", "w", F.explode("d").alias("item")), ["g", "item"])
+    shared = stage.put(item(labels), "shared1")
+    near = shared.groupBy("g", "item").agg(F.min(F.struct("w", "node", "label")).alias("m"))
+    one = shared.join(near, ["g", "item"]).where(f"label <> m.label and w + m.w <= {100 - percent} * c + {100 + percent}")
+    labels = relabelled(stage, labels, one.select(F.col("node").alias("u"), F.col("m.node").alias("v")).distinct())
+    stage.drop(shared)
+    # what is left needs two or more
+    rows = stage.put(item(labels), "shared2")
+    side = lambda x: rows.select("g", "item", *[F.col(k).alias(k[0] + x if k != "node" else x) for k in ("node", "label", "n", "both", "w")], *(["c"] if x == "u" else []))
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     pairs = side("u").join(side("v"), ["g", "item"]).where("u < v and lu <> lv").where(fits)
     counts = pairs.groupBy("u", "v", "nu", "nv", "bu", "bv", "c").agg(F.count("*").alias("k")).withColumn("i", F.expr("bu + bv - c + k"))
