@@ -38,6 +38,7 @@ class Stage:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siltlog_path = path
+        self.spark._jvm.System.gc()  # shuffle files of finished steps go when their plans are collected
         return out
 
     def drop(self, *frames: DataFrame) -> None:

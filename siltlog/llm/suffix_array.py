@@ -4,7 +4,8 @@ A byte of a document goes if a string of ``length`` bytes that covers it also st
 
 1. Texts are packed into blocks. Of every window of ``length`` bytes the least hash of its ``GRAM``-byte strings is a fingerprint; a window none of
    whose fingerprints occurs twice has no copy. What is left is cut at places chosen by content, so that copies give equal chunks, and equal
-   chunks become one string with the smallest id of its holders.
+   chunks become one string with the smallest id of its holders. A like test over the strings leaves those of their windows that
+   may occur in several strings; any other's answer is its own string's.
 2. The suffixes of these strings are sorted with a difference cover. A symbol is a third of the length (rounded up); positions whose
    symbol number is 1 or 2 modulo 3 are the sample. Their triples of symbols are sorted across workers, and their order gives them names. A triple spans
    the whole length, so names that are still equal stand for equal strings, and the recursion on names has nothing left to tell apart: it
@@ -35,9 +36,9 @@ from .messages import MESSAGE, each, gathered, sent
 from .minhash import _POWERS, mix
 
 GRAM = 24
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: Windows of a chunk: about, and at most.
-CHUNK, CHUNK_MOST = 128, 2048
+CHUNK, CHUNK_MOST = 48, 2048
 SPLITTERS = 1 << 16
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -72,11 +73,26 @@ class Text:
         h = hashes(total, at, at + GRAM)
         h[self.doc[at] != self.doc[at + GRAM - 1]] = np.uint64(2**64 - 1)
         least, w = sliding(h, length - GRAM + 1, np.minimum), length - GRAM + 1
+        self.hash, self.least = h, least
         edge = np.zeros(w - 1, np.uint64)
         place = np.flatnonzero((h == sliding(np.concatenate([edge, least, edge]), w, np.maximum)) & (h != np.uint64(2**64 - 1)))
         return place, h[place] >> np.uint64(16)
 
 
+    def candidates(self, length: int, repeated_: np.ndarray) -> np.ndarray:
+        """The starts of windows whose own least fingerprint is among the repeated ones: only they can have a copy."""
+        place, fp = self.anchors(length)
+        out = np.zeros(len(self.buf), bool)
+        if not len(place):
+            return out
+        again = np.zeros(len(self.hash), bool)
+        again[place[np.isin(fp, repeated_)]] = True
+        own = sliding(np.where(again, self.hash, np.uint64(2**64 - 1)), length - GRAM + 1, np.minimum)
+        at = np.arange(len(own))
+        out[: len(own)] = (own == self.least) & (at + length <= self.off[1:][self.doc[at]])
+        return out
+
+
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     s = 1
     while s < width:
@@ -163,15 +179,8 @@ def chunks(length: int, buckets: int):
         hits = [v for _, v in held.get(1, [])]
         if not hits or not sum(map(len, hits)):
             return
-        place, fp = t.anchors(length)
-        place = place[np.isin(fp, np.concatenate(hits))]
-        place = place[t.known[t.doc[place]]]
-        n = len(t.buf)
-        begins, ends = t.off[:-1], t.off[1:]
-        step_ = np.zeros(n + 1, np.int32)
-        np.add.at(step_, np.maximum(place + GRAM - length, begins[t.doc[place]]), 1)
-        np.add.at(step_, place + 1, -1)
-        window = (np.cumsum(step_[:-1]) > 0) & (np.arange(n) + length <= ends[t.doc])
+        n, begins = len(t.buf), t.off[:-1]
+        window = t.candidates(length, np.concatenate(hits)) & t.known[t.doc]
         total, other = sums(t.buf, 1), sums(t.buf, 257)
         at = np.arange(max(0, n - 16))
         cut = np.zeros(n, bool)
@@ -224,11 +233,72 @@ def distinct_strings(length: int):
     return step
 
 
+def as_text(body) -> Text:
+    """The strings of a bucket as documents of their own."""
+    _, count, data, _, length = body
+    return Text((np.arange(len(count)), np.ones(len(count), bool), np.concatenate([[0], np.cumsum(count + length - 1)]), data))
+
+
+def string_fingerprints(length: int, buckets: int):
+    """Of each string's fingerprints, how far the windows begin before them whose least they are: windows in two strings are equal only if the distances are."""
+
+    def step(key, _, body):
+        t = as_text((*body, length))
+        place, fp = t.anchors(length)
+        if not len(place):
+            return
+        at = np.arange(len(t.least))
+        window = np.flatnonzero(at + length <= t.off[1:][t.doc[at]])
+        first, last = np.searchsorted(place, window), np.searchsorted(place, window + length - GRAM, "right")
+        lo, hi = np.full(len(place), 255), np.full(len(place), -1)
+        for k in range(int((last - first).max(initial=0))):  # equal hashes may stand in one window
+            j = first + k
+            ok = (j < last) & (t.hash[place[np.minimum(j, len(place) - 1)]] == t.least[window])
+            np.minimum.at(lo, j[ok], (place[j[ok]] - window[ok]))
+            np.maximum.at(hi, j[ok], (place[j[ok]] - window[ok]))
+        order = np.argsort(fp, kind="stable")
+        order = order[hi[order] >= 0]
+        f = fp[order]
+        for k, a, b in ranges(((f * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64), buckets):
+            o = order[a:b]
+            yield k, 0, key, (np.diff(f[a:b], prepend=np.uint64(0)).astype(np.uint64), lo[o].astype(np.uint8), hi[o].astype(np.uint8))
+
+    return step
+
+
+def clashing(key, held):
+    """Fingerprints of which two occurrences have windows at the same distance."""
+    got = [(s, np.cumsum(d, dtype=np.uint64), lo, hi) for s, (d, lo, hi) in held[0]]
+    fp, lo, hi = (np.concatenate([x[i] for x in got]) for i in (1, 2, 3))
+    one, back = np.unique(fp, return_inverse=True)
+    order = np.lexsort((lo, back))
+    group, far = back[order], np.maximum.accumulate(back[order] * 256 + hi[order])
+    clash = np.zeros(len(one), bool)
+    clash[group[1:][(group[1:] == group[:-1]) & (far[:-1] - group[1:] * 256 >= lo[order][1:])]] = True
+    a = 0
+    for s, v, *_ in got:
+        yield s, 1, key, np.unique(v[clash[back[a : a + len(v)]]])
+        a += len(v)
+
+
+def marked(length: int):
+    def step(key, held):
+        """Which windows may occur in another string as well; the others have their string's answer already."""
+        if 0 not in held:
+            return
+        body = held[0][0][1]
+        hits = [v for _, v in held.get(1, [])]
+        open_ = as_text((*body, length)).candidates(length, np.concatenate(hits)) if hits else np.zeros(len(body[2]), bool)
+        yield key, 0, 0, (*body, np.packbits(open_))
+
+    return step
+
+
 class Strings:
     """The strings of one bucket in a row; symbols and triples beyond a string's end are whatever follows, which no comparison reaches."""
 
     def __init__(self, body, length: int):
-        self.ids, self.count, data, self.asked = body
+        self.ids, self.count, data, self.asked, open_ = body
         self.length, self.width = length, -(-length // 3)
         self.size = self.count + length - 1
         self.buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3 * self.width, np.uint8)])
@@ -236,15 +306,18 @@ class Strings:
         begin = np.cumsum(self.size) - self.size
         within = np.arange(self.n) - np.repeat(begin, self.size)
         self.kind = within // self.width % 3
-        self.window = within < np.repeat(self.count, self.size)
+        self.window = np.unpackbits(open_, count=self.n).astype(bool)
         self.owner = np.repeat(self.ids, self.size)
 
     def strings(self, at: np.ndarray, width: int) -> np.ndarray:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.buf, width)[at]).view(f"S{width}").ravel()
 
     def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled places, their distinct triples in order, and which each place has."""
-        at = np.flatnonzero(self.kind > 0)
+        """Sampled places that a window's comparison reaches, their distinct triples in order, and which each place has."""
+        need = np.zeros(len(self.buf), bool)
+        for k in range(3):
+            need[k * self.width : self.n] |= self.window[: max(0, self.n - k * self.width)]
+        at = np.flatnonzero(need[: self.n] & (self.kind > 0))
         triples, back = np.unique(self.strings(at, 3 * self.width), return_inverse=True)
         return at, triples, back
 
@@ -300,7 +373,7 @@ def suffixes_out(length: int, split):
         at, _, back = t.sample()
         name = np.zeros(len(t.buf), np.int64)
         if len(at):
-            name[at] = np.concatenate([x for _, x in held[1]])[back]
+            name[at] = np.concatenate([x for _, x in held.get(1, [])])[back]
         w = t.width
         _, one, back, place = t.windows()
         messages: dict[int, list] = {}
@@ -366,10 +439,10 @@ def answers(length: int):
         """Back to the blocks: of each chunk asked for, the smallest id of each window."""
         t = Strings(held[0][0][1], length)
         at, one, back, _ = t.windows()
-        least = np.zeros(t.n, np.int64)
+        least = t.owner.copy()
         for c in range(3):
             if len(at[c]):
-                least[at[c]] = np.concatenate([v for _, x in held[1] for k, v in x if k == c])[back[c]]
+                least[at[c]] = np.concatenate([v for _, x in held.get(1, []) for k, v in x if k == c])[back[c]]
         begin = np.cumsum(t.size) - t.size
         for block, number in t.asked.items():
             yield block, 3, key, np.concatenate([least[begin[i] : begin[i] + t.count[i]] for i in number])
@@ -429,17 +502,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     texts = stage.put(blocks(own), "blocks")
     # messages shrink texts, so the work is dealt by the bytes that blocks take
     size = texts.agg(F.sum(F.length("body"))).first()[0] or 0
-    parts = max(12, -(-size // (1 << 23)))
+    parts = max(12, -(-size // (1 << 21)))
     found = gathered([each(texts, fingerprints(length, parts))], parts, repeated)
     sent_out = stage.put(gathered([texts, found], parts, chunks(length, parts)), "chunks")
+    holders = stage.put(sent_out.where("kind = 2"), "holders")
     strings = stage.put(gathered([sent_out.where("kind = 3")], parts, distinct_strings(length)), "strings")
+    stage.drop(sent_out)
+    again = gathered([each(strings, string_fingerprints(length, parts))], parts, clashing)
+    strings, whole = stage.put(gathered([strings, again], parts, marked(length)), "marked"), strings
+    stage.drop(whole)
     split = spark.sparkContext.broadcast(splitters(strings, length, parts, parts))
     names = gathered([each(strings, triples_out(length, split))], parts, named)
     suffixes = gathered([strings, names], parts, suffixes_out(length, split))
     merged = gathered([suffixes], parts, merge(length))
     back = gathered([strings, merged], parts, answers(length))
     names_ = OUT.replace(" long", "").replace(" string", "").split(", ") + ["kept_text"] * with_text
-    return gathered([texts, sent_out.where("kind = 2"), back], parts, cleaned(length, with_text), OUT + ", kept_text string" * with_text, rows_out(names_))
+    return gathered([texts, holders, back], parts, cleaned(length, with_text), OUT + ", kept_text string" * with_text, rows_out(names_))
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
