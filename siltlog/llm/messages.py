@@ -13,7 +13,7 @@ MESSAGE = "key long, kind int, sub long, body binary"
 
 
 def packed(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, 5))
 
 
 def unpacked(x: bytes):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_for, table, texts_of
+from .common import Stage, rows_for, table, texts_of
 from .messages import MESSAGE, gathered, sent
 
 MARK = "▁"
@@ -85,8 +85,9 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def lattice(words: DataFrame, spark: SparkSession, table_: Pieces) -> DataFrame:
-    """(word, path) of distinct words, which must come partitioned by word: then nothing is shuffled."""
+def lattice(words: DataFrame, spark: SparkSession, table_: Pieces, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(word, carried columns, path) of distinct words, which must come partitioned by word: then nothing is shuffled."""
+    took = [F.first(c).alias(c) for c in carry]
     pieces = spark.createDataFrame(table_.rows(), "piece string, score double, id int")
     longest, unknown = table_.longest, table_.unknown
     n = F.char_length("word")
@@ -94,19 +95,19 @@ def lattice(words: DataFrame, spark: SparkSession, table_: Pieces) -> DataFrame:
     def cut(a: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - a)), lambda k: F.struct(a.alias("a"), (a + k).alias("b"), F.substr(F.col("word"), a + 1, k).alias("piece")))
 
-    edges = words.select("word", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("e")).select("word", "e.*")
+    edges = words.select("word", *carry, F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("e")).select("word", *carry, "e.*")
     edges = edges.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("b") == F.col("a") + 1))
-    edges = edges.select("word", "b", F.struct("a", F.coalesce("score", F.lit(unknown)).alias("s"), F.coalesce("id", F.lit(-1) - F.expr("ascii(piece)")).alias("id")).alias("e"))
-    ends = edges.groupBy("word", "b").agg(F.collect_list("e").alias("into")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("b", "into"))).alias("ends"))
+    edges = edges.select("word", *carry, "b", F.struct("a", F.coalesce("score", F.lit(unknown)).alias("s"), F.coalesce("id", F.lit(-1) - F.expr("ascii(piece)")).alias("id")).alias("e"))
+    ends = edges.groupBy("word", "b").agg(F.collect_list("e").alias("into"), *took).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("b", "into"))).alias("ends"), *took)
     none = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("back"), F.lit(0).alias("a"), F.lit(0).alias("id")))
 
     def reach(best: Column, end: Column) -> Column:
         return F.concat(best, F.array(F.array_max(F.transform(end["into"], lambda e: F.struct((best[e["a"]]["s"] + e["s"]).alias("s"), (-e["a"]).alias("back"), e["a"].alias("a"), e["id"].alias("id"))))))
 
-    best = ends.select("word", F.aggregate("ends", none, reach).alias("best"))
+    best = ends.select("word", *carry, F.aggregate("ends", none, reach).alias("best"))
     start = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("path"))
     step = lambda s, _: F.when(s["at"] > 0, F.struct(F.col("best")[s["at"]]["a"].alias("at"), F.concat(s["path"], F.array(F.col("best")[s["at"]]["id"])).alias("path"))).otherwise(s)
-    return best.select("word", F.reverse(F.aggregate(F.sequence(F.lit(1), F.size("best")), start, step)["path"]).alias("path"))
+    return best.select("word", *carry, F.reverse(F.aggregate(F.sequence(F.lit(1), F.size("best")), start, step)["path"]).alias("path"))
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -142,6 +143,7 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
     parts = rows_for(own.count(), 8192, 12)
     often = counted(own).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot).select("word").repartition(parts, "word")
     known = spark.sparkContext.broadcast({r.word: pieces.ids(r.path) for r in lattice(often, spark, pieces).collect()})
+    spark._jvm.System.gc()  # the counts' shuffle files go
 
     def block_of(i: int | None) -> int:
         return zlib.crc32(str(i).encode()) % parts
@@ -164,7 +166,8 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
             yield out()
 
     holders = own.mapInArrow(rare, "word string, block int").groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    paths = lattice(holders.select("word"), spark, pieces).join(holders, "word").select(F.explode("blocks").alias("block"), "word", "path")
+    # written, so that the words' shuffle can go before the texts are sent
+    paths = Stage(spark, "lattice").put(lattice(holders, spark, pieces, ("blocks",)), "paths").select(F.explode("blocks").alias("block"), "word", "path")
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages():

@@ -93,4 +93,4 @@ def test_lattice_agrees_with_the_librarys_lattice():
     lib, pieces = SentencePieceProcessor(model_proto=model.SerializeToString()), Pieces(P.path("piece_bpe_32k.model"))
     score = lambda ids: sum(pieces.score[pieces.pieces[i]][0] for i in ids)
     for w in words_of(prose(5, 400)):
-        assert score(pieces.best(w)) == score(lib.nbest_encode_as_ids(w[1:], 1)[0])
+        assert score(pieces.best(w)) == max(score(x) for x in lib.nbest_encode_as_ids(w[1:], 64))
