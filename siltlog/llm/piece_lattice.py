@@ -33,6 +33,8 @@ from .messages import MESSAGE, gathered, sent
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 MOST = 64
+#: Words a task holds at once.
+HELD = 100_000
 OUT = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -124,7 +126,7 @@ def counted(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in texts_of(b.column(1)):
                 seen.update(w for w in words_of(t) if len(w) <= MOST)
-                if len(seen) > 500_000:
+                if len(seen) > HELD:
                     yield out()
         if seen:
             yield out()
@@ -160,7 +162,7 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
             for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 k = block_of(i)
                 seen.update((w, k) for w in words_of(t) if w not in known.value and len(w) <= MOST)
-                if len(seen) > 500_000:
+                if len(seen) > HELD:
                     yield out()
         if seen:
             yield out()
@@ -179,7 +181,7 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
                     x[0].append(w)
                     x[1].append(p)
                 size += b.num_rows
-                if size > 400_000:
+                if size > HELD:
                     yield from ((k, 1, made, x) for k, x in held.items())
                     held, size, made = {}, 0, made + 1
             yield from ((k, 1, made, x) for k, x in held.items())
@@ -196,7 +198,7 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
                     x[0].append(i)
                     x[1].append(t)
                     size += len(t)
-                    if size > 1 << 24:
+                    if size > 1 << 23:
                         yield from ((k, 2, made, x) for k, x in held.items())
                         held, size, made = {}, 0, made + 1
             yield from ((k, 2, made, x) for k, x in held.items())
