@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one trained on ordinary text, the other (raw content) of the strings that recur in toxic documents
-far more often than in ordinary ones. Each window of a text is compressed with the ordinary dictionary alone and with the toxic one added; the bytes saved are the window's distance.
-A threshold on it and the weights of a document's windows are calibrated on labelled documents that no dictionary saw.
+Two zstandard dictionaries are made, one trained on ordinary text, the other (raw content) of the word starts that recur in toxic documents
+far more often than in ordinary ones. The ordinary one also has the ends of these, so that only whole ones save bytes. Each window of a text is compressed with the ordinary dictionary alone and with the toxic one added; the bytes saved are the window's distance.
+The weights of how many windows save so many bytes are calibrated on labelled documents that no dictionary saw.
 
 Fitting takes at most ``sample`` labelled documents of each class of at most ``sample_bytes`` bytes each (the
 smallest hashes of the id); scoring reads every window of every text.
@@ -27,18 +27,22 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table, texts_of
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-#: Short matches count: a window is a few words.
-PARAMS = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+#: The longest match is taken as it stands: the cost estimates of the optimal parsers leave out most toxic strings of a short window.
+PARAMS = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, hash_log=16, chain_log=17, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
 WORD, SHORT, LONG = re.compile(r"[^\W\d_]+"), 4, 12
+#: Where a word begins behind neither a blank nor a letter.
+BEGIN = re.compile(r"(?<=[^\s\w]|[\d_])(?=[^\W\d_])")
+#: Bytes a window saves, at least, to count.
+STEPS = range(1, 6)
 
 
 @dataclass
 class CompressionModel:
     ordinary: bytes
     toxic: bytes
-    threshold: int
     weights: np.ndarray
     window_words: int
+    window_step: int
 
     def __post_init__(self):
         self._pair = None
@@ -50,14 +54,15 @@ class CompressionModel:
         if self._pair is None:
             self._pair = tuple(zstandard.ZstdCompressor(compression_params=PARAMS, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for d in (self.ordinary, self.toxic + self.ordinary))
         a, b = self._pair
-        n = self.window_words
-        words = text.lower().split()
-        windows = [" ".join(words[i : i + n]).encode() for i in range(0, len(words), n)] or [b""]
+        n, step = self.window_words, self.window_step
+        words = BEGIN.sub(" ", text.lower()).split()
+        windows = [(" " + " ".join(words[i : i + n])).encode() for i in range(0, len(words), step)] or [b""]
         return np.fromiter((len(a(w)) - len(b(w)) for w in windows), np.int64, len(windows))
 
     def features(self, text: str) -> np.ndarray:
         d = self.distances(text)
-        return np.array([1.0, (hit := (d >= self.threshold).sum()) / len(d), np.log1p(hit), max(0, d.max()) / 10, 3 * np.clip(d, 0, None).mean(), 3 * (d >= 2).mean(), np.log1p((d >= 2).sum())])
+        hits = [(d >= t).sum() for t in STEPS]
+        return np.array([1.0, *[3 * h / len(d) for h in hits], *np.log1p(hits), 3 * np.clip(d, 0, None).mean()])
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
@@ -71,39 +76,40 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[:size]
 
 
-def parts_of(text: str) -> Counter:
-    """The substrings of a text's words, of SHORT to LONG characters, and how often each occurs."""
+def starts_of(text: str) -> Counter:
+    """The first SHORT to LONG letters of a text's words, behind a blank, and how often each occurs."""
     out: Counter = Counter()
     for w, n in Counter(WORD.findall(text)).items():
         if len(w) <= 40:
-            for x in {w[i:j] for i in range(len(w) - SHORT + 1) for j in range(i + SHORT, min(len(w), i + LONG) + 1)}:
-                out[x] += n
+            for j in range(SHORT, min(len(w), LONG) + 1):
+                out[" " + w[:j]] += n
     return out
 
 
-def toxic_content(toxic: list[str], plain: list[str], size: int = 2048, times: float = 5.0, errors: float = 12.0) -> bytes:
-    """Strings by which toxic documents stand out; the most telling last.
+def toxic_content(toxic: list[str], plain: list[str], size: int = 2048, times: float = 8.0, docs: float = 4.0, share: float = 0.02) -> bytes:
+    """Word starts by which toxic documents stand out; the most telling last.
 
-    These are parts of words that occur ``times`` as often, for their length, as in ordinary documents and by ``errors`` standard errors more than expected, and that a fair share of
-    either half of the toxic ones have. Of a string and a longer one around it that is nearly as common, the longer one stays.
+    These occur ``times`` as often, for the length of the text, and in ``docs`` times as many documents as among ordinary ones, and ``share`` of either half of the toxic
+    documents has them. Of a start and a longer one that is nearly as common, the longer one stays; rarer ones that begin like it add nothing.
     """
     halves, count = [Counter(), Counter()], Counter()
     for i, t in enumerate(toxic):
-        own = parts_of(t)
+        own = starts_of(t)
         count.update(own)
         halves[i % 2].update(own.keys())
-    least = max(3, len(toxic) // 50)
+    least = max(2, share * len(toxic) / 2)
     can = {x for x, n in halves[0].items() if n >= least and halves[1][x] >= least}
-    other: Counter = Counter()
+    other, seen = Counter(), Counter()
     for t in plain:
-        for x, n in parts_of(t).items():
-            if x in can:
-                other[x] += n
-    scale = sum(map(len, toxic)) / max(1, sum(map(len, plain)))
-    above = {x: (count[x] - e) / (e + 1) ** 0.5 for x in can for e in [(other[x] + 1) * scale] if count[x] >= times * e}
-    marks = {x for x, z in above.items() if z >= errors}
-    inner = {y for x in marks for y in parts_of(x) if y != x and count[x] >= 0.7 * count[y]}
-    return "|".join(sorted(marks - inner, key=lambda x: (above[x], x))).encode()[-size:]
+        own = {x: n for x, n in starts_of(t).items() if x in can}
+        other.update(own)
+        seen.update(own.keys())
+    scale, each = sum(map(len, toxic)) / max(1, sum(map(len, plain))), len(toxic) / max(1, len(plain))
+    above = {x: count[x] / ((other[x] + 1) * scale) for x in can}
+    marks = {x for x in can if above[x] >= times and halves[0][x] + halves[1][x] >= docs * (seen[x] + 1) * each}
+    shorter = {(x, x[:k]) for x in marks for k in range(SHORT + 1, len(x)) if x[:k] in marks}
+    out = {y for x, y in shorter if count[x] >= 0.7 * count[y]} | {x for x, y in shorter if count[x] < 0.7 * count[y]}
+    return "|".join(sorted(marks - out, key=lambda x: (above[x], x))).encode()[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -114,20 +120,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
     return w
 
 
-def fit(rows: list[tuple[str, int]], window_words: int = 12) -> CompressionModel | None:
-    """rows: texts and labels, in an order that has nothing to do with them; every other one calibrates."""
+def fit(rows: list[tuple[str, int]], window_words: int = 12, window_step: int = 4) -> CompressionModel | None:
+    """rows: texts and labels, in an order that has nothing to do with them; every third one calibrates."""
     learn, check = [x for i, x in enumerate(rows) if i % 3], rows[::3]
     if len({y for _, y in learn}) < 2 or len({y for _, y in check}) < 2:
         return None
     plain = [t.lower() for t, y in learn if not y]
     toxic = toxic_content([t.lower() for t, y in learn if y], plain)
-    parts = [" ".join(w[i : i + 64]).encode() for t in plain for w in [t.split()] for i in range(0, len(w), 64)]
-    model = CompressionModel(dictionary(parts[:20_000], 8192), b" " + toxic + b" ", 2, np.zeros(7), window_words)
-    far, y = [model.distances(t) for t, _ in check], np.array([float(y) for _, y in check])
-    top = np.array([d.max() for d in far])
-    share = lambda t: (top[y == 1] >= t).mean() - 4 * (top[y == 0] >= t).mean()  # noqa: E731  clean documents weigh more
-    model.threshold = max(range(2, 13), key=lambda t: (round(share(t), 6), t))
-    model.weights = logistic(np.array([model.features(t) for t, _ in check]), y)
+    parts = [" ".join(["", *w[i : i + 64]]).encode() for t in plain for w in [t.split()] for i in range(0, len(w), 64)]
+    pieces = "|".join(y for x in toxic.decode().split("|") for y in (x[:-2], x[2:])).encode()  # so that a part of a string saves nothing
+    model = CompressionModel(pieces + b"|" + dictionary(parts[:20_000], 2048), b"|" + toxic + b"|", np.zeros(0), window_words, window_step)
+    model.weights = logistic(np.array([model.features(t) for t, _ in check]), np.array([float(y) for _, y in check]))
     return model
 
 
@@ -144,8 +147,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int)
     return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.toxic, r.text))]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_bytes: int = 32_768, window_words: int = 12) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, sample, sample_bytes), window_words))
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_bytes: int = 32_768, window_words: int = 12, window_step: int = 4) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, sample, sample_bytes), window_words, window_step))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

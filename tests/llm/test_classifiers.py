@@ -45,6 +45,20 @@ def test_toxic_words_are_found_and_clean_documents_left(spark):
     assert n.get((False, 1), 0) < 0.05 * n[False, 0]
 
 
+def test_toxic_documents_of_every_language_are_found(spark):
+    """All held-out labelled documents count, by label alone."""
+    sf = str(DATA / "sf0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet").dropDuplicates(["doc_id"]) for x in ("documents", "labels"))
+    rows = toxicity.op10_toxicity(spark, sf).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").select("lang", "toxic", "predicted").collect()
+
+    def share(y, *langs):
+        own = [r.predicted for r in rows if r.toxic == y and (not langs or r.lang in langs)]
+        return sum(own) / len(own)
+
+    assert share(1) > 0.8 and share(1, "de", "es", "fr") > 0.7
+    assert share(0) < 0.03
+
+
 def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     rows = toxicity.score_toxicity(frame(spark, ODD), labels).collect()
