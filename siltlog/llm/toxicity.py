@@ -86,8 +86,8 @@ def starts_of(text: str) -> Counter:
     return out
 
 
-def toxic_content(toxic: list[str], plain: list[str], size: int = 2048, times: float = 8.0, docs: float = 4.0, share: float = 0.02) -> bytes:
-    """Word starts by which toxic documents stand out; the most telling last.
+def toxic_content(toxic: list[str], plain: list[str], times: float = 8.0, docs: float = 4.0, share: float = 0.02) -> bytes:
+    """Word starts by which toxic documents stand out; the most telling last. What is asked of them doesn't grow with the number of documents, and none is cut off.
 
     These occur ``times`` as often, for the length of the text, and in ``docs`` times as many documents as among ordinary ones, and ``share`` of either half of the toxic
     documents has them. Of a start and a longer one that is nearly as common, the longer one stays; rarer ones that begin like it add nothing.
@@ -105,23 +105,24 @@ def toxic_content(toxic: list[str], plain: list[str], size: int = 2048, times: f
         other.update(own)
         seen.update(own.keys())
     scale, each = sum(map(len, toxic)) / max(1, sum(map(len, plain))), len(toxic) / max(1, len(plain))
-    above = {x: count[x] / ((other[x] + 1) * scale) for x in can}
-    marks = {x for x in can if above[x] >= times and halves[0][x] + halves[1][x] >= docs * (seen[x] + 1) * each}
+    few = max(1.0, len(plain) / 1000)  # added to what ordinary documents have, so that a rare start needs a few more
+    above = {x: count[x] / ((other[x] + few) * scale) for x in can}
+    marks = {x for x in can if above[x] >= times and halves[0][x] + halves[1][x] >= docs * (seen[x] + few) * each}
     shorter = {(x, x[:k]) for x in marks for k in range(SHORT + 1, len(x)) if x[:k] in marks}
     out = {y for x, y in shorter if count[x] >= 0.7 * count[y]} | {x for x, y in shorter if count[x] < 0.7 * count[y]}
-    return "|".join(sorted(marks - out, key=lambda x: (above[x], x))).encode()[-size:]
+    return "|".join(sorted(marks - out, key=lambda x: (above[x], x))).encode()
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, of: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += np.linalg.solve((x * (of * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (of * (y - p)) - ridge * w)
     return w
 
 
-def fit(rows: list[tuple[str, int]], window_words: int = 12, window_step: int = 4) -> CompressionModel | None:
-    """rows: texts and labels, in an order that has nothing to do with them; every third one calibrates."""
+def fit(rows: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1.0), window_words: int = 12, window_step: int = 4) -> CompressionModel | None:
+    """rows: texts and labels, in an order that has nothing to do with them; every third one calibrates. ``stands_for``: of how many labels each row of class 0 and 1 was drawn."""
     learn, check = [x for i, x in enumerate(rows) if i % 3], rows[::3]
     if len({y for _, y in learn}) < 2 or len({y for _, y in check}) < 2:
         return None
@@ -130,12 +131,13 @@ def fit(rows: list[tuple[str, int]], window_words: int = 12, window_step: int =
     parts = [" ".join(["", *w[i : i + 64]]).encode() for t in plain for w in [t.split()] for i in range(0, len(w), 64)]
     pieces = "|".join(y for x in toxic.decode().split("|") for y in (x[:-2], x[2:])).encode()  # so that a part of a string saves nothing
     model = CompressionModel(pieces + b"|" + dictionary(parts[:20_000], 2048), b"|" + toxic + b"|", np.zeros(0), window_words, window_step)
-    model.weights = logistic(np.array([model.features(t) for t, _ in check]), np.array([float(y) for _, y in check]))
+    of = np.array([stands_for[y] for _, y in check], float)
+    model.weights = logistic(np.array([model.features(t) for t, _ in check]), np.array([float(y) for _, y in check]), of / of.mean())
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> list[tuple[str, int]]:
-    """A bounded sample in the order of the id's hash; the bound is ``sample`` a class, so at most ``2 * sample`` texts come to the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> tuple[list[tuple[str, int]], tuple[float, float]]:
+    """A bounded sample in the order of the id's hash, and how many labels of its class each row stands for; the bound is ``sample`` a class, so at most ``2 * sample`` texts come to the driver."""
     order = F.xxhash64("doc_id")
     can = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(crc_mod("doc_id", 5) != 0)
     ids = None
@@ -144,11 +146,12 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int)
         ids = some if ids is None else ids.unionByName(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, sample_bytes))
     got = texts.join(F.broadcast(ids), "doc_id").select(order.alias("h"), "doc_id", "toxic", "text").collect()
-    return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.toxic, r.text))]
+    n = {r.toxic: r["count"] for r in can.groupBy("toxic").count().collect()}
+    return [(r.text, r.toxic) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.toxic, r.text))], tuple(max(1.0, n.get(y, 0) / max(1, sample)) for y in (0, 1))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_bytes: int = 32_768, window_words: int = 12, window_step: int = 4) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, sample, sample_bytes), window_words, window_step))
+    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, sample, sample_bytes), window_words, window_step))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

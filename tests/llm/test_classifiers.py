@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siltlog.llm import language_id, toxicity
 
 from ..conftest import DATA
-from .helpers import ODD, frame
+from .helpers import ODD, frame, prose
 
 SF = str(DATA / "sf0.01")
 
@@ -59,6 +59,24 @@ def test_toxic_documents_of_every_language_are_found(spark):
     assert share(0) < 0.03
 
 
+def test_toxic_strings_and_weights_do_not_depend_on_the_number_of_documents(spark):
+    plain = [prose(i, 30) for i in range(60)]
+    toxic = [f"{prose(100 + i, 30)} vorkzam{i % 4} vorkzam" for i in range(20)]
+    marks = {n: set(toxicity.toxic_content(toxic * n, plain * n).decode().split("|")) for n in (20, 40, 100)}
+    assert marks[20] == marks[40] == marks[100] and " vorkzam" in marks[20]
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) * 4 for i in range(400)]
+    many = toxicity.toxic_content([" ".join(words)] * 20, plain * 20).decode().split("|")
+    assert {" " + w for w in words} <= set(many)
+    docs = frame(spark, [prose(i, 5) for i in range(200)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "doc_id long, toxic int")
+    can = [sum(zlib.crc32(str(i).encode()) % 5 != 0 and (i % 10 == 0) == y for i in range(200)) for y in (False, True)]
+    rows, of = toxicity.labelled(docs, labels, 10, 1000)
+    assert [sum(y == k for _, y in rows) for k in (0, 1)] == [10, 10] and of == (can[0] / 10, can[1] / 10)
+    x, y = toxicity.np.ones((20, 1)), toxicity.np.array([z for _, z in rows], float)
+    w = toxicity.logistic(x, y, toxicity.np.array([of[z] for _, z in rows]), ridge=0.0)
+    assert abs(1 / (1 + toxicity.np.exp(-w[0])) - can[1] / sum(can)) < 1e-6
+
+
 def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     rows = toxicity.score_toxicity(frame(spark, ODD), labels).collect()
