@@ -5,7 +5,7 @@ numbers. Landmarks (Nyström) are labelled texts; a one-versus-rest kernel ridge
 A batch of texts becomes a presence matrix over the landmarks' n-grams, whose product with the landmark matrix is
 the kernel; a second product gives the scores.
 
-Learning takes at most ``sample`` texts a language (smallest id hashes) of at most ``sample_bytes`` bytes; every text is
+Learning takes at most ``sample`` texts a language (smallest id hashes) and reads at most about ``sample_bytes`` bytes of each; every text is
 classified whole.
 
 Nulls: a null text, or one with no letter, is ``und`` with score 0; a null id is kept with ``held_out`` false and not learnt from.
@@ -100,9 +100,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 24, ridge: float = 1e-3) -
 
 
 def labelled(docs: DataFrame, sample: int, sample_bytes: int) -> list[tuple[str, str]]:
-    """At most ``sample`` texts a language, in the order of the id's hash."""
+    """At most ``sample`` texts a language, in the order of the id's hash; of a longer text a piece from its first letter on."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    can = own.where("lang is not null and doc_id is not null").where(F.octet_length("text").between(1, sample_bytes)).where(crc_mod("doc_id", 3) != 1)
+    has_letter = F.col("text").rlike(r"\p{L}")
+    can = own.where("lang is not null and doc_id is not null").where("text <> ''").where(crc_mod("doc_id", 3) != 1).where(has_letter)
+    can = can.withColumn("text", F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, max(1, sample_bytes // 4))))
     first = can.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("r") <= sample)
     got = first.select("h", "doc_id", "text", "lang").collect()
     return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text, r.lang)) if LETTER.search(r.text)]

@@ -42,6 +42,16 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3]
 
 
+def test_texts_stay_without_a_language_to_learn(spark):
+    """No row has a lang, or all that have one are long."""
+    texts = [prose(i, 20) for i in range(6)] + ["12 34", None]
+    rows = C.language(spark, frame(spark, texts), None).collect()
+    assert {(r.doc_id, r.lang) for r in rows} == {(i, "und") for i in range(6)}
+    long = [f"{w} " * 4000 for w in ("the house and the cat", "le chat de la maison")] * 4 + ["le chat est de la maison"]
+    rows = C.language(spark, frame(spark, long, langs=["en", "fr"] * 4 + [None]), None).collect()
+    assert {r.doc_id: r.lang for r in rows} == dict(enumerate(["en", "fr"] * 4 + ["fr"]))
+
+
 def test_run_on_a_table(spark, tmp_path):
     frame(spark, [prose(i, 60) for i in range(8)], langs=["en"] * 8).write.parquet(str(tmp_path / "documents.parquet"))
     rows = C.run(spark, str(tmp_path)).collect()
