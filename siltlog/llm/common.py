@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's switch to remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stage:
-    """Tables written to the shared folder to cut lineage; a lost executor costs a reread, not a recomputation."""
+    """Tables written to the shared folder to cut lineage; a lost executor costs a reread, not a recomputation. What a write has shuffled goes as it ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -35,10 +39,17 @@ class Stage:
     def put(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siltlog_path = path
-        self.spark._jvm.System.gc()  # shuffle files of finished steps go when their plans are collected
         return out
 
     def drop(self, *frames: DataFrame) -> None:

@@ -2,27 +2,31 @@
 
 A byte of a document goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
-1. Texts are packed into blocks. Of every window of ``length`` bytes the least hash of its ``GRAM``-byte strings is a fingerprint; a window none of
-   whose fingerprints occurs twice has no copy. What is left is cut at places chosen by content, so that copies give equal chunks, and equal
-   chunks become one string with the smallest id of its holders. A like test over the strings leaves those of their windows that
-   may occur in several strings; any other's answer is its own string's.
-2. The suffixes of these strings are sorted with a difference cover. A symbol is a third of the length (rounded up); positions whose
-   symbol number is 1 or 2 modulo 3 are the sample. Their triples of symbols are sorted across workers, and their order gives them names. A triple spans
-   the whole length, so names that are still equal stand for equal strings, and the recursion on names has nothing left to tell apart: it
-   ends at its first level.
-3. The remaining suffixes, by (symbol, name one symbol on), are merged with the sample, range by range, and prefixes of neighbours compared: a run of equal ones is one
-   string, and gets the smallest id of its holders. Every string's answer goes back to the chunks, blocks and documents it came from.
-
-Strings equal within a block are sent once, so one that all documents share costs a message a block. Splitters come from a bounded sample of
-sorted strings and only balance the work.
+Prelude, exact. Texts are packed into blocks; a document over ``PIECE_BYTES`` is cut into pieces that overlap by ``length - 1`` bytes, so each string starts
+in one piece. Of every window of ``length`` bytes the least hash of its ``GRAM``-byte strings is a fingerprint; a window none of whose fingerprints occurs in
+another document has no copy. What is left is cut at places chosen by content, so that copies give equal chunks, and equal chunks become one string with
+the smallest id of its holders. Windows whose hash no other such string has keep the answer of their own string. All others are sorted:
+
+1. They lie in runs; a run, with zeros behind it, is a text. A symbol is ``width`` bytes, a place's symbol number is counted from its run's start. Places with a
+   symbol number of 1 or 2 modulo 3 are the sample. Their triples of symbols are sorted in ranges across workers, and their order gives them names.
+2. The names are the symbols of the next level, a place's follower there lies three symbols on; the same is done with them, until a triple of names covers the
+   whole length. For 50 bytes symbols of 6 bytes need one such recursion, longer strings need more.
+3. On the way back the rest of each level, by (symbol, rank of the follower), is merged with its sample, and the merged order ranks the level. At the lowest level only
+   windows are merged; prefixes of neighbours in the order are compared, and a run of equal ones gets the smallest id of its holders. Every string's answer goes back to
+   the chunks, blocks and documents it came from.
+
+What crosses the network for a sort are the distinct tuples of a task, and ranks go back as differences; only the last merge carries the compared prefixes. Strings equal within a
+block are sent once, so one that all documents share costs a message a block. Splitters come from a bounded sample of the runs and only balance the work. Each step is
+written to the shared folder, and the tables it has used up are dropped.
 
 Nulls: a null text is empty. A row with a null id neither removes nor loses anything. Rows that repeat an id don't remove from each other. Repeated rows each
-get a row; an empty table gives none; other columns are ignored.
+get a row; an empty table gives none; other columns are ignored. Very long texts take the memory of their pieces, and in the end of their digest's (``with_text``: the text's).
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,20 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stage, table, utf8_views
-from .messages import MESSAGE, each, gathered, sent
+from .messages import MESSAGE, each, gathered, sent, unpacked
 from .minhash import _POWERS, mix
 
 GRAM = 24
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES, PIECE_BYTES = 1 << 21, 1 << 21
 #: Windows of a chunk: about, and at most.
 CHUNK, CHUNK_MOST = 48, 2048
 SPLITTERS = 1 << 16
+NONE = np.uint32(2**32 - 1)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+FACTORS = mix(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
+OF_BYTE = [mix(np.arange(256, dtype=np.uint64) + np.uint64(s)) for s in (1, 257)]
 
 
 def sums(b: np.ndarray, salt: int) -> np.ndarray:
     up, _ = _POWERS.upto(len(b) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(b.astype(np.uint64) + np.uint64(salt)) * up[: len(b)], dtype=np.uint64)])
+    out = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(OF_BYTE[salt][b] * up[: len(b)], out=out[1:])
+    return out
 
 
 def hashes(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,121 +63,158 @@ def hashes(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
 
+def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
+    s = 1
+    while s < width:
+        step = min(s, width - s)
+        x = best(x[: len(x) - step], x[step:])
+        s += step
+    return x
+
+
+def before_ends(ends: np.ndarray, n: int) -> np.ndarray:
+    """The last n places before each end."""
+    at = (ends[:, None] - np.arange(1, n + 1)).ravel()
+    return at[at >= 0]
+
+
+def steps(v: np.ndarray) -> np.ndarray:
+    """The differences of a sorted array, in as few bytes as hold them."""
+    d = np.diff(v, prepend=v.dtype.type(0)).astype(np.uint64)
+    return d.astype(np.uint32) if not len(d) or d.max() < 2**32 else d
+
+
+def summed(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d, dtype=np.uint64)
+
+
+def groups_of(sorted_: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def several(values: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and which of them have more than one holder."""
+    order = np.argsort(values)
+    values, holder = values[order], holder[order]
+    begin = groups_of(values)
+    if not len(begin):
+        return values, np.zeros(0, bool)
+    return values[begin], np.minimum.reduceat(holder, begin) < np.maximum.reduceat(holder, begin)
+
+
 class Text:
-    """The documents of a block: their bytes in a row, ends[i] the end of i's document, begins[i] its start."""
+    """The pieces of a block: their bytes in a row, off their ends behind a 0; row and seq say where a piece belongs if its document has more."""
 
     def __init__(self, body):
-        self.ids, self.known, self.off, data = body
+        self.ids, self.known, self.row, self.seq, self.core, self.off, data = body
         self.buf = np.frombuffer(data, np.uint8)
-        n = np.diff(self.off)
-        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.off))
+
+    def words(self) -> np.ndarray:
+        """The eight bytes from each place on."""
+        return np.ndarray((len(self.buf),), "<u8", np.concatenate([self.buf, np.zeros(8, np.uint8)]), strides=(1,)).copy()
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and 48-bit fingerprints of the least hash of every window."""
-        n = len(self.buf)
+        n, w = len(self.buf), length - GRAM + 1
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = sums(self.buf, 1)
-        at = np.arange(n - GRAM + 1)
-        h = hashes(total, at, at + GRAM)
-        h[self.doc[at] != self.doc[at + GRAM - 1]] = np.uint64(2**64 - 1)
-        least, w = sliding(h, length - GRAM + 1, np.minimum), length - GRAM + 1
-        self.hash, self.least = h, least
-        edge = np.zeros(w - 1, np.uint64)
-        place = np.flatnonzero((h == sliding(np.concatenate([edge, least, edge]), w, np.maximum)) & (h != np.uint64(2**64 - 1)))
-        return place, h[place] >> np.uint64(16)
-
-
-    def candidates(self, length: int, repeated_: np.ndarray) -> np.ndarray:
-        """The starts of windows whose own least fingerprint is among the repeated ones: only they can have a copy."""
-        place, fp = self.anchors(length)
+        self.word = self.words()
+        h = self.word[: n - 23] * FACTORS[0]
+        h += self.word[8 : n - 15] * FACTORS[1]
+        h += self.word[16 : n - 7] * FACTORS[2]
+        self.hash = np.minimum((h >> np.uint64(32)).astype(np.uint32), NONE - np.uint32(1))
+        cut = before_ends(self.off[1:-1], GRAM - 1)
+        self.hash[cut[cut < len(self.hash)]] = NONE
+        self.least = sliding(self.hash, w, np.minimum)
+        edge = np.zeros(w - 1, np.uint32)
+        place = np.flatnonzero((self.hash == sliding(np.concatenate([edge, self.least, edge]), w, np.maximum)) & (self.hash != NONE))
+        return place, mix(h[place]) >> np.uint64(16)
+
+    def candidates(self, length: int, again: np.ndarray) -> np.ndarray:
+        """The starts of windows whose own least fingerprint is at one of the places ``again``: only they can have a copy."""
+        own = np.full(len(self.hash), NONE)
+        own[again] = self.hash[again]
+        own = sliding(own, length - GRAM + 1, np.minimum)
         out = np.zeros(len(self.buf), bool)
-        if not len(place):
-            return out
-        again = np.zeros(len(self.hash), bool)
-        again[place[np.isin(fp, repeated_)]] = True
-        own = sliding(np.where(again, self.hash, np.uint64(2**64 - 1)), length - GRAM + 1, np.minimum)
-        at = np.arange(len(own))
-        out[: len(own)] = (own == self.least) & (at + length <= self.off[1:][self.doc[at]])
+        out[: len(own)] = (own == self.least) & (own != NONE)
+        out[before_ends(self.off[1:], length - 1)] = False
+        if not self.known.all():
+            out &= self.known[self.doc]
         return out
 
 
-def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
-    s = 1
-    while s < width:
-        step = min(s, width - s)
-        x = best(x[: len(x) - step], x[step:])
-        s += step
-    return x
-
-
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, length: int, block_bytes: int, piece_bytes: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
 
-        def packs():
-            nonlocal made
-            ids, known, parts, size = [], [], [], 0
+        def pieces():
+            row = part << 32
             for b in batches:
                 raw, off = utf8_views(b.column(1))
                 for i, x in enumerate(b.column(0).to_pylist()):
-                    ids.append(x or 0)
-                    known.append(x is not None)
-                    parts.append(raw[off[i] : off[i + 1]].tobytes())
-                    size += len(parts[-1])
-                    if size >= BLOCK_BYTES or len(ids) >= 50_000:
-                        yield part << 32 | made, 0, 0, body(ids, known, parts)
-                        made += 1
-                        ids, known, parts, size = [], [], [], 0
-            if ids:
-                yield part << 32 | made, 0, 0, body(ids, known, parts)
-
-        def body(ids, known, parts):
-            return np.array(ids, np.int64), np.array(known, bool), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), b"".join(parts)
+                    a, end, row, seq = off[i], off[i + 1], row + 1, 0
+                    while end - a > piece_bytes:
+                        yield x or 0, x is not None, row, seq, piece_bytes, raw[a : min(end, a + piece_bytes + length - 1)].tobytes()
+                        a, seq = a + piece_bytes, seq + 1
+                    yield x or 0, x is not None, row, seq if seq else -1, end - a, raw[a:end].tobytes()
+
+        def packs():
+            made, held, size = 0, [], 0
+            for p in pieces():
+                held.append(p)
+                size += len(p[-1])
+                if size >= block_bytes or len(held) >= 50_000:
+                    yield part << 32 | made, 0, 0, body(held)
+                    made, held, size = made + 1, [], 0
+            if held:
+                yield part << 32 | made, 0, 0, body(held)
+
+        def body(held):
+            ids, known, row, seq, core, parts = zip(*held, strict=True)
+            return np.array(ids, np.int64), np.array(known, bool), np.array(row, np.int64), np.array(seq), np.array(core), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), b"".join(parts)
 
         yield from sent(packs())
 
     return docs.mapInArrow(run, MESSAGE)
 
 
-def ranges(values: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+def ranges(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of equal numbers in a sorted array: (number, from, to)."""
-    cut = np.flatnonzero(np.diff(values)) + 1
-    edges = [0, *cut.tolist(), len(values)]
-    return [(int(values[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    edges = [*groups_of(sorted_).tolist(), len(sorted_)]
+    return [(int(sorted_[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def by_value(values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """Ranges of sorted 48-bit values by bucket."""
+    return ranges(((values * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64))
 
 
 def fingerprints(length: int, buckets: int):
     def step(block, _, body):
         t = Text(body)
         place, fp = t.anchors(length)
-        # of each fingerprint: whether two ids of this block have it
-        order = np.lexsort((t.ids[t.doc[place]], fp))
-        fp, ids = fp[order], t.ids[t.doc[place]][order]
-        new = np.concatenate([[True], fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        if not len(begin):
-            return
-        end = np.concatenate([begin[1:], [len(fp)]]) - 1
-        one, many = fp[begin], ids[begin] != ids[end]
-        to = (one * np.uint64(buckets)) >> np.uint64(48)
-        for k, a, b in ranges(to.astype(np.int64), buckets):
-            yield k, 0, block, (np.diff(one[a:b], prepend=np.uint64(0)).astype(np.uint64), np.packbits(many[a:b]))
+        one, many = several(fp, t.ids[t.doc[place]])
+        for k, a, b in by_value(one, buckets):
+            yield k, 0, block, (steps(one[a:b]), np.packbits(many[a:b]))
 
     return step
 
 
 def repeated(key, held):
-    """Which fingerprints of each block are in another document too."""
-    got = [(s, np.cumsum(d, dtype=np.uint64), np.unpackbits(m, count=len(d)).astype(bool)) for s, (d, m) in held[0]]
-    every = np.concatenate([v for _, v, _ in got])
-    one, back, count = np.unique(every, return_inverse=True, return_counts=True)
-    twice = count > 1
-    twice[back[np.concatenate([m for *_, m in got])]] = True
-    a = 0
+    """For each sender a bit a value: whether another has it too, or the sender itself from two holders."""
+    got = [(s, summed(d), np.unpackbits(m, count=len(d)).astype(bool)) for s, (d, m) in held[0]]
+    every = np.sort(np.concatenate([v for _, v, _ in got]))
+    both = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[v[m] for _, v, m in got]]))
     for s, v, _ in got:
-        yield s, 1, key, v[twice[back[a : a + len(v)]]]
-        a += len(v)
+        yield s, 1, key, np.packbits(both[np.minimum(np.searchsorted(both, v), len(both) - 1)] == v if len(both) else np.zeros(len(v), bool))
+
+
+def told(held, one: np.ndarray, ranges_: list[tuple[int, int, int]]) -> np.ndarray:
+    """The bits of ``repeated`` for the values sent, which it had in ranges."""
+    bits = dict(held.get(1, []))
+    return np.concatenate([np.zeros(0, bool), *[np.unpackbits(bits[k], count=b - a).astype(bool) for k, a, b in ranges_]])
 
 
 def chunks(length: int, buckets: int):
@@ -176,15 +222,16 @@ def chunks(length: int, buckets: int):
         if 0 not in held:
             return
         t = Text(held[0][0][1])
-        hits = [v for _, v in held.get(1, [])]
-        if not hits or not sum(map(len, hits)):
+        place, fp = t.anchors(length)
+        one = np.unique(fp)
+        again = one[told(held, one, by_value(one, buckets))]
+        if not len(again):
             return
         n, begins = len(t.buf), t.off[:-1]
-        window = t.candidates(length, np.concatenate(hits)) & t.known[t.doc]
-        total, other = sums(t.buf, 1), sums(t.buf, 257)
-        at = np.arange(max(0, n - 16))
+        window = t.candidates(length, place[again[np.minimum(np.searchsorted(again, fp), len(again) - 1)] == fp])
+        at = np.flatnonzero(window)
         cut = np.zeros(n, bool)
-        cut[: len(at)] = (hashes(total, at, at + 16) % np.uint64(CHUNK)) == 0
+        cut[at[(t.word[at] * FACTORS[3] + t.word[at + 8] * FACTORS[4]) >> np.uint64(32) < np.uint64(2**32 // CHUNK)]] = True
         cut[begins[begins < n]] = True
         head = window & (cut | ~np.concatenate([[False], window[:-1]]))
         start = np.flatnonzero(head)
@@ -197,7 +244,7 @@ def chunks(length: int, buckets: int):
             k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             start, count = np.repeat(start, times) + k * CHUNK_MOST, np.minimum(CHUNK_MOST, np.repeat(count, times) - k * CHUNK_MOST)
         stop = start + count + length - 1
-        h1, h2, ids = hashes(total, start, stop), hashes(other, start, stop), t.ids[t.doc[start]]
+        h1, h2, ids = hashes(sums(t.buf, 0), start, stop), hashes(sums(t.buf, 1), start, stop), t.ids[t.doc[start]]
         to = (h1 % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((ids, h2, h1, to))
         new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
@@ -205,7 +252,7 @@ def chunks(length: int, buckets: int):
         number = np.empty(len(start), np.int64)
         number[order] = np.cumsum(new) - 1
         yield block, 2, 0, (start, count, number, count[first])
-        for k, a, b in ranges(to[first], buckets):
+        for k, a, b in ranges(to[first]):
             f = first[a:b]
             yield k, 3, block, (h1[f], h2[f], ids[f], count[f], b"".join(t.buf[x:y].tobytes() for x, y in zip(start[f], stop[f], strict=True)))
 
@@ -233,203 +280,287 @@ def distinct_strings(length: int):
     return step
 
 
-def as_text(body) -> Text:
-    """The strings of a bucket as documents of their own."""
-    _, count, data, _, length = body
-    return Text((np.arange(len(count)), np.ones(len(count), bool), np.concatenate([[0], np.cumsum(count + length - 1)]), data))
+def window_places(count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings in a row: the places of their windows, and each one's string."""
+    of = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(of)) + of * (length - 1), of
+
 
+def window_hashes(body, length: int) -> tuple[np.ndarray, np.ndarray]:
+    _, count, data, _ = body
+    at, of = window_places(count, length)
+    return hashes(sums(np.frombuffer(data, np.uint8), 0), at, at + length) >> np.uint64(16), of
 
-def string_fingerprints(length: int, buckets: int):
-    """Of each string's fingerprints, how far the windows begin before them whose least they are: windows in two strings are equal only if the distances are."""
 
+def hashes_out(length: int, buckets: int):
     def step(key, _, body):
-        t = as_text((*body, length))
-        place, fp = t.anchors(length)
-        if not len(place):
-            return
-        at = np.arange(len(t.least))
-        window = np.flatnonzero(at + length <= t.off[1:][t.doc[at]])
-        first, last = np.searchsorted(place, window), np.searchsorted(place, window + length - GRAM, "right")
-        lo, hi = np.full(len(place), 255), np.full(len(place), -1)
-        for k in range(int((last - first).max(initial=0))):  # equal hashes may stand in one window
-            j = first + k
-            ok = (j < last) & (t.hash[place[np.minimum(j, len(place) - 1)]] == t.least[window])
-            np.minimum.at(lo, j[ok], (place[j[ok]] - window[ok]))
-            np.maximum.at(hi, j[ok], (place[j[ok]] - window[ok]))
-        order = np.argsort(fp, kind="stable")
-        order = order[hi[order] >= 0]
-        f = fp[order]
-        for k, a, b in ranges(((f * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64), buckets):
-            o = order[a:b]
-            yield k, 0, key, (np.diff(f[a:b], prepend=np.uint64(0)).astype(np.uint64), lo[o].astype(np.uint8), hi[o].astype(np.uint8))
+        one, many = several(*window_hashes(body, length))
+        for k, a, b in by_value(one, buckets):
+            yield k, 0, key, (steps(one[a:b]), np.packbits(many[a:b]))
 
     return step
 
 
-def clashing(key, held):
-    """Fingerprints of which two occurrences have windows at the same distance."""
-    got = [(s, np.cumsum(d, dtype=np.uint64), lo, hi) for s, (d, lo, hi) in held[0]]
-    fp, lo, hi = (np.concatenate([x[i] for x in got]) for i in (1, 2, 3))
-    one, back = np.unique(fp, return_inverse=True)
-    order = np.lexsort((lo, back))
-    group, far = back[order], np.maximum.accumulate(back[order] * 256 + hi[order])
-    clash = np.zeros(len(one), bool)
-    clash[group[1:][(group[1:] == group[:-1]) & (far[:-1] - group[1:] * 256 >= lo[order][1:])]] = True
-    a = 0
-    for s, v, *_ in got:
-        yield s, 1, key, np.unique(v[clash[back[a : a + len(v)]]])
-        a += len(v)
-
-
-def marked(length: int):
+def runs_out(length: int, buckets: int):
     def step(key, held):
-        """Which windows may occur in another string as well; the others have their string's answer already."""
+        """What answers need of the strings, and the runs of windows that have to be sorted."""
         if 0 not in held:
             return
         body = held[0][0][1]
-        hits = [v for _, v in held.get(1, [])]
-        open_ = as_text((*body, length)).candidates(length, np.concatenate(hits)) if hits else np.zeros(len(body[2]), bool)
-        yield key, 0, 0, (*body, np.packbits(open_))
+        ids, count, data, asked = body
+        h, of = window_hashes(body, length)
+        one = np.unique(h)
+        open_ = told(held, one, by_value(one, buckets))[np.searchsorted(one, h)]
+        yield key, 4, 0, (ids, count, asked, np.packbits(open_))
+        at, of = np.flatnonzero(open_) + of[open_] * (length - 1), of[open_]
+        if not len(at):
+            return
+        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        yield key, 5, 0, (ids[of[first]], size, b"".join(data[a : a + n + length - 1] for a, n in zip(at[first].tolist(), size.tolist(), strict=True)))
 
     return step
 
 
-class Strings:
-    """The strings of one bucket in a row; symbols and triples beyond a string's end are whatever follows, which no comparison reaches."""
+class Runs:
+    """The runs of a bucket, each with zeros behind it. Places are numbers of ``buf``; level l has those that were sampled on all levels below."""
 
     def __init__(self, body, length: int):
-        self.ids, self.count, data, self.asked, open_ = body
-        self.length, self.width = length, -(-length // 3)
-        self.size = self.count + length - 1
-        self.buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3 * self.width, np.uint8)])
-        self.n = len(data)
-        begin = np.cumsum(self.size) - self.size
-        within = np.arange(self.n) - np.repeat(begin, self.size)
-        self.kind = within // self.width % 3
-        self.window = np.unpackbits(open_, count=self.n).astype(bool)
-        self.owner = np.repeat(self.ids, self.size)
-
-    def strings(self, at: np.ndarray, width: int) -> np.ndarray:
-        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.buf, width)[at]).view(f"S{width}").ravel()
-
-    def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled places that a window's comparison reaches, their distinct triples in order, and which each place has."""
-        need = np.zeros(len(self.buf), bool)
-        for k in range(3):
-            need[k * self.width : self.n] |= self.window[: max(0, self.n - k * self.width)]
-        at = np.flatnonzero(need[: self.n] & (self.kind > 0))
-        triples, back = np.unique(self.strings(at, 3 * self.width), return_inverse=True)
-        return at, triples, back
-
-    def windows(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """By class: window places, distinct strings in order, which each place has, and a place of each."""
-        out: tuple = ([], [], [], [])
-        for c in range(3):
-            at = np.flatnonzero(self.window & (self.kind == c))
-            one, first, back = np.unique(self.strings(at, self.length), return_index=True, return_inverse=True)
-            for o, x in zip(out, (at, one, back, at[first]), strict=True):
-                o.append(x)
+        self.ids, self.count, data = body
+        self.length, self.width = length, min(8, -(-length // 9))
+        self.top = 0
+        while self.width * 3 ** (self.top + 1) < length:
+            self.top += 1
+        size = self.count + length - 1
+        pad = 2 * self.step(self.top) + 3 * self.width
+        of = np.repeat(np.arange(len(size)), size)
+        self.places = np.arange(len(of)) + of * pad
+        self.within = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+        self.buf = np.zeros(len(of) + (len(size) + 1) * pad, np.uint8)
+        self.buf[self.places] = np.frombuffer(data, np.uint8)
+        self.room, self.of = self.count[of] - self.within, of  # windows from this place on, none or fewer behind the last
+        n = len(self.buf) - self.width
+        self.symbols = [np.zeros(n, np.uint64)]
+        for k in range(self.width):
+            self.symbols[0] = self.symbols[0] << np.uint64(8) | self.buf[k : k + n]
+
+    def step(self, level: int) -> int:
+        """How far the follower of a place is."""
+        return self.width * 3**level
+
+    def number(self, level: int) -> np.ndarray:
+        """Symbol numbers modulo 3."""
+        return self.within // self.step(level) % 3
+
+    def level(self, level: int) -> np.ndarray:
+        """Which of ``places`` belong to a level."""
+        out = np.ones(len(self.places), bool)
+        for k in range(level):
+            out &= self.number(k) > 0
         return out
 
+    def cells(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.symbols[0]), np.uint64)
+        out[at] = values
+        return out
 
-def splitters(strings: DataFrame, length: int, buckets: int, parts: int) -> np.ndarray:
-    """At most SPLITTERS sampled triples come to the driver."""
-    each_of = max(1, SPLITTERS // buckets)
-    some = strings.where(F.pmod(F.xxhash64("key"), F.lit(-(-buckets // SPLITTERS))) == 0)
-
-    def step(key, _, body):
-        _, triples, _ = Strings(body, length).sample()
-        yield key, 0, 0, triples[np.linspace(0, len(triples) - 1, min(each_of, len(triples))).astype(int)] if len(triples) else triples
-
-    from .messages import unpacked
+    def triples(self, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The sampled places of a level; their distinct triples of symbols in order; which each place has; a place of each."""
+        at, s, x = self.places[self.level(level + 1)], self.step(level), self.symbols[level]
+        return at, *distinct([x[at], x[at + s], x[at + 2 * s]], at)
+
+    def name(self, level: int, names: list[tuple[int, np.ndarray]]) -> None:
+        """Takes the names of the distinct triples for the next level's symbols."""
+        at, _, back, _ = self.triples(level)
+        got = np.concatenate([np.zeros(0, np.uint64), *[summed(x) for _, x in names]])
+        self.symbols.append(self.cells(at, got[back]))
+
+    def text(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.buf, n)[at]).view(f"S{n}").ravel()
+
+    def cut(self, at: np.ndarray, split: list[bytes], n: int) -> list[tuple[int, int, int]]:
+        """Places in the order of their first n bytes, by range: (range, from, to)."""
+        text = lambda i: self.buf[at[i] : at[i] + n].tobytes()
+        edges, a = [0], 0
+        for x in split:
+            a = bisect_left(range(len(at)), x[:n], lo=a, key=text)
+            edges.append(a)
+        return [(k, a, b) for k, (a, b) in enumerate(zip(edges, [*edges[1:], len(at)], strict=True)) if b > a]
+
+    def items(self, level: int, rank: np.ndarray, only: np.ndarray) -> tuple[list, ...]:
+        """What a merge of a level needs of the places ``only``, by class: the distinct keys in order, which each place has, a place of each.
+
+        The sample is in the order of its ranks; for class 1 come (symbol, rank one on), for class 2 (two symbols, rank two on), for the rest both.
+        """
+        s, x, number, out = self.step(level), self.symbols[level], self.number(level), []
+        for c in range(3):
+            at = self.places[only & (number == c)]
+            keys, back, place = distinct([x[at], rank[at + s]] if c == 0 else [rank[at]], at)
+            one, two = (x[place], rank[place + s]), (x[place], x[place + s], rank[place + 2 * s])
+            out.append(({0: (*one, *two[1:]), 1: (*keys, *one), 2: (*keys, *two)}[c], back, at, place))
+        return out
 
-    found = [unpacked(bytes(r.body)) for r in each(some, step).select("body").collect()]
-    every = np.sort(np.concatenate(found)) if found else np.zeros(0, f"S{3 * -(-length // 3)}")
-    return np.unique(every[np.linspace(0, len(every) - 1, min(parts - 1, len(every))).astype(int)]) if len(every) else every
 
+def distinct(keys: list[np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    first = order[new]
+    return [k[first] for k in keys], back, at[first]
 
-def triples_out(length: int, split):
-    def step(key, _, body):
-        _, triples, _ = Strings(body, length).sample()
-        for k, a, b in ranges(np.searchsorted(split.value, triples, "right"), 0):
-            yield k, 0, key, triples[a:b]
 
-    return step
+def numbered(new: np.ndarray, key: int) -> np.ndarray:
+    """Names in the order of one range: its number, then the rank in it; 0 is the name of zeros."""
+    return (np.uint64(key) << np.uint64(40)) + np.cumsum(new).astype(np.uint64)
 
 
 def named(key, held):
-    """Names of the triples of one range: the range's number, then the rank in it."""
+    """Names of the triples of one range."""
     got = held[0]
-    _, back = np.unique(np.concatenate([x for _, x in got]), return_inverse=True)
+    keys = [np.concatenate([x[i] for _, x in got]) for i in range(3)]
+    one, back, _ = distinct(keys, np.zeros(len(keys[0]), np.int64))
+    zero = (one[0] | one[1] | one[2]) == 0
+    names = np.where(zero, np.uint64(0), numbered(np.ones(len(zero), bool), key))[back]
     a = 0
     for s, x in got:
-        yield s, 1, key, (np.int64(key) << 40) + back[a : a + len(x)] + 1
-        a += len(x)
+        yield s, 1, key, steps(names[a : a + len(x[0])])
+        a += len(x[0])
 
 
-def suffixes_out(length: int, split):
+def triples_out(length: int, level: int, split):
     def step(key, held):
-        t = Strings(held[0][0][1], length)
-        at, _, back = t.sample()
-        name = np.zeros(len(t.buf), np.int64)
-        if len(at):
-            name[at] = np.concatenate([x for _, x in held.get(1, [])])[back]
-        w = t.width
-        _, one, back, place = t.windows()
-        messages: dict[int, list] = {}
-        for c in range(3):
-            if not len(one[c]):
-                continue
-            least = np.full(len(one[c]), np.iinfo(np.int64).max)
-            np.minimum.at(least, back[c], t.owner[np.flatnonzero(t.window & (t.kind == c))])
-            p = place[c]
-            names = {0: (name[p + w], name[p + 2 * w]), 1: (name[p], name[p + w]), 2: (name[p], name[p + 2 * w])}[c]
-            for k, a, b in ranges(np.searchsorted(split.value.astype(f"S{length}"), one[c], "right"), 0):
-                messages.setdefault(k, []).append((c, one[c][a:b], names[0][a:b], names[1][a:b], least[a:b]))
-        for k, x in messages.items():
+        t = Runs(held[5][0][1], length)
+        for k in range(level):
+            t.name(k, held.get(10 + k, []))
+        _, keys, _, place = t.triples(level)
+        for k, a, b in t.cut(place, split.value, 3 * t.step(level)):
+            yield k, 0, key, [x[a:b] for x in keys]
+
+    return step
+
+
+def less(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each of b how many of a have a smaller key."""
+    keys = [np.concatenate(x) for x in zip(a, b, strict=True)]
+    mine = np.repeat([1, 0], [len(a[0]), len(b[0])])  # of equal ones b's first
+    order = np.lexsort([mine, *keys[::-1]])
+    before = np.empty(len(order), np.int64)
+    before[order] = np.cumsum(mine[order])
+    return before[len(a[0]) :]
+
+
+def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of the rest (class 0) and of both classes of the sample, whose items are numbered on, and which of them in that order differ from those before."""
+    rest, one, two = parts
+    n = [len(x[0]) for x in parts]
+    sample = n[0] + np.argsort(np.concatenate([one[0], two[0]]), kind="stable")
+    order = np.lexsort((rest[1], rest[0]))
+    before = (less(one[1:], rest[:2]) + less(two[1:], [rest[0], *rest[2:]]))[order]
+    array = np.concatenate([sample, order])[np.argsort(np.concatenate([2 * np.arange(len(sample)) + 1, 2 * before]), kind="stable")]
+    kind = (array >= n[0]).astype(np.int8)
+    first, second = np.concatenate([rest[0], one[0], two[0]])[array], np.concatenate([rest[1], np.zeros(n[1] + n[2], np.uint64)])[array]
+    new = np.ones(len(array), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return array, new
+
+
+def taken(held, at: int) -> tuple[list, list[list[np.ndarray]]]:
+    """Of a range's messages, which list items of the three classes: (sender, class, number of items), and the items by class."""
+    got = sorted(((c, s, x) for s, body in held[at] for c, x in body), key=lambda x: x[:2])
+    empty = {0: 4, 1: 3, 2: 4}
+    parts = [[np.concatenate([np.zeros(0, np.uint64), *[x[i] for k, _, x in got if k == c]]) for i in range(empty[c])] for c in range(3)]
+    return [(s, c, len(x[0])) for c, s, x in got], parts
+
+
+def items_out(length: int, level: int, split):
+    """The items of a merge, by range; on the lowest level with their prefixes and the smallest id that has each."""
+
+    def step(key, held):
+        t = Runs(held[5][0][1], length)
+        rank = ranks(t, held, level)
+        out: dict[int, list] = {}
+        for c, (keys, back, at, place) in enumerate(t.items(level, rank, wanted(t, level))):
+            more = ()
+            if level == 0:
+                least = np.full(len(place), np.iinfo(np.int64).max)
+                np.minimum.at(least, back, t.ids[t.of[np.searchsorted(t.places, at)]])
+                more = (t.text(place, length), least)
+            for k, a, b in t.cut(place, split.value, length):
+                out.setdefault(k, []).append((c, [x[a:b] for x in (*keys, *more)]))
+        for k, x in out.items():
             yield k, 0, key, x
 
     return step
 
 
-def keyed(strings: np.ndarray, width: int, names: np.ndarray) -> np.ndarray:
-    """The first bytes of strings with a name after them, in the order of both."""
-    n, length = len(strings), strings.dtype.itemsize
-    out = np.empty((n, width + 8), np.uint8)
-    out[:, :width] = np.ascontiguousarray(strings).view(np.uint8).reshape(n, length)[:, :width]
-    out[:, width:] = names.astype(">i8").view(np.uint8).reshape(n, 8)
-    return out.view(f"S{width + 8}").ravel()
+def wanted(t: Runs, level: int) -> np.ndarray:
+    """The places whose ranks the level below asks for; on the lowest level the windows."""
+    return t.level(level) & (t.room > -2 * sum(t.step(k) for k in range(level)))
 
 
-def merge(length: int):
-    width = -(-length // 3)
+def ranks(t: Runs, held, level: int) -> np.ndarray:
+    """Ranks of the places of the level above, by cell: what its merge has sent, or above the last level the names of the last triples."""
+    while len(t.symbols) <= t.top + 1:
+        t.name(len(t.symbols) - 1, held.get(9 + len(t.symbols), []))
+    if level == t.top:
+        return t.symbols[-1]
+    got = {c: np.concatenate([np.zeros(0, np.uint64), *[summed(x) for _, body in held.get(21 + level, []) for k, x in body if k == c]]) for c in range(3)}
+    out = np.zeros(len(t.symbols[0]), np.uint64)
+    for c, (_, back, at, _) in enumerate(t.items(level + 1, ranks(t, held, level + 1), wanted(t, level + 1))):
+        out[at] = got[c][back]
+    return out
+
 
+def ranked(level: int):
     def step(key, held):
-        """The suffix array of one range, and of each string the smallest id that has it."""
-        part = [(s, c, x) for s, body in held[0] for c, *x in body]
-        kind = np.concatenate([np.full(len(x[0]), c) for _, c, x in part])
-        text, n1, n2, ids = (np.concatenate([x[i] for *_, x in part]) for i in range(4))
-        rest, one, two = (np.flatnonzero(kind == c) for c in range(3))
-        one, two = one[np.argsort(n1[one], kind="stable")], two[np.argsort(n1[two], kind="stable")]
-        sample = np.concatenate([one, two])
-        sample = sample[np.argsort(n1[sample], kind="stable")]
-        # the rest by (symbol, name one symbol on); against class 1 by the same, against class 2 by (two symbols, name two on)
-        by_one, by_two = keyed(text[rest], width, n1[rest]), keyed(text[rest], 2 * width, n2[rest])
-        order = np.argsort(by_one, kind="stable")
-        rest, by_one, by_two = rest[order], by_one[order], by_two[order]
-        before = np.searchsorted(keyed(text[one], width, n2[one]), by_one) + np.searchsorted(keyed(text[two], 2 * width, n2[two]), by_two)
-        array = np.concatenate([sample, rest])[np.argsort(np.concatenate([2 * np.arange(len(sample)) + 1, 2 * before]), kind="stable")]
-        same = text[array][1:] == text[array][:-1]
-        run = np.cumsum(np.concatenate([[True], ~same])) - 1
-        least = np.minimum.reduceat(ids[array], np.flatnonzero(np.concatenate([[True], ~same])))
-        answer = np.empty(len(array), np.int64)
-        answer[array] = least[run]
+        """Ranks of one range of a level, to those who sent its items."""
+        who, parts = taken(held, 0)
+        array, new = merged(parts)
+        rank = np.empty(len(array), np.uint64)
+        rank[array] = numbered(new, key)
         a, out = 0, {}
-        for s, c, x in part:
-            out.setdefault(s, []).append((c, answer[a : a + len(x[0])]))
-            a += len(x[0])
+        for s, c, n in who:
+            out.setdefault(s, []).append((c, steps(rank[a : a + n])))
+            a += n
         for s, x in out.items():
-            yield s, 1, key, x
+            yield s, 20 + level, key, x
+
+    return step
+
+
+def compared(key, held):
+    """The suffix array of one range, and of each string the smallest id that has it."""
+    got = sorted(((c, s, x) for s, body in held[0] for c, x in body), key=lambda x: x[:2])
+    text, ids = (np.concatenate([x[i] for *_, x in got]) for i in (-2, -1))
+    who, parts = taken({0: [(s, [(c, x[:-2]) for c, x in body]) for s, body in held[0]]}, 0)
+    array, _ = merged(parts)
+    same = text[array][1:] == text[array][:-1]
+    run = np.cumsum(np.concatenate([[True], ~same])) - 1
+    least = np.minimum.reduceat(ids[array], np.flatnonzero(np.concatenate([[True], ~same])))
+    answer = np.empty(len(array), np.int64)
+    answer[array] = least[run]
+    a, out = 0, {}
+    for s, c, n in who:
+        out.setdefault(s, []).append((c, answer[a : a + n]))
+        a += n
+    for s, x in out.items():
+        yield s, 6, key, x
+
+
+def open_answers(length: int):
+    def step(key, held):
+        """The smallest id of each window of the runs."""
+        t = Runs(held[5][0][1], length)
+        out = np.zeros(len(t.buf), np.int64)
+        got = {c: np.concatenate([np.zeros(0, np.int64), *[x for _, body in held.get(6, []) for k, x in body if k == c]]) for c in range(3)}
+        for c, (_, back, at, _) in enumerate(t.items(0, ranks(t, held, 0), wanted(t, 0))):
+            out[at] = got[c][back]
+        yield key, 7, 0, out[t.places[t.room > 0]]
 
     return step
 
@@ -437,24 +568,46 @@ def merge(length: int):
 def answers(length: int):
     def step(key, held):
         """Back to the blocks: of each chunk asked for, the smallest id of each window."""
-        t = Strings(held[0][0][1], length)
-        at, one, back, _ = t.windows()
-        least = t.owner.copy()
-        for c in range(3):
-            if len(at[c]):
-                least[at[c]] = np.concatenate([v for _, x in held.get(1, []) for k, v in x if k == c])[back[c]]
-        begin = np.cumsum(t.size) - t.size
-        for block, number in t.asked.items():
-            yield block, 3, key, np.concatenate([least[begin[i] : begin[i] + t.count[i]] for i in number])
+        ids, count, asked, open_ = held[4][0][1]
+        least = np.repeat(ids, count)
+        for _, x in held.get(7, []):
+            least[np.unpackbits(open_, count=len(least)).astype(bool)] = x
+        begin = np.cumsum(count) - count
+        for block, number in asked.items():
+            yield block, 3, key, np.concatenate([least[begin[i] : begin[i] + count[i]] for i in number])
 
     return step
 
 
+class Kept:
+    """What is left of a document whose bytes come in order."""
+
+    def __init__(self, with_text: bool):
+        self.n = self.removed = self.spans = 0
+        self.last, self.sha, self.left = False, hashlib.sha256(), [] if with_text else None
+
+    def add(self, buf: np.ndarray, keep: np.ndarray) -> None:
+        if not len(buf):
+            return
+        left = buf[keep].tobytes()
+        self.n += len(buf)
+        self.removed += len(buf) - len(left)
+        self.spans += int(not keep[0] and not self.last) + int((keep[:-1] & ~keep[1:]).sum())
+        self.last = not keep[-1]
+        self.sha.update(left)
+        if self.left is not None:
+            self.left.append(left)
+
+    def row(self, doc_id) -> tuple:
+        out = (doc_id, self.n, self.removed, self.spans, self.sha.hexdigest())
+        return out if self.left is None else (*out, b"".join(self.left).decode("utf-8", "ignore"))
+
+
 def cleaned(length: int, with_text: bool):
     def step(block, held):
+        """Rows of whole documents (kind 8), and the pieces of others (kind 9)."""
         t = Text(held[0][0][1])
-        n = len(t.buf)
-        gone = np.zeros(n + 1, np.int32)
+        gone = np.zeros(len(t.buf) + 1, np.int32)
         if 2 in held:
             start, count, number, own = held[2][0][1]
             least = np.concatenate([v for _, v in held[3]])  # in the order of the buckets, as the chunks were numbered
@@ -462,20 +615,50 @@ def cleaned(length: int, with_text: bool):
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(start, count) + within
             hit = at[least[np.repeat(begin[number], count) + within] < t.ids[t.doc[at]]]
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + length, -1)
+            gone[hit] += 1
+            gone[hit + length] -= 1
         keep = np.cumsum(gone[:-1]) == 0
-        for i, (a, b) in enumerate(zip(t.off[:-1], t.off[1:], strict=True)):
-            k = keep[a:b]
-            spans = int((~k[:1]).sum() + (k[:-1] & ~k[1:]).sum())
-            left = t.buf[a:b][k].tobytes()
-            row = (int(t.ids[i]) if t.known[i] else None, int(b - a), int(b - a - len(left)), spans, hashlib.sha256(left).hexdigest())
-            yield (*row, left.decode("utf-8", "ignore")) if with_text else row
+        rows = []
+        for i, (a, b) in enumerate(zip(t.off[:-1].tolist(), t.off[1:].tolist(), strict=True)):
+            doc = int(t.ids[i]) if t.known[i] else None
+            if t.seq[i] >= 0:
+                yield t.row[i], 9, t.seq[i], (doc, int(t.core[i]), t.buf[a : a + t.core[i]].tobytes(), np.packbits(keep[a:b]), b - a)
+                continue
+            k = Kept(with_text)
+            k.add(t.buf[a:b], keep[a:b])
+            rows.append(k.row(doc))
+        if rows:
+            yield block, 8, 0, rows
 
     return step
 
 
-def rows_out(names: list[str]):
+def whole_documents(length: int, with_text: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            now = state = doc = None
+            for b in batches:
+                for k, x in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+                    if k != now:
+                        if state:
+                            yield state.row(doc)
+                        now, state, over = k, Kept(with_text), np.ones(0, bool)
+                    doc, core, data, keep, n = unpacked(x.as_py())
+                    keep = np.unpackbits(keep, count=n).astype(bool)
+                    m = min(len(over), len(keep))  # what the piece before had of this one
+                    keep[:m] &= over[:m]
+                    state.add(np.frombuffer(data, np.uint8), keep[:core])
+                    over = keep[core:]
+            if state:
+                yield state.row(doc)
+
+        yield from rows_out(with_text)(rows())
+
+    return run
+
+
+def rows_out(with_text: bool):
+    names = OUT.replace(" long", "").replace(" string", "").split(", ") + ["kept_text"] * with_text
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
 
     def out(rows):
@@ -492,32 +675,71 @@ def rows_out(names: list[str]):
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def splitters(runs: DataFrame, length: int, buckets: int) -> list[bytes]:
+    """At most SPLITTERS sampled windows come to the driver."""
+    each_of = max(1, SPLITTERS // buckets)
+    some = runs.where(F.pmod(F.xxhash64("key"), F.lit(-(-buckets // SPLITTERS))) == 0)
+
+    def step(key, _, body):
+        t = Runs(body, length)
+        at = t.places[t.room > 0]
+        yield key, 0, 0, t.text(at[np.linspace(0, len(at) - 1, min(each_of, len(at))).astype(int)], length)
+
+    found = [unpacked(bytes(r.body)) for r in each(some, step).select("body").collect()]
+    every = np.sort(np.concatenate(found)) if found else np.zeros(0, f"S{length}")
+    return [x.ljust(length, b"\0") for x in np.unique(every[np.linspace(0, len(every) - 1, min(buckets - 1, len(every))).astype(int)]).tolist()] if len(every) else []
+
+
+def sorted_windows(stage: Stage, runs: DataFrame, length: int, parts: int) -> DataFrame:
+    """For each bucket of runs the smallest id of each of its windows, by the suffix array of them all."""
+    spark = runs.sparkSession
+    split = spark.sparkContext.broadcast(splitters(runs, length, parts))
+    top = Runs((np.zeros(0, np.int64), np.zeros(0, np.int64), b""), length).top
+
+    def tagged(kind: int, df: DataFrame) -> DataFrame:
+        return df.withColumn("kind", F.lit(kind).cast("int"))
+
+    known: list[DataFrame] = []
+    for level in range(top + 1):  # down: names
+        triples = gathered([runs, *known], parts, triples_out(length, level, split))
+        known.append(stage.put(tagged(10 + level, gathered([triples], parts, named)), f"names{level}"))
+    for level in range(top, 0, -1):  # up: the rest merged in
+        items = gathered([runs, *known], parts, items_out(length, level, split))
+        known.append(stage.put(gathered([items], parts, ranked(level)), f"ranks{level}"))
+    items = gathered([runs, *known], parts, items_out(length, 0, split))
+    found = gathered([items], parts, compared)
+    out = stage.put(gathered([runs, *known, found], parts, open_answers(length)), "windows")
+    stage.drop(*known)
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row a document: its bytes, those removed, the maximal removed runs, the digest of the rest (``with_text``: and the rest itself, less broken characters)."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
     stage = Stage(spark, "suffix-array")
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    texts = stage.put(blocks(own), "blocks")
+    texts = stage.put(blocks(own, length, block_bytes, max(piece_bytes, length)), "blocks")
     # messages shrink texts, so the work is dealt by the bytes that blocks take
     size = texts.agg(F.sum(F.length("body"))).first()[0] or 0
     parts = max(12, -(-size // (1 << 21)))
     found = gathered([each(texts, fingerprints(length, parts))], parts, repeated)
     sent_out = stage.put(gathered([texts, found], parts, chunks(length, parts)), "chunks")
-    holders = stage.put(sent_out.where("kind = 2"), "holders")
     strings = stage.put(gathered([sent_out.where("kind = 3")], parts, distinct_strings(length)), "strings")
+    holders = stage.put(sent_out.where("kind = 2"), "holders")
     stage.drop(sent_out)
-    again = gathered([each(strings, string_fingerprints(length, parts))], parts, clashing)
-    strings, whole = stage.put(gathered([strings, again], parts, marked(length)), "marked"), strings
-    stage.drop(whole)
-    split = spark.sparkContext.broadcast(splitters(strings, length, parts, parts))
-    names = gathered([each(strings, triples_out(length, split))], parts, named)
-    suffixes = gathered([strings, names], parts, suffixes_out(length, split))
-    merged = gathered([suffixes], parts, merge(length))
-    back = gathered([strings, merged], parts, answers(length))
-    names_ = OUT.replace(" long", "").replace(" string", "").split(", ") + ["kept_text"] * with_text
-    return gathered([texts, holders, back], parts, cleaned(length, with_text), OUT + ", kept_text string" * with_text, rows_out(names_))
+    again = gathered([each(strings, hashes_out(length, parts))], parts, repeated)
+    marked = stage.put(gathered([strings, again], parts, runs_out(length, parts)), "marked")
+    stage.drop(strings)
+    windows = sorted_windows(stage, marked.where("kind = 5"), length, parts)
+    back = gathered([marked.where("kind = 4"), windows], parts, answers(length))
+    done = stage.put(gathered([texts, holders, back], parts, cleaned(length, with_text)), "cleaned")
+    stage.drop(texts, holders, marked, windows)
+    schema = OUT + ", kept_text string" * with_text
+    whole = each(done.where("kind = 8"), lambda key, sub, rows: rows, schema, rows_out(with_text))
+    pieces = done.where("kind = 9").repartition(parts, "key").sortWithinPartitions("key", "sub")
+    return whole.unionByName(pieces.mapInArrow(whole_documents(length, with_text), schema))
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

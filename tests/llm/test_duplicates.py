@@ -119,19 +119,41 @@ def brute(ids, texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [50, 100])
-def test_repeats_are_the_brute_force_ones(spark, length):
+@pytest.mark.parametrize(("length", "piece"), [(50, 1 << 21), (100, 1 << 21), (50, 300), (230, 1 << 21)])
+def test_repeats_are_the_brute_force_ones(spark, length, piece):
     r = random.Random(1)
     passage = prose(99, 30)
     texts = corpus() + ["A" * 4000, "AB" * 300 + "A" * 100, "\x00" * 200, "\x00" * 150 + "x"]
     texts += [prose(200 + i, r.randrange(1, 40)) + passage[r.randrange(40) : r.randrange(60, 300)] + prose(300 + i, 10) for i in range(25)]
     ids = random.Random(2).sample(range(10_000), len(texts))
     ids[3], ids[-1], ids[-2] = None, ids[-3], None  # one repeated id, two without
-    got = remove_repeats(frame(spark, texts, ids).repartition(3), length).collect()
+    got = remove_repeats(frame(spark, texts, ids).repartition(3), length, block_bytes=2000, piece_bytes=piece).collect()
     key = lambda t: tuple(-1 if x is None else x for x in t)
     assert sorted(map(tuple, got), key=key) == sorted(brute(ids, texts, length), key=key)
 
 
+def test_repeats_over_two_letters(spark):
+    """Strings that share long prefixes, in runs that end everywhere."""
+    r = random.Random(8)
+    motifs = ["".join(r.choice("ab") for _ in range(r.randrange(20, 90))) for _ in range(6)]
+    texts = ["".join(r.choice(motifs) if r.random() < 0.9 else r.choice(["c", "a"]) for _ in range(r.randrange(1, 9))) for _ in range(120)]
+    ids = r.sample(range(1000), len(texts))
+    assert sorted(map(tuple, remove_repeats(frame(spark, texts, ids), 50, block_bytes=3000).collect())) == sorted(brute(ids, texts, 50))
+
+
+def test_repeats_in_very_long_documents(spark):
+    """Pieces of 2 MB: a passage over a cut and one shared by both documents go, the rest of 20 MB stays."""
+    r = np.random.default_rng(1)
+    a, b = (r.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in (20_000_000, 5_000_000))
+    cut = 2 << 20
+    b = b[: cut - 300] + a[7_000_000:7_000_600] + b[cut + 300 :]
+    b = b[:4_000_000] + a[100 : 100 + 51] + b[4_000_051:]
+    rows = {x.doc_id: x for x in remove_repeats(frame(spark, [a, b])).collect()}
+    assert (rows[0].n_bytes, rows[0].n_removed, rows[0].kept_sha256) == (20_000_000, 0, sha(a.encode()))
+    left = b[: cut - 300] + b[cut + 300 : 4_000_000] + b[4_000_051:]
+    assert (rows[1].n_bytes, rows[1].n_removed, rows[1].n_spans, rows[1].kept_sha256) == (5_000_000, 651, 2, sha(left.encode()))
+
+
 def test_repeat_edge_cases(spark):
     assert remove_repeats(frame(spark, ["x"]).where("false")).count() == 0
     assert [tuple(r) for r in remove_repeats(frame(spark, [None])).collect()] == [(0, 0, 0, 0, sha(b""))]
