@@ -12,10 +12,10 @@ the smallest id of its holders. Windows whose hash no other such string has keep
 2. The names are the symbols of the next level, a place's follower there lies three symbols on; the same is done with them, until a triple of names covers the
    whole length. For 50 bytes symbols of 6 bytes need one such recursion, longer strings need more.
 3. On the way back the rest of each level, by (symbol, rank of the follower), is merged with its sample, and the merged order ranks the level. At the lowest level only
-   windows are merged; prefixes of neighbours in the order are compared, and a run of equal ones gets the smallest id of its holders. Every string's answer goes back to
-   the chunks, blocks and documents it came from.
+   windows are merged; prefixes of neighbours in the order are compared (by 64-bit fingerprints, so a wrong tie has odds of 1 to 2**64 a pair of neighbours), and a run of
+   equal ones gets the smallest id of its holders. Every string's answer goes back to the chunks, blocks and documents it came from.
 
-What crosses the network for a sort are the distinct tuples of a task, and ranks go back as differences; only the last merge carries the compared prefixes. Strings equal within a
+What crosses the network for a sort are the distinct tuples of a task, and ranks go back as differences. Strings equal within a
 block are sent once, so one that all documents share costs a message a block. Splitters come from a bounded sample of the runs and only balance the work. Each step is
 written to the shared folder, and the tables it has used up are dropped.
 
@@ -88,6 +88,18 @@ def summed(d: np.ndarray) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte, low bytes first, without the high bytes that all lack: so they pack well."""
+    n = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
+
+
+def joined(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, : len(x)] = x.T
+    return out.view("<u8").ravel()
+
+
 def groups_of(sorted_: np.ndarray) -> np.ndarray:
     """Where the runs of equal values begin."""
     return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
@@ -211,10 +223,15 @@ def repeated(key, held):
         yield s, 1, key, np.packbits(both[np.minimum(np.searchsorted(both, v), len(both) - 1)] == v if len(both) else np.zeros(len(v), bool))
 
 
-def told(held, one: np.ndarray, ranges_: list[tuple[int, int, int]]) -> np.ndarray:
-    """The bits of ``repeated`` for the values sent, which it had in ranges."""
-    bits = dict(held.get(1, []))
-    return np.concatenate([np.zeros(0, bool), *[np.unpackbits(bits[k], count=b - a).astype(bool) for k, a, b in ranges_]])
+def told(held, values: np.ndarray, buckets: int) -> np.ndarray:
+    """For each of the values what ``repeated`` says of it."""
+    order = np.argsort(values)
+    ordered = values[order]
+    begin, bits = groups_of(ordered), dict(held.get(1, []))
+    said = np.concatenate([np.zeros(0, bool), *[np.unpackbits(bits[k], count=b - a).astype(bool) for k, a, b in by_value(ordered[begin], buckets)]])
+    out = np.empty(len(values), bool)
+    out[order] = np.repeat(said, np.diff(np.append(begin, len(values))))
+    return out
 
 
 def chunks(length: int, buckets: int):
@@ -223,12 +240,11 @@ def chunks(length: int, buckets: int):
             return
         t = Text(held[0][0][1])
         place, fp = t.anchors(length)
-        one = np.unique(fp)
-        again = one[told(held, one, by_value(one, buckets))]
+        again = place[told(held, fp, buckets)]
         if not len(again):
             return
         n, begins = len(t.buf), t.off[:-1]
-        window = t.candidates(length, place[again[np.minimum(np.searchsorted(again, fp), len(again) - 1)] == fp])
+        window = t.candidates(length, again)
         at = np.flatnonzero(window)
         cut = np.zeros(n, bool)
         cut[at[(t.word[at] * FACTORS[3] + t.word[at + 8] * FACTORS[4]) >> np.uint64(32) < np.uint64(2**32 // CHUNK)]] = True
@@ -309,8 +325,7 @@ def runs_out(length: int, buckets: int):
         body = held[0][0][1]
         ids, count, data, asked = body
         h, of = window_hashes(body, length)
-        one = np.unique(h)
-        open_ = told(held, one, by_value(one, buckets))[np.searchsorted(one, h)]
+        open_ = told(held, h, buckets)
         yield key, 4, 0, (ids, count, asked, np.packbits(open_))
         at, of = np.flatnonzero(open_) + of[open_] * (length - 1), of[open_]
         if not len(at):
@@ -379,6 +394,10 @@ class Runs:
     def text(self, at: np.ndarray, n: int) -> np.ndarray:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.buf, n)[at]).view(f"S{n}").ravel()
 
+    def prints(self, at: np.ndarray) -> np.ndarray:
+        """64-bit fingerprints of the windows that begin at the places, independent of the hashes that chose them."""
+        return hashes(sums(self.buf, 1), at, at + self.length)
+
     def cut(self, at: np.ndarray, split: list[bytes], n: int) -> list[tuple[int, int, int]]:
         """Places in the order of their first n bytes, by range: (range, from, to)."""
         text = lambda i: self.buf[at[i] : at[i] + n].tobytes()
@@ -422,6 +441,7 @@ def numbered(new: np.ndarray, key: int) -> np.ndarray:
 def named(key, held):
     """Names of the triples of one range."""
     got = held[0]
+    got = [(s, [joined(x) for x in body]) for s, body in got]
     keys = [np.concatenate([x[i] for _, x in got]) for i in range(3)]
     one, back, _ = distinct(keys, np.zeros(len(keys[0]), np.int64))
     zero = (one[0] | one[1] | one[2]) == 0
@@ -439,7 +459,7 @@ def triples_out(length: int, level: int, split):
             t.name(k, held.get(10 + k, []))
         _, keys, _, place = t.triples(level)
         for k, a, b in t.cut(place, split.value, 3 * t.step(level)):
-            yield k, 0, key, [x[a:b] for x in keys]
+            yield k, 0, key, [planes(x[a:b]) for x in keys]
 
     return step
 
@@ -469,16 +489,16 @@ def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return array, new
 
 
-def taken(held, at: int) -> tuple[list, list[list[np.ndarray]]]:
-    """Of a range's messages, which list items of the three classes: (sender, class, number of items), and the items by class."""
-    got = sorted(((c, s, x) for s, body in held[at] for c, x in body), key=lambda x: x[:2])
-    empty = {0: 4, 1: 3, 2: 4}
-    parts = [[np.concatenate([np.zeros(0, np.uint64), *[x[i] for k, _, x in got if k == c]]) for i in range(empty[c])] for c in range(3)]
+def taken(held) -> tuple[list, list[list[np.ndarray]]]:
+    """Of a range's messages, which list items of the three classes: (sender, class, number of items), and the columns of the items by class."""
+    got = sorted(((c, s, [joined(v) for v in x]) for s, body in held[0] for c, x in body), key=lambda x: x[:2])
+    columns = max(len(x) + (c == 1) for c, _, x in got)
+    parts = [[np.concatenate([np.zeros(0, np.uint64), *[x[i] for k, _, x in got if k == c]]) for i in range(columns - (c == 1))] for c in range(3)]
     return [(s, c, len(x[0])) for c, s, x in got], parts
 
 
 def items_out(length: int, level: int, split):
-    """The items of a merge, by range; on the lowest level with their prefixes and the smallest id that has each."""
+    """The items of a merge, by range; on the lowest level with the fingerprints of their prefixes and the smallest id that has each."""
 
     def step(key, held):
         t = Runs(held[5][0][1], length)
@@ -489,9 +509,9 @@ def items_out(length: int, level: int, split):
             if level == 0:
                 least = np.full(len(place), np.iinfo(np.int64).max)
                 np.minimum.at(least, back, t.ids[t.of[np.searchsorted(t.places, at)]])
-                more = (t.text(place, length), least)
+                more = (t.prints(place), least.view(np.uint64))
             for k, a, b in t.cut(place, split.value, length):
-                out.setdefault(k, []).append((c, [x[a:b] for x in (*keys, *more)]))
+                out.setdefault(k, []).append((c, [planes(x[a:b]) for x in (*keys, *more)]))
         for k, x in out.items():
             yield k, 0, key, x
 
@@ -519,7 +539,7 @@ def ranks(t: Runs, held, level: int) -> np.ndarray:
 def ranked(level: int):
     def step(key, held):
         """Ranks of one range of a level, to those who sent its items."""
-        who, parts = taken(held, 0)
+        who, parts = taken(held)
         array, new = merged(parts)
         rank = np.empty(len(array), np.uint64)
         rank[array] = numbered(new, key)
@@ -534,16 +554,14 @@ def ranked(level: int):
 
 
 def compared(key, held):
-    """The suffix array of one range, and of each string the smallest id that has it."""
-    got = sorted(((c, s, x) for s, body in held[0] for c, x in body), key=lambda x: x[:2])
-    text, ids = (np.concatenate([x[i] for *_, x in got]) for i in (-2, -1))
-    who, parts = taken({0: [(s, [(c, x[:-2]) for c, x in body]) for s, body in held[0]]}, 0)
-    array, _ = merged(parts)
-    same = text[array][1:] == text[array][:-1]
-    run = np.cumsum(np.concatenate([[True], ~same])) - 1
-    least = np.minimum.reduceat(ids[array], np.flatnonzero(np.concatenate([[True], ~same])))
+    """The suffix array of one range, and of each string the smallest id that has it. Neighbours' prefixes are compared by their fingerprints."""
+    who, parts = taken(held)
+    array, _ = merged([x[:-2] for x in parts])
+    prefix, ids = (np.concatenate([x[i] for x in parts])[array] for i in (-2, -1))
+    begin = groups_of(prefix)
+    least = np.repeat(np.minimum.reduceat(ids.view(np.int64), begin), np.diff(np.append(begin, len(array))))
     answer = np.empty(len(array), np.int64)
-    answer[array] = least[run]
+    answer[array] = least
     a, out = 0, {}
     for s, c, n in who:
         out.setdefault(s, []).append((c, answer[a : a + n]))
@@ -723,7 +741,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     texts = stage.put(blocks(own, length, block_bytes, max(piece_bytes, length)), "blocks")
     # messages shrink texts, so the work is dealt by the bytes that blocks take
     size = texts.agg(F.sum(F.length("body"))).first()[0] or 0
-    parts = max(12, -(-size // (1 << 21)))
+    parts = max(12, -(-size // (3 << 20)))
     found = gathered([each(texts, fingerprints(length, parts))], parts, repeated)
     sent_out = stage.put(gathered([texts, found], parts, chunks(length, parts)), "chunks")
     strings = stage.put(gathered([sent_out.where("kind = 3")], parts, distinct_strings(length)), "strings")
