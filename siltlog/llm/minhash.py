@@ -151,8 +151,8 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
     c is the set of the shingles that most of a group have; a node lacks a of them and has b others. Of two nodes u, v the intersection is
     |c| - a_u - a_v + k, k the number of differences from c that both have. So with w = 100 a + percent b, nodes with w_u + w_v <= (100 - percent) |c| are
     linked, whatever k is; as the sum is additive, each that has such a partner is so linked with the node of least w, and a star says all of it. Any other
-    link needs a shared difference. In the same way a star for each difference says all links that need one; the pairs that need more, and their k, come from
-    an equi-join on the differences, and their similarity is exact.
+    link needs a shared difference. In the same way a star for each difference says all links that need one; pairs that may share as many more as they need come from
+    ``possible_pairs`` and are confirmed on the full sets.
     """
     member = stage.put(groups.join(labels, "node").join(sets, "node").select("g", "node", "label", "items"), "member")
 
@@ -164,7 +164,9 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
 
     size = member.groupBy("g").agg(F.count("*").alias("size"))
     often = member.select("g", "items").mapInArrow(count, "g long, item long").groupBy("g", "item").agg(F.count("*").alias("c"))
-    common = often.join(size, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("item").alias("common"))
+    # tables of their own, so that Spark can split a large group in the joins with them
+    size = stage.put(size, "size")
+    common = stage.put(often.join(size, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("item").alias("common")), "common")
 
     def differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +181,7 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.int64()) for o in out[:4]], pa.array(out[4], pa.list_(pa.int64()))], ["g", "node", "n", "c", "both", "w", "d"])
 
     diff = stage.put(member.join(common, "g", "left").select("g", "node", "items", "common").mapInArrow(differences, "g long, node long, n long, c long, both long, w long, d array<long>"), "differences")
-    best = diff.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m"))
+    best = stage.put(diff.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m")), "best")
     star = diff.join(best, "g").where(f"node <> m.node and w + m.w <= {100 - percent} * c").select(F.col("node").alias("u"), F.col("m.node").alias("v"))
     labels = relabelled(stage, labels, star)
     # one shared difference: w_u + w_v <= (100 - percent) |c| + 100 + percent is enough, and a star for each difference says all of these
@@ -191,11 +193,33 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
     stage.drop(shared)
     # what is left needs two or more
     rows = stage.put(item(labels), "shared2")
-    side = lambda x: rows.select("g", "item", *[F.col(k).alias(k[0] + x if k != "node" else x) for k in ("node", "label", "n", "both", "w")], *(["c"] if x == "u" else []))
-    fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
-    pairs = side("u").join(side("v"), ["g", "item"]).where("u < v and lu <> lv").where(fits)
-    counts = pairs.groupBy("u", "v", "nu", "nv", "bu", "bv", "c").agg(F.count("*").alias("k")).withColumn("i", F.expr("bu + bv - c + k"))
-    return relabelled(stage, labels, stage.put(counts.where(f"i > 0 and 100 * i >= {percent} * (nu + nv - i)").select("u", "v"), "links"))
+    pairs = stage.put(possible_pairs(stage, rows, percent), "possible")
+    out = relabelled(stage, labels, stage.put(confirmed(pairs, sets, percent), "links"))
+    stage.drop(member, diff, rows, pairs)
+    return out
+
+
+def possible_pairs(stage: Stage, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) with other labels that share as many differences as their link needs, by an exact prefix filter.
+
+    A link needs K = ceil((w_u + w_v - (100 - percent) |c|) / (100 + percent)) shared differences. Only those that nodes of two labels have count; each node's are put in order, rarest
+    first. The first one that a linked pair shares leaves K - 1 others behind it in both orders. Nodes of a group are dealt to classes of similar w, so that for each class of
+    partners a lower bound of K is known; a node posts its differences up to the place where that many are left, and none where it or the whole class has too few.
+    """
+    own = ["g", "node", "label", "n", "c", "w"]
+    often = rows.groupBy("g", "item").agg(F.count("*").alias("f"))
+    nodes = rows.join(often, ["g", "item"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("d"))
+    nodes = stage.put(nodes.select(*own, F.size("d").alias("size"), F.floor(4 * F.log2(1 + F.col("w") / (100 + percent))).cast("int").alias("class"), F.col("d.item").alias("d")), "ordered")
+    classes = stage.put(nodes.groupBy("g", "class").agg(F.min("w").alias("least"), F.max("size").alias("most")).withColumnRenamed("class", "partner"), "classes")
+    needed = lambda w: F.greatest(F.lit(2), F.ceil((w - (100 - percent) * F.col("c")) / (100 + percent)))
+    posted = nodes.join(classes, "g").withColumn("k", needed(F.col("w") + F.col("least"))).where("k <= size and k <= most")
+    posted = posted.select(*own, "size", "class", "partner", F.posexplode(F.expr("slice(d, 1, int(size - k + 1))")).alias("place", "item"))
+    side = lambda x: [F.col(k).alias(f"{k}_{x}") for k in ("node", "label", "n", "w")] + [(F.col("size") - F.col("place")).alias(f"left_{x}")]
+    u = posted.where("class <= partner").select("g", "item", F.col("class").alias("lo"), F.col("partner").alias("hi"), "c", *side("u"))
+    v = posted.where("class >= partner").select("g", "item", F.col("partner").alias("lo"), F.col("class").alias("hi"), *side("v"))
+    fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    met = u.join(v, ["g", "item", "lo", "hi"]).where("label_u <> label_v and (lo < hi or node_u < node_v)").where(fits).where(F.least("left_u", "left_v") >= needed(F.col("w_u") + F.col("w_v")))
+    return met.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, t: int = 3, m: int | None = None, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
