@@ -31,8 +31,13 @@ def nonzero(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ok, m[ok]
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component: cosines stay as they are to the last bit, and no square over- or underflows."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def unit(m: np.ndarray) -> np.ndarray:
-    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m = scaled(m)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
@@ -66,7 +71,7 @@ class PermutationSearch:
         return self.pivots.get(d, np.eye(1, d))  # no pivot of this length: one that all share, so all are ranked
 
     def prepare(self, ids: np.ndarray, m: np.ndarray) -> Posted:
-        pivots = self.of(m.shape[1])
+        pivots, m = self.of(m.shape[1]), scaled(m)
         p = prefixes(m, pivots, self.length)
         flat = p.ravel()
         order = np.argsort(flat, kind="stable")
@@ -74,7 +79,7 @@ class PermutationSearch:
         return Posted(ids, m, np.sqrt((m * m).sum(axis=1)), starts, (order // p.shape[1]).astype(np.int32), (order % p.shape[1]).astype(np.int16))
 
     def __call__(self, shards: list[Posted], ids: np.ndarray, queries: np.ndarray):
-        pivots = self.of(queries.shape[1])
+        pivots, queries = self.of(queries.shape[1]), scaled(queries)
         orders = prefixes(queries, pivots, self.length)
         length, norms = orders.shape[1], np.sqrt((queries * queries).sum(axis=1))
         rows, vecs, scores = [], [], []
