@@ -1,7 +1,7 @@
 """Exact top-k inner products: query tiles times shards, a partial selection per tile, top lists merged as a tree.
 
-Components x become floor(64 x). Scores are exact integers: products run in double precision where the bound of a tile stays under
-2**53, else on Python integers (kept within a long).
+Components x become floor(64 x). Scores are exact integers: one product in double precision where the bound of a tile stays under
+2**53, else products of digits, summed as Python integers and kept within a long.
 
 Nulls: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id. Vectors of
 different lengths don't meet. A query leaves out every row with its own id; repeated query rows each get a list. Empty tables give no rows.
@@ -35,6 +35,30 @@ class Shard:
         return self.data.shape[1]
 
 
+#: Scores beyond a long are kept at its ends.
+MOST = 2**63 - 1
+
+
+def limbs(m: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Whole numbers in double precision as digits of ``bits`` bits, the lowest first; splitting by powers of two is exact."""
+    out = []
+    while np.abs(m).max(initial=0) > 0:
+        high = np.floor(np.abs(m) / 2.0**bits) * np.sign(m)
+        out.append(m - high * 2.0**bits)
+        m = high
+    return out
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows as long numbers. Products of digits stay under 2**52 in double precision, their sums are Python integers."""
+    bits = max(1, (50 - int(a.shape[1]).bit_length()) // 2)
+    total = np.zeros((len(a), len(b)), object)
+    for i, x in enumerate(limbs(a, bits)):
+        for j, y in enumerate(limbs(b, bits)):
+            total = total + (x @ y.T).astype(np.int64).astype(object) * (1 << bits * (i + j))
+    return np.clip(total, -MOST, MOST).astype(np.int64)
+
+
 class InnerProducts:
     arrow, kind = pa.int64(), "long"
 
@@ -49,37 +73,26 @@ class InnerProducts:
         most = float(np.abs(queries).max(initial=0))
         rows, vecs, scores = [], [], []
         for s in shards:
-            exact = most * s.most * s.dim < 2.0**53
-            if exact:
-                p = queries @ s.data.T
-            else:
-                p = np.clip(queries.astype(object) @ s.data.T.astype(object), -(2**63), 2**63 - 1)
+            n = len(s.ids)
+            bound = most * s.most * s.dim
+            p = (queries @ s.data.T).astype(np.int64) if bound < 2.0**53 else exact_products(queries, s.data)
+            a, b = np.searchsorted(s.ids, ids, "left"), np.searchsorted(s.ids, ids, "right")
+            k = min(self.k + int((b - a).max(initial=0)), n)  # a query's own rows are left out afterwards
             # of equal scores the smaller id first: a shard is in the order of its ids
-            if exact and np.abs(p).max(initial=0) * len(s.ids) < 2.0**52:
-                key = p * len(s.ids) + np.arange(len(s.ids) - 1, -1, -1)
+            if bound * n < 2.0**62:
+                best = np.argpartition(np.arange(n) - p * n, k - 1, axis=1)[:, :k]
             else:
-                key = np.empty(p.shape)
-                for i in range(len(p)):
-                    key[i, sorted(range(len(s.ids)), key=lambda j, i=i: (-p[i, j], j))] = np.arange(len(s.ids), 0, -1)
-            a, b = np.searchsorted(s.ids, ids, "left"), np.searchsorted(s.ids, ids, "right")
-            for i in np.flatnonzero(b > a):
-                key[i, a[i] : b[i]] = -np.inf
-            k = min(self.k, len(s.ids))
-            best = np.argpartition(-key, k - 1, axis=1)[:, :k]
+                best = np.argsort(-p, axis=1, kind="stable")[:, :k]
             q, j = np.repeat(np.arange(len(ids)), k), best.ravel()
-            keep = np.isfinite(key[q, j])
-            q, j = q[keep], j[keep]
-            rows.append(q)
-            vecs.append(s.ids[j])
-            scores.append(np.array([int(x) for x in p[q, j]] if not exact else p[q, j].astype(np.int64), np.int64))
+            keep = s.ids[j] != ids[q]
+            rows.append(q[keep])
+            vecs.append(s.ids[j[keep]])
+            scores.append(p[q[keep], j[keep]])
         row, vec, score = map(np.concatenate, (rows, vecs, scores))
-        if len(shards) > 1:  # one list a query
-            order = np.lexsort((vec, -score.astype(np.float64) if np.abs(score).max(initial=0) < 2**53 else np.array([-int(x) for x in score], object).argsort(kind="stable").argsort(), row))
-            row, vec, score = row[order], vec[order], score[order]
-            first = np.searchsorted(row, np.arange(len(ids)))
-            keep = np.arange(len(row)) - first[row] < self.k
-            row, vec, score = row[keep], vec[keep], score[keep]
-        return row, vec, score
+        order = np.lexsort((vec, -score, row))  # one list a query
+        row, vec, score = row[order], vec[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(ids)))[row] < self.k
+        return row[keep], vec[keep], score[keep]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = 4096, tile: int = 512, group_rows: int = 16_384) -> DataFrame:

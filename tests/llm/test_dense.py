@@ -93,3 +93,36 @@ def test_recall(spark, sf):
         best = ids[np.lexsort((ids, -c))[:5]]
         hit, total = hit + len(set(best.tolist()) & got[ids[q]]), total + len(best)
     assert hit >= 0.9 * total
+
+
+@pytest.mark.parametrize("size", [2.0**28, 2.0**24, 2.0**50])
+def test_top_k_of_odd_components_beyond_doubles(spark, size):
+    """Products that no double holds, against Python integers."""
+    r = np.random.default_rng(7)
+    rows = [(i, ((np.floor(r.normal(size=9) * size) * 2 + 1) / 64).tolist()) for i in range(60)]
+    df = vectors(spark, rows)
+    got = {}
+    for x in top_k(df, df.where("vec_id % 20 = 0"), k=4, shard=16, tile=2, group_rows=16).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    have = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    most = 2**63 - 1
+    for q, v in have[::20]:
+        s = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -most), most), j) for j, w in have if j != q)[:4]
+        assert sorted(got[q]) == [(n + 1, j, -x) for n, (x, j) in enumerate(s)]
+
+
+def test_cosines_of_huge_and_tiny_components(spark):
+    """Scaling by powers of two changes no cosine."""
+    r = np.random.default_rng(8)
+    plain = [(i, r.normal(size=5).tolist()) for i in range(80)]
+    size = lambda i: 2.0 ** (660 if i % 3 == 0 else -660 if i % 3 == 1 else 0)
+    odd = [(i, [x * size(i) for x in v]) for i, v in plain]
+    found = [[tuple(x) for x in nearest(df, df.where("vec_id % 10 = 0"), k=5).orderBy("query_id", "rank").collect()] for df in (vectors(spark, plain), vectors(spark, odd))]
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_repeated_query_rows_each_get_a_list(spark):
+    df = vectors(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])])
+    for f in (top_k, nearest):
+        got = sorted((x.query_id, x["rank"], x.vec_id) for x in f(df, df.where("vec_id = 0"), k=1).collect())
+        assert got == [(0, 1, 1), (0, 1, 2)]
