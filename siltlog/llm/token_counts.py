@@ -1,10 +1,10 @@
 """Token counts of whole texts with overlap resynchronisation.
 
-A text longer than ``chunk_chars`` is encoded as overlapping chunks. Each chunk's encoding comes with the offsets of
-its stable boundaries: places before a blank (or its mark U+2581) that follows another character. No piece of the vocabulary holds a blank after
+A text longer than ``chunk_chars`` is encoded as overlapping chunks of about as many bytes, each by the library with its offsets. Stable boundaries are
+places before a blank (or its mark U+2581) that follows another character. No piece of the vocabulary holds a blank after
 another character (checked when the model is loaded), and every merge makes a piece, so no encoding of any
-text crosses such a place. Two neighbours are spliced at a boundary that both have inside their overlap; where there is none, the overlap
-is widened, in the limit to the rest of the text.
+text crosses such a place. Two neighbours are spliced at a boundary inside their overlap at which both encodings have a piece begin; where there is none, the overlap
+is widened, in the limit to all that isn't spliced yet. Shorter texts are sums over what lies between boundaries, as encoded by the library once a worker.
 
 Nulls: a null text is empty and has 0 tokens; a null id is kept. Repeated rows each get a row, an empty table
 gives none, other columns are ignored.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,7 @@ from .common import table, texts_of
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 MEMO_SEGMENTS = 600_000
 MARK = "▁"
-SEGMENT, BOUNDARY = re.compile(r" *[^ ]+| +\Z"), re.compile("[^ ] ")
+SEGMENT, BOUNDARY = re.compile(r" *[^ ]+| +\Z"), re.compile(b"[^ ] ")
 
 
 class ChunkEncoder:
@@ -87,44 +88,49 @@ class ChunkEncoder:
                 out[i] = sum(map(known, segments))
         return out
 
-    def encoded(self, text: str, a: int, b: int) -> dict[int, int]:
-        """The stable boundaries of text[a:b] and the tokens before each, from the chunk's first boundary; offsets are of the text.
+    def encoded(self, data: bytes, a: int, b: int) -> np.ndarray:
+        """Where the pieces of the chunk from byte a to b begin, by the library's own offsets, in order.
 
-        A chunk may begin inside a segment; what lies before its first boundary belongs to the chunk before it. Its last
-        segment may go on after it, so that one's end isn't a boundary.
+        A chunk may begin inside a word; its pieces up to the first boundary belong to the chunk before it and are left out. The library puts a blank before
+        what it is given, which touches pieces before the first boundary only.
         """
-        begin = 0
-        if a:
-            m = BOUNDARY.search(text, a - 1, b)
-            if not m:
-                return {}
-            begin = m.start() + 1
-        found = SEGMENT.findall(text[begin:b])
-        given = [x if begin == 0 and i == 0 else x[1:] for i, x in enumerate(found)]
-        out, at, tokens = {begin: 0}, begin, 0
-        for x, n in zip(found, self.counts(given), strict=True):
-            at, tokens = at + len(x), tokens + n
-            if at < b or b == len(text):
-                out[at] = tokens
-        return out
+        begins = a + np.array([p.begin for p in self.lib.encode(data[a:b].decode(), return_type="proto").pieces], np.int64)
+        if not a:
+            return begins
+        m = BOUNDARY.search(data, a, b)
+        return begins[begins > m.start()] if m else begins[:0]
 
     def spliced(self, text: str) -> int:
+        """Chunks are spliced at the last boundary in their overlap at which both have a piece begin."""
+        data = text.encode()
+
+        def whole(i: int) -> int:
+            """The start of the character that byte i belongs to."""
+            while i < len(data) and data[i] & 0xC0 == 0x80:
+                i -= 1
+            return i
+
         total, at = 0, 0  # tokens before the boundary up to which the text is spliced
-        b, overlap = min(len(text), self.chunk), self.overlap
-        left = self.encoded(text, 0, b)
-        while b < len(text):
-            a, end = max(at, b - overlap), min(len(text), b + self.chunk)
-            right = self.encoded(text, a, end)
-            common = [p for p in right if at < p < b and p in left]
-            if common:
-                p = max(common)
-                total, at, overlap = total + left[p], p, self.overlap
-                left, b = {q: n - right[p] for q, n in right.items() if q >= p}, end
+        b, overlap = whole(min(len(data), self.chunk)), self.overlap
+        left = self.encoded(data, 0, b)
+        while b < len(data):
+            a, end = whole(max(at, b - overlap)), whole(min(len(data), b + self.chunk))
+            right = self.encoded(data, whole(a - 1) if a == at and a else a, end)
+            inside = [m.start() + 1 for m in BOUNDARY.finditer(data, a, b) if m.start() + 1 > at]
+            common = next((p for p in inside[::-1] if starts(left, p) and starts(right, p)), None)
+            if common is not None:
+                total += int(np.searchsorted(left, common))
+                left, b, at, overlap = right[np.searchsorted(right, common) :], end, common, self.overlap
             elif a > at:
                 overlap *= 2
-            else:  # the overlap is all that isn't spliced yet, and the right chunk begins at the same boundary
-                left, b, overlap = right, end, self.overlap
-        return total + left[len(text)]
+            else:  # the overlap is all that isn't spliced yet, and the right chunk has it from the same boundary on
+                left, b, overlap = right[np.searchsorted(right, at) :], end, self.overlap
+        return total + len(left)
+
+
+def starts(begins: np.ndarray, at: int) -> bool:
+    i = np.searchsorted(begins, at)
+    return i < len(begins) and begins[i] == at
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

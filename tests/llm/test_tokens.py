@@ -94,3 +94,21 @@ def test_lattice_agrees_with_the_librarys_lattice():
     score = lambda ids: sum(pieces.score[pieces.pieces[i]][0] for i in ids)
     for w in words_of(prose(5, 400)):
         assert score(pieces.best(w)) == max(score(x) for x in lib.nbest_encode_as_ids(w[1:], 64))
+
+
+def test_splices_of_random_texts_are_exact(piece_library):
+    import random
+
+    r = random.Random(4)
+    parts = ["a", "the", " ", "  ", " Wort", "é", "🔑", "\n", "ing", "x1", MARK, "<s>", "   ", "tion", "日本", "\x00"]
+    for chunk, overlap in ((40, 8), (17, 3), (200, 32)):
+        enc = ChunkEncoder(P.path("piece_bpe_32k.model"), chunk, overlap)
+        for _ in range(400):
+            t = "".join(r.choice(parts) for _ in range(r.randrange(160)))
+            assert enc.count(t) == len(piece_library.encode(t)), t
+
+
+def test_repeated_rows_each_get_a_row(spark):
+    df = frame(spark, ["a b", "a b", None, "c"], ids=[1, 1, 1, None])
+    for out in (count_tokens(df, P.path("piece_bpe_32k.model")), encode(df, P.path("piece_bpe_32k.model"), hot=2)):
+        assert sorted(-1 if x.doc_id is None else x.doc_id for x in out.collect()) == [-1, 1, 1, 1]
