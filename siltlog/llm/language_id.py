@@ -9,7 +9,7 @@ Learning takes at most ``sample`` texts a language (smallest id hashes) and read
 classified whole.
 
 Nulls: a null text, or one with no letter, is ``und`` with score 0; a null id is kept with ``held_out`` false and not learnt from.
-Without labels every text is ``und``. Repeated rows each get a row.
+Without labels every text is ``und``. Of equal scores the language first by name wins. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -27,10 +27,16 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table, texts_of
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+#: Letters, and numbers that aren't digits.
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category is in it; signs like ½, ² or Ⅷ are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 class Grams:
     """Distinct n-grams of a text as numbers under 2**BITS; two n-grams rarely share one."""
 
@@ -102,12 +108,11 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 24, ridge: float = 1e-3) -
 def labelled(docs: DataFrame, sample: int, sample_bytes: int) -> list[tuple[str, str]]:
     """At most ``sample`` texts a language, in the order of the id's hash; of a longer text a piece from its first letter on."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    has_letter = F.col("text").rlike(r"\p{L}")
-    can = own.where("lang is not null and doc_id is not null").where("text <> ''").where(crc_mod("doc_id", 3) != 1).where(has_letter)
+    can = own.where("lang is not null and doc_id is not null").where("text <> ''").where(crc_mod("doc_id", 3) != 1).where(F.col("text").rlike(r"\p{L}"))
     can = can.withColumn("text", F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, max(1, sample_bytes // 4))))
     first = can.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("r") <= sample)
     got = first.select("h", "doc_id", "text", "lang").collect()
-    return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text, r.lang)) if LETTER.search(r.text)]
+    return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text, r.lang)) if has_letter(r.text)]
 
 
 def identify(docs: DataFrame, sample: int = 250, sample_bytes: int = 8192, landmarks: int = 24, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -121,7 +126,7 @@ def identify(docs: DataFrame, sample: int = 250, sample_bytes: int = 8192, landm
                 b = whole.slice(a, 64)
                 texts = texts_of(b.column(2))
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                can = [i for i, t in enumerate(texts) if m and LETTER.search(t)]
+                can = [i for i, t in enumerate(texts) if m and has_letter(t)]
                 if can:
                     s = m.scores(grams, [texts[i] for i in can])
                     for i, row in zip(can, s, strict=True):

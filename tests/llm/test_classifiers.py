@@ -82,3 +82,31 @@ def test_toxicity_edge_cases(spark):
     rows = toxicity.score_toxicity(frame(spark, ODD), labels).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert toxicity.score_toxicity(frame(spark, ["x"]).where("false"), labels).count() == 0
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    from siltlog.llm.language_id import has_letter, identify
+
+    from .helpers import frame
+
+    assert [has_letter(x) for x in ("²", "½ ①", "Ⅷ", "_1", "é", "1ª", "語")] == [False, False, False, False, True, True, True]
+    df = frame(spark, ["² ½ ① Ⅷ", "the cat and the dog", "der Hund und die Katze"] * 2, langs=[None, "en", "de"] * 2)
+    assert [x.lang_pred for x in identify(df).orderBy("doc_id").collect()][::3] == ["und", "und"]
+
+
+def test_kernel_is_shared_grams_over_the_roots():
+    """The kernel of the model against sets of byte n-grams."""
+    from siltlog.llm.language_id import Grams, fit
+
+    def grams(t):
+        b = t.lower().encode()
+        return {b[i : i + n] for n in range(1, 5) for i in range(len(b) - n + 1)}
+
+    rows = [("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("and then the dog", "en"), ("ich bin ein berliner", "de")]
+    model, texts = fit(rows, landmarks=2), ["the dog and der hund", "zzz qqq", "katze"]
+    chosen = [t for lang in ("de", "en") for t, x in rows if x == lang]
+    k = model.kernel(Grams(), texts)
+    want = [[len(grams(t) & grams(c)) / (len(grams(t)) * len(grams(c))) ** 0.5 for c in chosen] for t in texts]
+    assert abs(k - want).max() < 0.02
+    s = k.astype(float) @ model.weights
+    assert (model.scores(Grams(), texts).argmax(axis=1) == s.argmax(axis=1)).all()
