@@ -145,7 +145,6 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
     parts = rows_for(own.count(), 8192, 12)
     often = counted(own).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot).select("word").repartition(parts, "word")
     known = spark.sparkContext.broadcast({r.word: pieces.ids(r.path) for r in lattice(often, spark, pieces).collect()})
-    spark._jvm.System.gc()  # the counts' shuffle files go
 
     def block_of(i: int | None) -> int:
         return zlib.crc32(str(i).encode()) % parts
