@@ -18,5 +18,12 @@ def last_operations(log: DataFrame) -> DataFrame:
     return x.select("txn_id", "key", "x.value", "x.is_tombstone")
 
 
+def status(log: DataFrame) -> DataFrame:
+    """Of each transaction how many operations it has, how many can be done (a key, and for a put a value) and whether all can."""
+    can = F.col("key").isNotNull() & (F.col("is_tombstone") | F.col("value").isNotNull())
+    out = log.groupBy("txn_id").agg(F.count("*").alias("operations"), F.count_if(can).alias("succeeded"), F.count_if(~can).alias("failed"))
+    return out.withColumn("status", F.when(F.col("failed") == 0, "ok").when(F.col("succeeded") == 0, "failed").otherwise("partial"))
+
+
 def report(log: DataFrame) -> DataFrame:
     return log.groupBy(F.when(F.col("is_tombstone"), "delete").otherwise("put").alias("op")).agg(F.count("*").alias("n"))

@@ -46,14 +46,22 @@ def compacted(log: DataFrame) -> DataFrame:
 def compaction_stats(log: DataFrame) -> DataFrame:
     d = keydir(log.select("key", "seq", "segment_id", "record_size", "is_tombstone")).where(F.col("segment_id") < active_segment(log).scalar())
     merged = closed(log.select("segment_id")).agg(F.count_distinct("segment_id").alias("segments_merged"))
-    out = d.agg(F.count_if("is_tombstone").alias("tombstones_removed"), F.coalesce(F.sum(F.when(F.col("is_tombstone"), 0).otherwise(F.col("record_size"))), F.lit(0)).cast("long").alias("total_size"))
-    return out.select("*", merged.scalar().alias("segments_merged")).select("segments_merged", "tombstones_removed", "total_size")
+    out = d.agg(F.count_if("is_tombstone").alias("tombstones_removed"), F.coalesce(F.sum(F.when(F.col("is_tombstone"), 0).otherwise(F.col("record_size"))), F.lit(0)).cast("long").alias("total_size"), F.count_if(~F.col("is_tombstone")).alias("entries"))
+    return out.select("*", merged.scalar().alias("segments_merged")).select("segments_merged", "entries", "tombstones_removed", "total_size")
+
+
+def compactor_status(log: DataFrame, segments: int = 3, least: float = 0.3) -> DataFrame:
+    """Closed segments, their stale share in percent and whether both are enough for a compaction."""
+    m = closed(marked(log.select("key", "seq", "segment_id", "is_tombstone"))).agg(F.count_distinct("segment_id").alias("closed_segments"), ratio(F.col("stale")).alias("r"))
+    return m.select("closed_segments", F.round(100 * F.col("r"), 1).alias("stale_percent"), ((F.col("closed_segments") >= segments) & (F.col("r") >= least)).alias("due"))
 
 
 def compression_stats(docs: DataFrame) -> DataFrame:
     """Bytes against characters, as a stand-in for a compressed size, by language."""
     g = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("long").alias("original_size"), F.sum("n_chars").cast("long").alias("other"))
-    return g.withColumn("ratio", F.round(saved_ratio(F.col("original_size"), F.col("other")), 6))
+    saved = F.col("original_size") - F.col("other")
+    out = g.withColumn("ratio", F.round(saved_ratio(F.col("original_size"), F.col("other")), 6)).withColumn("saved", saved)
+    return out.withColumn("percent", F.round(F.lit(100.0) * saved.cast("double") / F.col("original_size"), 1))
 
 
 def should_compress(docs: DataFrame, least: int = 1024) -> DataFrame:

@@ -27,9 +27,28 @@ def commit_index(rl: DataFrame) -> DataFrame:
 
 
 def election(rl: DataFrame) -> DataFrame:
-    """Votes of nodes whose log is not too far behind, and whether they are a majority of three."""
+    """Votes of nodes whose log is not too far behind, and whether they are a majority of all nodes."""
     need = rl.agg(F.max("idx")).scalar() - LAG
-    return nodes(rl).where(F.col("match_index") >= need).agg(F.count("*").alias("votes")).select("votes", (F.col("votes") > 1).alias("won"))
+    return nodes(rl).agg(F.count_if(F.col("match_index") >= need).alias("votes"), F.count("*").alias("n")).select("votes", (F.col("votes") > F.floor(F.col("n") / 2)).alias("won"))
+
+
+def commit_of_term(rl: DataFrame, committed: int = 0) -> DataFrame:
+    """A leader commits what a majority holds only where that entry is of the current term; else ``committed`` stays."""
+    at = rl.where(F.col("idx") == commit_index(rl).scalar()).select("idx", "term")
+    now = rl.agg(F.max("term")).scalar()
+    return at.select(F.col("idx").alias("majority_index"), "term", F.when(F.col("term") == now, F.col("idx")).otherwise(F.lit(committed)).cast("long").alias("commit_index"))
+
+
+def peers(rl: DataFrame) -> DataFrame:
+    """Each node and the others."""
+    every = nodes(rl).agg(F.sort_array(F.collect_list("node")).alias("every"))
+    return nodes(rl).crossJoin(F.broadcast(every)).select("node", F.array_join(F.array_except("every", F.array("node")), ",").alias("peers"))
+
+
+def append_accepted(requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Whether a node takes entries behind (prev_log_index, prev_log_term): only if its own log (node, idx, term) has that entry with that term."""
+    own = held.select("node", F.col("idx").alias("prev_log_index"), F.col("term").alias("own_term"))
+    return requests.join(own, ["node", "prev_log_index"], "left").select("node", "prev_log_index", F.coalesce(F.col("own_term") == F.col("prev_log_term"), F.lit(False)).alias("accepted"))
 
 
 def log_match(rl: DataFrame) -> DataFrame:

@@ -55,26 +55,21 @@ def rotation(log: DataFrame, max_bytes: int = 4096, chunk_rows: int = 1_000_000)
     """
     rows = log.select("seq", "record_size", F.floor(F.col("seq") / chunk_rows).cast("long").alias("chunk"))
 
-    def outcome(sizes: np.ndarray, first: int) -> tuple[np.ndarray, int]:
-        """Starts of segments from a first rotation on, and the bytes in the last segment."""
+    def followers(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes before each record, and the record that rotates next if a segment begins at it."""
         before = np.concatenate([[0], np.cumsum(sizes)])
-        starts = []
-        at = first
-        while at < len(sizes):
-            starts.append(at)
-            nxt = int(np.searchsorted(before[:-1], before[at] + max_bytes, "left"))
-            if nxt >= len(sizes):
-                break
-            at = nxt
-        return np.array(starts, np.int64), int(before[-1] - before[starts[-1]]) if starts else 0
+        return before, np.maximum(np.searchsorted(before[:-1], before[:-1] + max_bytes, "left"), np.arange(1, len(before)))
 
     def summed(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.sort_values("seq")["record_size"].to_numpy()
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        near = np.flatnonzero(before[:-1] <= max_bytes)
-        near = np.arange(min(len(sizes), (near[-1] if len(near) else 0) + 2))
-        made = [outcome(sizes, int(i)) for i in near]
-        return pd.DataFrame({"chunk": [key[0]], "before": [before[near].tolist()], "opened": [[len(s) for s, _ in made]], "fill": [[f for _, f in made]], "total": [int(before[-1])]})
+        """For each record that can be the first to rotate: how many segments begin from there on, and the bytes in the last of them."""
+        before, follower = followers(pdf.sort_values("seq")["record_size"].to_numpy())
+        n = len(follower)
+        near = min(n, int(np.searchsorted(before[:-1], max_bytes, "right")) + 1)
+        opened, last = [0] * (n + 1), [0] * (n + 1)
+        for i, j in zip(range(n - 1, -1, -1), follower[::-1].tolist(), strict=True):
+            opened[i], last[i] = opened[j] + 1, last[j] if j < n else i
+        fill = before[-1] - before[np.array(last[:near], np.int64)]
+        return pd.DataFrame({"chunk": [key[0]], "before": [before[:near].tolist()], "opened": [opened[:near]], "fill": [fill.tolist()], "total": [int(before[-1])]})
 
     sums = rows.groupBy("chunk").applyInPandas(summed, "chunk long, before array<long>, opened array<long>, fill array<long>, total long").collect()
     state, segment, fill = {}, 1, 0
@@ -90,12 +85,12 @@ def rotation(log: DataFrame, max_bytes: int = 4096, chunk_rows: int = 1_000_000)
         pdf = pdf.sort_values("seq")
         sizes = pdf["record_size"].to_numpy()
         segment, fill = state[key[0]]
-        before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        first = int(np.searchsorted(before + fill, max_bytes, "left"))
-        starts, _ = outcome(sizes, first)
-        at = np.zeros(len(sizes), np.int64)
-        at[starts] = 1
-        return pd.DataFrame({"seq": pdf["seq"], "record_size": sizes, "segment": segment + np.cumsum(at)})
+        before, follower = followers(sizes)
+        begins, i = np.zeros(len(sizes), np.int64), int(np.searchsorted(before[:-1] + fill, max_bytes, "left"))
+        while i < len(sizes):
+            begins[i] = 1
+            i = int(follower[i])
+        return pd.DataFrame({"seq": pdf["seq"], "record_size": sizes, "segment": segment + np.cumsum(begins)})
 
     return rows.groupBy("chunk").applyInPandas(assigned, "seq long, record_size long, segment long")
 

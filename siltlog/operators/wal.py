@@ -43,5 +43,11 @@ def checkpoints(log: DataFrame, every: int = 1000) -> DataFrame:
     return g.agg(F.count("*").alias("ops"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def after_checkpoint(log: DataFrame, every: int = 999) -> DataFrame:
+    """What a log keeps when it is cut at its last checkpoint, one each ``every`` operations."""
+    done = log.agg((F.floor(F.count("*") / every) * every).alias("n")).scalar()
+    return with_rank(log.select("seq", "segment_id", "key")).where(F.col("rnk") > done).select("seq", "key")
+
+
 def durability_status(log: DataFrame, every: int = 999) -> DataFrame:
     return log.agg((F.count("*") % every).alias("operations_since_checkpoint"), F.max("seq").cast("long").alias("last_seq"))

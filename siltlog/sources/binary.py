@@ -10,20 +10,21 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.functions.codec import HINT_ENTRY, HINT_HEADER, RECORD_HEADER, RECORD_MAGIC, WAL_HEADER, WAL_MAGIC, encode_record
+from siltlog.functions.codec import HINT_ENTRY, HINT_HEADER, RECORD_HEADER, RECORD_MAGIC, WAL_HEADER, WAL_MAGIC, big_endian, encode_record
 
-RECORDS = "segment_id int, offset long, record_size long, ts_ms long, key string, value string, is_tombstone boolean, crc_ok boolean, status string"
+RECORDS = "segment_id int, offset long, record_size long, ts_ms long, key string, value string, is_tombstone boolean, crc_ok boolean, status string, version int"
 HINTS = "segment_id int, offset long, size long, ts_ms long, is_tombstone boolean, key string"
 WAL = "offset long, type int, ts_ms long, payload string, status string"
 
 
 def frame_records(data: bytes) -> Iterator[tuple]:
-    """(offset, size, ts_ms, key, value, tombstone, crc_ok, status); a bad record ends the file with its status."""
+    """(offset, size, ts_ms, key, value, tombstone, crc_ok, status, version); a bad record ends the file with its status."""
     at = 0
     while at < len(data):
         head = data[at : at + RECORD_HEADER]
@@ -37,11 +38,11 @@ def frame_records(data: bytes) -> Iterator[tuple]:
             elif len(data) - at - RECORD_HEADER < n + m:
                 bad = f"incomplete_payload {len(data) - at - RECORD_HEADER} {n + m}"
         if bad:
-            yield at, len(data) - at, None, None, None, None, None, bad
+            yield at, len(data) - at, None, None, None, None, None, bad, None
             return
         key, value = data[at + RECORD_HEADER : at + RECORD_HEADER + n], data[at + RECORD_HEADER + n : at + RECORD_HEADER + n + m]
         gone = bool(flags & 1)
-        yield at, RECORD_HEADER + n + m, ts, key.decode("utf-8", "replace"), None if gone else value.decode("utf-8", "replace"), gone, zlib.crc32(head[:26] + key + value) == crc, "ok"
+        yield at, RECORD_HEADER + n + m, ts, key.decode("utf-8", "replace"), None if gone else value.decode("utf-8", "replace"), gone, zlib.crc32(head[:26] + key + value) == crc, "ok", version
         at += RECORD_HEADER + n + m
 
 
@@ -88,36 +89,88 @@ def pack_wal(kind: int, ts_ms: int, payload: dict) -> bytes:
     return struct.pack(">IBBQII", WAL_MAGIC, 1, kind, ts_ms, len(body), zlib.crc32(body)) + body
 
 
-def _files(spark: SparkSession, path: str, ending: str, frame: Callable, schema: str, numbered: bool) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(path)
-    number = F.expr(r"try_cast(regexp_extract(path, '([0-9]+)\\.[a-z]+$', 1) as int)")
-    raw = raw.select((number if numbered else F.lit(0)).alias("n"), "content").where("n is not null")
+KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def framed(raw: DataFrame, frame: Callable, schema: str) -> DataFrame:
+    """Rows of ``frame(number, bytes)`` for each (n, content), some thousands at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.schema([(x.split(" ")[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split(" ")[1]]) for x in schema.split(", ")])
+        fields = pa.schema([(x.split(" ")[0], KINDS[x.split(" ")[1]]) for x in schema.split(", ")])
         for b in batches:
-            for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(n, *r) if numbered and frame is frame_records else r for r in frame(data)]
-                for a in range(0, len(rows), 8192):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 8192], strict=True), fields, strict=True)], schema=fields)
+            for n, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = iter(frame(n, data.as_py()))
+                while some := list(islice(rows, 8192)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), fields, strict=True)], schema=fields)
 
     return raw.mapInArrow(run, schema)
 
 
+def contents(spark: SparkSession, path: str, ending: str, numbered: bool = True) -> DataFrame:
+    """(n, content) of the files with an ending; n is the number in their name, other names are left out."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(path)
+    number = F.expr(r"try_cast(regexp_extract(path, '([0-9]+)\\.[a-z]+$', 1) as int)")
+    return raw.select((number if numbered else F.lit(0)).alias("n"), "content").where("n is not null")
+
+
+def scan(raw: DataFrame) -> DataFrame:
+    """The records in the bytes of segments (n, content), one segment a row. A broken end is a row with its status."""
+    return framed(raw, lambda n, data: ((n, *r) for r in frame_records(data)), RECORDS)
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Records of all ``N.data`` files; other names are left out. A file's broken end is a row with its status."""
-    return _files(spark, path, ".data", frame_records, RECORDS, True)
+    return scan(contents(spark, path, ".data"))
+
+
+def read_record(spark: SparkSession, path: str, offset: int) -> DataFrame:
+    """The record at an offset of one segment file."""
+    return read_segments(spark, path).where(F.col("offset") == offset)
+
+
+def hint_rows(n: int, data: bytes) -> list[tuple]:
+    """The entries of a hint file; none of a broken one, so that its segment is scanned."""
+    try:
+        return list(frame_hints(data))
+    except ValueError:
+        return []
+
+
+def hint_state(n: int, data: bytes) -> list[tuple]:
+    try:
+        return [(n, sum(1 for _ in frame_hints(data)), "ok")]
+    except ValueError as e:
+        return [(n, 0, str(e))]
 
 
 def read_hints(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, ".hint", frame_hints, HINTS, True)
+    """Entries of all whole ``N.hint`` files."""
+    return framed(contents(spark, path, ".hint"), hint_rows, HINTS)
+
+
+def hint_states(spark: SparkSession, path: str) -> DataFrame:
+    """segment_id, entries, status ('ok' or what is wrong) of each hint file."""
+    return framed(contents(spark, path, ".hint"), hint_state, "segment_id int, entries long, status string")
 
 
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, ".log", frame_wal, WAL, False)
+    return framed(contents(spark, path, ".log", numbered=False), lambda n, data: frame_wal(data), WAL)
 
 
 def encoded(log: DataFrame) -> DataFrame:
     """seq, segment_id and the bytes of each record of a log."""
     ts = F.unix_millis(F.col("ts").cast("timestamp"))
     return log.select("seq", "segment_id", encode_record(F.col("key"), F.col("value"), ts, F.col("is_tombstone")).alias("record"))
+
+
+def segment_bytes(log: DataFrame, fault: Column | None = None) -> DataFrame:
+    """(n, content): the bytes of each segment of a log, its records in the order of ``seq``. Records of which ``fault`` holds get a wrong check sum."""
+    ts = F.unix_millis(F.col("ts").cast("timestamp"))
+    record = encode_record(F.col("key"), F.col("value"), ts, F.col("is_tombstone"))
+    if fault is not None:
+        last = F.call_function("substring", record, F.lit(RECORD_HEADER), F.lit(1))
+        other = big_endian(F.conv(F.hex(last), 16, 10).cast("int").bitwiseXOR(F.lit(1)), 1)
+        record = F.when(fault, F.concat(F.call_function("substring", record, F.lit(1), F.lit(RECORD_HEADER - 1)), other, F.call_function("substring", record, F.lit(RECORD_HEADER + 1), F.octet_length(record)))).otherwise(record)
+    rows = log.select("segment_id", F.struct("seq", F.hex(record).alias("hex")).alias("r"))
+    whole = rows.groupBy("segment_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return whole.select(F.col("segment_id").alias("n"), F.unhex(F.array_join("r.hex", "")).alias("content"))
