@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from siltlog.functions.codec import HINT_ENTRY, HINT_HEADER, RECORD_HEADER, RECORD_MAGIC, WAL_HEADER, WAL_MAGIC, big_endian, encode_record
 
+#: Numbers beyond a long are read as its end.
+LONG = 2**63 - 1
 RECORDS = "segment_id int, offset long, record_size long, ts_ms long, key string, value string, is_tombstone boolean, crc_ok boolean, status string, version int"
 HINTS = "segment_id int, offset long, size long, ts_ms long, is_tombstone boolean, key string"
 WAL = "offset long, type int, ts_ms long, payload string, status string"
@@ -42,7 +44,7 @@ def frame_records(data: bytes) -> Iterator[tuple]:
             return
         key, value = data[at + RECORD_HEADER : at + RECORD_HEADER + n], data[at + RECORD_HEADER + n : at + RECORD_HEADER + n + m]
         gone = bool(flags & 1)
-        yield at, RECORD_HEADER + n + m, ts, key.decode("utf-8", "replace"), None if gone else value.decode("utf-8", "replace"), gone, zlib.crc32(head[:26] + key + value) == crc, "ok", version
+        yield at, RECORD_HEADER + n + m, min(ts, LONG), key.decode("utf-8", "replace"), None if gone else value.decode("utf-8", "replace"), gone, zlib.crc32(head[:26] + key + value) == crc, "ok", version
         at += RECORD_HEADER + n + m
 
 
@@ -57,7 +59,7 @@ def frame_hints(data: bytes) -> Iterator[tuple]:
         if len(data) - at < HINT_ENTRY:
             raise ValueError(f"incomplete_entry {len(data) - at}")
         n, segment, offset, size, ts, flags = struct.unpack(">HIQIQB", data[at : at + HINT_ENTRY])
-        yield segment, offset, size, ts, bool(flags & 1), data[at + HINT_ENTRY : at + HINT_ENTRY + n].decode("utf-8", "replace")
+        yield min(segment, LONG >> 32), min(offset, LONG), size, min(ts, LONG), bool(flags & 1), data[at + HINT_ENTRY : at + HINT_ENTRY + n].decode("utf-8", "replace")
         at += HINT_ENTRY + n
 
 
@@ -80,7 +82,7 @@ def frame_wal(data: bytes) -> Iterator[tuple]:
         if magic != WAL_MAGIC or len(payload) < size or zlib.crc32(payload) != crc:
             yield at, None, None, None, "corrupt"
             return
-        yield at, kind, ts, payload.decode("utf-8", "replace"), "ok"
+        yield at, kind, min(ts, LONG), payload.decode("utf-8", "replace"), "ok"
         at += WAL_HEADER + size
 
 

@@ -51,3 +51,37 @@ def test_wal_stops_at_corruption(spark, tmp_path):
     (tmp_path / "wal.log").write_bytes(good + bytes(bad) + binary.pack_wal(1, 8, {}))
     rows = binary.read_wal(spark, str(tmp_path)).orderBy("offset").collect()
     assert [(r.type, r.status) for r in rows] == [(1, "ok"), (2, "ok"), (None, "corrupt")]
+
+
+def test_recovery_takes_hints_and_scans_where_they_fail(spark, tmp_path):
+    from siltlog.operators import recovery
+
+    bad = bytearray(record(b"late", b"x"))
+    bad[-1] ^= 1
+    (tmp_path / "1.data").write_bytes(record(b"a", b"1") + record(b"b", b"2"))
+    (tmp_path / "2.data").write_bytes(record(b"a", b"", gone=True) + bytes(bad) + record(b"after", b"y"))
+    (tmp_path / "3.data").write_bytes(record(b"c", b"3"))
+    (tmp_path / "4.data").write_bytes(b"text only")
+    (tmp_path / "1.hint").write_bytes(binary.pack_hints([(1, 0, 32, 5, False, "a"), (1, 32, 32, 5, False, "b")]))
+    (tmp_path / "3.hint").write_bytes(b"\xca\xfe\xba")
+    states = {r.segment_id: (r.entries, r.status) for r in binary.hint_states(spark, str(tmp_path)).collect()}
+    assert states == {1: (2, "ok"), 3: (0, "incomplete_header 3")}
+    got = {r.key: (r.segment_id, r.offset, r.size, r.is_tombstone) for r in recovery.recover(spark, str(tmp_path)).collect()}
+    assert got == {"a": (2, 0, 31, True), "b": (1, 32, 32, False), "c": (3, 0, 32, False)}
+    records = binary.read_segments(spark, str(tmp_path))
+    assert {r.segment_id: r.first_bad for r in recovery.failed_segments(records).collect()} == {2: 31, 4: 0}
+    assert {r.segment_id: (r.kept, r.truncate_at) for r in recovery.torn_tail(records).collect()} == {1: (2, 64), 2: (1, 31), 3: (1, 32)}
+    assert binary.read_record(spark, str(tmp_path / "1.data"), 32).first().key == "b"
+
+
+@pytest.mark.parametrize(("at", "byte"), [(0, 0), (4, 9), (5, 0xFF), (26, None), (30, None)])
+def test_a_record_holds_only_whole(spark, tmp_path, at, byte):
+    """Magic, version, time, check sum, key."""
+    from siltlog.operators import recovery
+
+    raw = bytearray(record(b"key", b"value"))
+    raw[at] = raw[at] ^ 1 if byte is None else byte
+    if at in (4, 5):  # with a check sum that fits
+        raw[26:30] = struct.pack(">I", zlib.crc32(bytes(raw[:26] + raw[30:])))
+    (tmp_path / "1.data").write_bytes(bytes(raw))
+    assert [r.is_valid for r in recovery.validate(binary.read_segments(spark, str(tmp_path))).collect()] == [False]

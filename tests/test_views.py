@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,6 +65,39 @@ def test_key_filter_reaches_the_scan(spark):
     assert "GreaterThan(event_id,5)" in plan and "Filter" in plan.split("HashAggregate")[-1]
 
 
+@pytest.mark.parametrize("name", ["op_get", "op_range"])
+def test_key_bounds_reach_the_scan(spark, name):
+    import io
+    from contextlib import redirect_stdout
+
+    from siltlog import catalogue
+
+    from .conftest import DATA
+
+    out = io.StringIO()
+    with redirect_stdout(out):
+        catalogue.queries()[name](spark, str(DATA / "sf0.001")).explain("formatted")
+    pushed = next(x for x in out.getvalue().splitlines() if "PushedFilters" in x)
+    assert "GreaterThanOrEqual(user_id," in pushed and "LessThanOrEqual(user_id," in pushed
+
+
+def test_previous_record_over_stretches(spark):
+    from siltlog.plans.oplog import with_previous
+
+    log = log_of(spark, [(k, str(i)) for i, k in enumerate("abaacbaabcaaab")])
+    last, want = {}, {}
+    for r in sorted(log.collect(), key=lambda r: r.seq):
+        want[r.seq], last[r.key] = last.get(r.key), r.value
+    for every in (1, 3, 1000):
+        assert {r.seq: r.previous and r.previous.value for r in with_previous(log, "value", every=every).collect()} == want
+
+
+def test_rotation_of_large_segments(spark):
+    log = spark.range(300_000).select(F.col("id").alias("seq"), (F.col("id") % 50 + 40).alias("record_size"))
+    got = segments.rotation(log, 10_000_000, 100_000).groupBy("segment").agg(F.sum("record_size").alias("n")).orderBy("segment").collect()
+    assert [r.segment for r in got] == [1, 2] and 10_000_000 <= got[0].n < 10_000_100
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.one_of(st.none(), st.text(min_size=0, max_size=30))), max_size=40), st.integers(31, 200), st.integers(1, 9))
 def test_rotation_is_the_greedy_rule(spark, ops, most, chunk):
