@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltlog.plans.oplog import with_previous
+
 
 def keydir(log: DataFrame) -> DataFrame:
     """The last version of each key by arrival, tombstones too. One aggregate with partial combining: a hot key costs a row a task."""
@@ -62,8 +64,7 @@ def deleted(log: DataFrame) -> DataFrame:
 
 def resurrected(log: DataFrame) -> DataFrame:
     """Keys put again straight after a delete."""
-    before = F.lag("is_tombstone").over(W.partitionBy("key").orderBy("seq"))
-    return log.select("key", "seq", "is_tombstone").withColumn("p", before).where("p and not is_tombstone").select("key").distinct()
+    return with_previous(log.select("key", "seq", "is_tombstone"), "is_tombstone").where("previous.is_tombstone and not is_tombstone").select("key").distinct()
 
 
 def versions(log: DataFrame, most: int = 3) -> DataFrame:
