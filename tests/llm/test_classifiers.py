@@ -110,3 +110,14 @@ def test_kernel_is_shared_grams_over_the_roots():
     assert abs(k - want).max() < 0.02
     s = k.astype(float) @ model.weights
     assert (model.scores(Grams(), texts).argmax(axis=1) == s.argmax(axis=1)).all()
+
+
+def test_held_out_labels_of_toxicity(spark):
+    """By the labels themselves, of documents that nothing was learnt from."""
+    from siltlog.llm.toxicity import op10_toxicity
+
+    sf = str(DATA / "sf0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    n = {(r.toxic, r.predicted): r["count"] for r in op10_toxicity(spark, sf).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.02 * (n[0, 0] + n.get((0, 1), 0))
