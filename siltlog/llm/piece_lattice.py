@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Words (a run of blanks and what follows it) are the units: no piece of the table holds a blank after another character, so none crosses one. The distinct words'
-substrings of bounded length are exploded and equi-joined to the piece table, the edges are grouped by word, and a fold with Spark's higher-order
-``aggregate`` keeps the best path to each place (Viterbi; of equal scores the longer last piece). A character without a piece costs the least score less 10 and becomes its bytes' pieces.
+Texts are cut between two characters that stand side by side in no piece: no piece crosses such a place, so the best path goes through it. The parts
+("atoms", a word or less) are the lattice's words. The distinct atoms' substrings of bounded length are exploded and equi-joined to the piece table, the edges
+are grouped by atom, and a fold with Spark's higher-order ``aggregate`` keeps the best path to each place (Viterbi; of equal scores the longer last piece).
+A character without a piece costs the least score less 10 and becomes its bytes' pieces.
 
 The table is a model file's pieces and scores, read as a unigram model: the result is the best path
 of the library's own lattice (its n-best search) when the file's model type is set to unigram. For a file trained as BPE this is the best-scoring segmentation, which can differ from its merges.
 
-The ``hot`` most frequent words are sent to all tasks (a stated bound); the others' paths go back, by an equi-join on the word's blocks, to the documents that hold them. Words of over
-``MOST`` characters are folded by the same recurrence in the task that holds them, as their edges have no bound.
+Documents are dealt to blocks by a hash of id and text. The paths of the ``hot`` atoms that most blocks hold are sent to all tasks (a stated bound); the
+others' go, by an equi-join on the atom, to the blocks that hold them. Atoms of over ``MOST`` characters are folded by the same recurrence in the task that
+holds them, as their edges have no bound.
 
 Nulls: a null text is empty and has no pieces; a null id is kept. Repeated rows each get a row, an empty table gives none, other columns are ignored.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -33,8 +35,15 @@ from .messages import MESSAGE, gathered, sent
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 MOST = 64
-#: Words a task holds at once.
-HELD = 100_000
+#: Atoms a task holds at once, over all blocks.
+HELD = 400_000
+#: Characters cut at once.
+STEP = 1 << 20
+#: Stands between atoms while a text is cut; no valid text holds it.
+GAP = 0xD800
+#: Atoms a lattice task groups by hashing before it sorts.
+FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+GROUPED = 1 << 16
 OUT = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -53,6 +62,41 @@ class Pieces:
         self.longest = max(map(len, self.score))
         if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.score):
             raise ValueError("a piece crosses a word's boundary")
+        # a number for each character of pieces of two and more (0: none of them), and which pairs of them stand side by side in a piece
+        joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        number = {c: i + 1 for i, c in enumerate(sorted(set("".join(joined))))}
+        self.number = np.zeros(0x110000, np.int32)
+        for c, i in number.items():
+            self.number[ord(c)] = i
+        self.side = np.zeros((len(number) + 1, len(number) + 1), bool)
+        for a, b in joined:
+            self.side[number[a], number[b]] = True
+        self.bytes = [bytes([self.value[i]]) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
+
+    def atoms(self, text: str) -> list[str]:
+        """The text, blanks as marks, cut wherever two characters stand side by side in no piece."""
+        if not text:
+            return []
+        s = MARK + text.replace(" ", MARK)
+        out: list[str] = []
+        open_: list[str] = []
+        before = 0
+        for at in range(0, len(s), STEP):
+            codes = np.frombuffer(s[at : at + STEP].encode("utf-32-le", "surrogatepass"), "<u4")
+            numbers = self.number[codes]
+            cuts = np.flatnonzero(~self.side[numbers[:-1], numbers[1:]]) + 1
+            got = np.insert(codes, cuts, GAP).tobytes().decode("utf-32-le", "surrogatepass").split(chr(GAP))
+            if open_ and not self.side[before, numbers[0]]:
+                out.append("".join(open_))
+                open_ = []
+            open_.append(got[0])
+            if len(got) > 1:
+                out.append("".join(open_))
+                out += got[1:-1]
+                open_ = [got[-1]]
+            before = numbers[-1]
+        out.append("".join(open_))
+        return out
 
     def rows(self) -> list[tuple[str, float, int]]:
         return [(p, s, i) for p, (s, i) in self.score.items()]
@@ -78,8 +122,12 @@ class Pieces:
         """Unknown characters (negative) as their bytes' pieces."""
         return list(chain.from_iterable((i,) if i >= 0 else map(self.byte.__getitem__, chr(-1 - i).encode("utf-8", "surrogatepass")) for i in path))
 
+    def packed(self, path: Iterable[int]) -> bytes:
+        """A path's ids as little-endian uint32."""
+        return np.asarray(self.ids(path), "<u4").tobytes()
+
     def decode(self, ids: Iterable[int]) -> str:
-        out = b"".join(bytes([self.value[i]]) if i in self.value else self.pieces[i].encode() for i in ids).decode("utf-8", "replace")
+        out = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return out.replace(MARK, " ")[1:]
 
 
@@ -87,54 +135,57 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def lattice(words: DataFrame, spark: SparkSession, table_: Pieces, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(word, carried columns, path) of distinct words, which must come partitioned by word: then nothing is shuffled."""
-    took = [F.first(c).alias(c) for c in carry]
+def lattice(words: DataFrame, spark: SparkSession, table_: Pieces) -> DataFrame:
+    """(word, path) of distinct words, which must come partitioned by word: then nothing is shuffled."""
     pieces = spark.createDataFrame(table_.rows(), "piece string, score double, id int")
-    longest, unknown = table_.longest, table_.unknown
-    n = F.char_length("word")
-
-    def cut(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - a)), lambda k: F.struct(a.alias("a"), (a + k).alias("b"), F.substr(F.col("word"), a + 1, k).alias("piece")))
-
-    edges = words.select("word", *carry, F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))).alias("e")).select("word", *carry, "e.*")
-    edges = edges.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("b") == F.col("a") + 1))
-    edges = edges.select("word", *carry, "b", F.struct("a", F.coalesce("score", F.lit(unknown)).alias("s"), F.coalesce("id", F.lit(-1) - F.expr("ascii(piece)")).alias("id")).alias("e"))
-    ends = edges.groupBy("word", "b").agg(F.collect_list("e").alias("into"), *took).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("b", "into"))).alias("ends"), *took)
-    none = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("back"), F.lit(0).alias("a"), F.lit(0).alias("id")))
+    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("b"))
+    edges = ends.select("word", "b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("b") - table_.longest), F.col("b") - 1)).alias("a"))
+    edges = edges.withColumn("piece", F.substr("word", F.col("a") + 1, F.col("b") - F.col("a"))).join(F.broadcast(pieces), "piece", "left")
+    edges = edges.where(F.col("id").isNotNull() | (F.col("b") == F.col("a") + 1))
+    edge = F.struct("b", "a", F.coalesce("score", F.lit(table_.unknown)).alias("s"), F.coalesce("id", F.lit(-1) - F.expr("ascii(piece)")).alias("id"))
+    grouped = edges.select("word", edge.alias("e")).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    none = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("path")))
 
-    def reach(best: Column, end: Column) -> Column:
-        return F.concat(best, F.array(F.array_max(F.transform(end["into"], lambda e: F.struct((best[e["a"]]["s"] + e["s"]).alias("s"), (-e["a"]).alias("back"), e["a"].alias("a"), e["id"].alias("id"))))))
+    def reach(best: Column, e: Column) -> Column:
+        """The best (score, path) to each place so far; edges come by end, then by begin. A place's first edge appends, a better one replaces."""
+        s = best[e["a"]]["s"] + e["s"]
+        made = F.array(F.struct(s.alias("s"), F.concat(best[e["a"]]["path"], F.array(e["id"])).alias("path")))
+        return F.when(e["b"] == F.size(best), F.concat(best, made)).when(s > best[e["b"]]["s"], F.concat(F.slice(best, F.lit(1), e["b"]), made)).otherwise(best)
 
-    best = ends.select("word", *carry, F.aggregate("ends", none, reach).alias("best"))
-    start = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("path"))
-    step = lambda s, _: F.when(s["at"] > 0, F.struct(F.col("best")[s["at"]]["a"].alias("at"), F.concat(s["path"], F.array(F.col("best")[s["at"]]["id"])).alias("path"))).otherwise(s)
-    return best.select("word", *carry, F.reverse(F.aggregate(F.sequence(F.lit(1), F.size("best")), start, step)["path"]).alias("path"))
+    return grouped.select("word", F.element_at(F.aggregate("edges", none, reach), -1)["path"].alias("path"))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(word, n) of each task's words."""
+def held_by(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, blocks) of each task's atoms of documents (block, doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: defaultdict[int, set[str]] = defaultdict(set)
+        size = 0
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return made
+            nonlocal size
+            blocks: defaultdict[str, list[int]] = defaultdict(list)
+            for k, own in held.items():
+                for w in own:
+                    blocks[w].append(k)
+            held.clear()
+            size = 0
+            words = [w for w in blocks if len(w) <= MOST]
+            for i in range(0, len(words), 1 << 16):
+                some = words[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([blocks[w] for w in some], pa.list_(pa.int32()))], ["word", "blocks"])
 
         for b in batches:
-            for t in texts_of(b.column(1)):
-                seen.update(w for w in words_of(t) if len(w) <= MOST)
-                if len(seen) > HELD:
-                    yield out()
-        if seen:
-            yield out()
-
-    return docs.mapInArrow(run, "word string, n long")
-
+            for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(2)), strict=True):
+                x = held[k]
+                size -= len(x)
+                x.update(pieces.atoms(t))
+                size += len(x)
+                if size > HELD:
+                    yield from out()
+        yield from out()
 
-_HOT: dict[int, dict] = {}
+    return docs.mapInArrow(run, "word string, blocks array<int>")
 
 
 def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -143,81 +194,76 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     pieces = Pieces(model)
     parts = rows_for(own.count(), 8192, 12)
-    often = counted(own).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot).select("word").repartition(parts, "word")
-    known = spark.sparkContext.broadcast({r.word: pieces.ids(r.path) for r in lattice(often, spark, pieces).collect()})
-
-    def block_of(i: int | None) -> int:
-        return zlib.crc32(str(i).encode()) % parts
-
-    def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.int32())], ["word", "block"])
-            seen.clear()
-            return made
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                k = block_of(i)
-                seen.update((w, k) for w in words_of(t) if w not in known.value and len(w) <= MOST)
-                if len(seen) > HELD:
-                    yield out()
-        if seen:
-            yield out()
-
-    holders = own.mapInArrow(rare, "word string, block int").groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    # written, so that the words' shuffle can go before the texts are sent
-    paths = Stage(spark, "lattice").put(lattice(holders, spark, pieces, ("blocks",)), "paths").select(F.explode("blocks").alias("block"), "word", "path")
+    own = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"), "doc_id", "text")
+    stage = Stage(spark, "lattice")
+    held = stage.put(held_by(own, pieces), "held")
+    words = held.select("word").repartition(4 * parts, "word").distinct()
+    before = spark.conf.get(FALLBACK)
+    spark.conf.set(FALLBACK, str(GROUPED))
+    try:
+        paths = stage.put(lattice(words, spark, pieces), "paths")
+    finally:
+        spark.conf.set(FALLBACK, before)
+    often = held.groupBy("word").agg(F.sum(F.size("blocks")).alias("n")).orderBy(F.desc("n"), "word").limit(hot).select("word")
+    often = stage.put(paths.join(F.broadcast(often), "word"), "hot")
+    known = spark.sparkContext.broadcast({r.word: pieces.packed(r.path) for r in often.collect()})
+    rest = held.join(F.broadcast(often.select("word")), "word", "left_anti").join(paths, "word").select("word", "blocks", "path")
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages():
-            held: dict[int, tuple[list, list]] = {}
+            held: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
             size, made = 0, TaskContext.get().partitionId() << 24
             for b in batches:
-                for k, w, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    x = held.setdefault(k, ([], []))
-                    x[0].append(w)
-                    x[1].append(p)
-                size += b.num_rows
-                if size > HELD:
-                    yield from ((k, 1, made, x) for k, x in held.items())
-                    held, size, made = {}, 0, made + 1
+                for w, blocks, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    ids = pieces.packed(p)
+                    for k in blocks:
+                        x = held[k]
+                        x[0].append(w)
+                        x[1].append(ids)
+                    size += len(blocks)
+                    if size > HELD:
+                        yield from ((k, 1, made, x) for k, x in held.items())
+                        held.clear()
+                        size, made = 0, made + 1
             yield from ((k, 1, made, x) for k, x in held.items())
 
         yield from sent(messages())
 
     def text_messages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages():
-            held: dict[int, tuple[list, list]] = {}
+            held: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
             size, made = 0, TaskContext.get().partitionId() << 24
             for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                    x = held.setdefault(block_of(i), ([], []))
+                for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+                    x = held[k]
                     x[0].append(i)
                     x[1].append(t)
                     size += len(t)
                     if size > 1 << 23:
                         yield from ((k, 2, made, x) for k, x in held.items())
-                        held, size, made = {}, 0, made + 1
+                        held.clear()
+                        size, made = 0, made + 1
             yield from ((k, 2, made, x) for k, x in held.items())
 
         yield from sent(messages())
 
     def spell(key, held):
-        own_words = {w: pieces.ids(p) for _, (words, ps) in held.get(1, []) for w, p in zip(words, ps, strict=True)}
+        own_words = {w: p for _, (words, ps) in held.get(1, []) for w, p in zip(words, ps, strict=True)}
         hot_words = known.value
+
+        def of(w: str) -> bytes:
+            got = own_words.get(w)
+            return pieces.packed(pieces.best(w)) if got is None else got  # over MOST characters
+
         for _, (ids, texts) in held.get(2, []):
             for i, t in zip(ids, texts, strict=True):
-                out: list[int] = []
-                for w in words_of(t):
-                    got = hot_words.get(w)
-                    if got is None:
-                        got = own_words.get(w)
-                    if got is None:
-                        got = pieces.ids(pieces.best(w))  # over MOST characters
-                    out += got
-                yield i, len(out), zlib.crc32(np.asarray(out, "<u4").tobytes()), pieces.decode(out) == t.replace(MARK, " "), *([out] if with_ids else [])
+                words = pieces.atoms(t)
+                found = list(map(hot_words.get, words))
+                if None in found:
+                    found = [of(w) if p is None else p for w, p in zip(words, found, strict=True)]
+                packed_ids = b"".join(found)
+                out = np.frombuffer(packed_ids, "<u4").tolist()
+                yield i, len(out), zlib.crc32(packed_ids), pieces.decode(out) == t.replace(MARK, " "), *([out] if with_ids else [])
 
     def rows(made):
         some: list[tuple] = []
@@ -237,7 +283,7 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
             yield out()
 
     texts = own.mapInArrow(text_messages, MESSAGE)
-    return gathered([paths.mapInArrow(bundle, MESSAGE), texts], parts, spell, OUT + (", ids array<int>" if with_ids else ""), rows)
+    return gathered([rest.mapInArrow(bundle, MESSAGE), texts], parts, spell, OUT + (", ids array<int>" if with_ids else ""), rows)
 
 
 def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
