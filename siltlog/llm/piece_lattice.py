@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,12 +35,14 @@ from .messages import MESSAGE, gathered, sent
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 MOST = 64
-#: Atoms a task holds at once, over all blocks.
-HELD = 400_000
+#: Atoms or units a task holds at once; of their blocks, four times as many.
+HELD = 300_000
 #: Characters cut at once.
 STEP = 1 << 20
-#: Stands between atoms while a text is cut; no valid text holds it.
-GAP = 0xD800
+#: Stands between units; no valid text holds it.
+GAP = "\ud800"
+#: Its packed id.
+END = b"\xff" * 4
 #: Atoms a lattice task groups by hashing before it sorts.
 FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 GROUPED = 1 << 16
@@ -65,7 +67,7 @@ class Pieces:
         # a number for each character of pieces of two and more (0: none of them), and which pairs of them stand side by side in a piece
         joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         number = {c: i + 1 for i, c in enumerate(sorted(set("".join(joined))))}
-        self.number = np.zeros(0x110000, np.int32)
+        self.number = np.zeros(0x110000, np.int64)
         for c, i in number.items():
             self.number[ord(c)] = i
         self.side = np.zeros((len(number) + 1, len(number) + 1), bool)
@@ -73,19 +75,25 @@ class Pieces:
             self.side[number[a], number[b]] = True
         self.bytes = [bytes([self.value[i]]) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
 
-    def atoms(self, text: str) -> list[str]:
-        """The text, blanks as marks, cut wherever two characters stand side by side in no piece."""
+    def units(self, text: str) -> list[str]:
+        """The text's parts from one blank, as a mark, to the next; where a piece holds two marks, runs of blanks stay with what follows."""
         if not text:
             return []
-        s = MARK + text.replace(" ", MARK)
+        text = text.replace(MARK, " ")
+        if self.side[self.number[ord(MARK)], self.number[ord(MARK)]] and (text[0] == " " or "  " in text):
+            return words_of(text)
+        return (MARK + text.replace(" ", GAP + MARK)).split(GAP)
+
+    def atoms(self, s: str) -> list[str]:
+        """A marked string, cut wherever two characters stand side by side in no piece; a gap is a part by itself."""
         out: list[str] = []
         open_: list[str] = []
         before = 0
         for at in range(0, len(s), STEP):
-            codes = np.frombuffer(s[at : at + STEP].encode("utf-32-le", "surrogatepass"), "<u4")
-            numbers = self.number[codes]
-            cuts = np.flatnonzero(~self.side[numbers[:-1], numbers[1:]]) + 1
-            got = np.insert(codes, cuts, GAP).tobytes().decode("utf-32-le", "surrogatepass").split(chr(GAP))
+            part = s[at : at + STEP]
+            numbers = self.number.take(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))
+            cuts = (np.flatnonzero(~self.side.ravel().take(numbers[:-1] * len(self.side) + numbers[1:])) + 1).tolist()
+            got = [part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)]
             if open_ and not self.side[before, numbers[0]]:
                 out.append("".join(open_))
                 open_ = []
@@ -95,9 +103,18 @@ class Pieces:
                 out += got[1:-1]
                 open_ = [got[-1]]
             before = numbers[-1]
-        out.append("".join(open_))
+        if open_:
+            out.append("".join(open_))
         return out
 
+    def spelled(self, units: list[str], of: Callable[[str], bytes]) -> list[bytes]:
+        """The packed ids of each unit; ``of`` gives an atom's."""
+        if not units:
+            return []
+        found = b"".join(END if w == GAP else of(w) for w in self.atoms(GAP.join([*units, ""])))
+        ends = (np.flatnonzero(np.frombuffer(found, "<u4") == 0xFFFFFFFF) * 4).tolist()
+        return [found[i:j] for i, j in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+
     def rows(self) -> list[tuple[str, float, int]]:
         return [(p, s, i) for p, (s, i) in self.score.items()]
 
@@ -159,30 +176,31 @@ def held_by(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, blocks) of each task's atoms of documents (block, doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: defaultdict[int, set[str]] = defaultdict(set)
+        blocks: defaultdict[str, list[int]] = defaultdict(list)
         size = 0
 
         def out():
-            nonlocal size
-            blocks: defaultdict[str, list[int]] = defaultdict(list)
-            for k, own in held.items():
-                for w in own:
-                    blocks[w].append(k)
-            held.clear()
-            size = 0
-            words = [w for w in blocks if len(w) <= MOST]
+            words = [w for w in blocks if len(w) <= MOST and w != GAP]
             for i in range(0, len(words), 1 << 16):
                 some = words[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([blocks[w] for w in some], pa.list_(pa.int32()))], ["word", "blocks"])
+            blocks.clear()
 
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(2)), strict=True):
-                x = held[k]
-                size -= len(x)
-                x.update(pieces.atoms(t))
-                size += len(x)
-                if size > HELD:
+            of = defaultdict(list)
+            for row, k in enumerate(b.column(0).to_pylist()):
+                of[k].append(row)
+            for k, rows in of.items():
+                units: set[str] = set()
+                for t in texts_of(b.column(2).take(pa.array(rows))):
+                    units.update(pieces.units(t))
+                atoms = set(pieces.atoms(GAP.join(units)))
+                for w in atoms:
+                    blocks[w].append(k)
+                size += len(atoms)
+                if len(blocks) > HELD or size > 4 * HELD:
                     yield from out()
+                    size = 0
         yield from out()
 
     return docs.mapInArrow(run, "word string, blocks array<int>")
@@ -252,18 +270,22 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
         hot_words = known.value
 
         def of(w: str) -> bytes:
-            got = own_words.get(w)
+            got = hot_words.get(w)
+            if got is None:
+                got = own_words.get(w)
             return pieces.packed(pieces.best(w)) if got is None else got  # over MOST characters
 
+        memo: dict[str, bytes] = {}
         for _, (ids, texts) in held.get(2, []):
-            for i, t in zip(ids, texts, strict=True):
-                words = pieces.atoms(t)
-                found = list(map(hot_words.get, words))
-                if None in found:
-                    found = [of(w) if p is None else p for w, p in zip(words, found, strict=True)]
-                packed_ids = b"".join(found)
-                out = np.frombuffer(packed_ids, "<u4").tolist()
-                yield i, len(out), zlib.crc32(packed_ids), pieces.decode(out) == t.replace(MARK, " "), *([out] if with_ids else [])
+            units = list(map(pieces.units, texts))
+            if len(memo) > HELD:
+                memo.clear()
+            fresh = list(set().union(*units) - memo.keys())
+            memo.update(zip(fresh, pieces.spelled(fresh, of), strict=True))
+            for i, t, own in zip(ids, texts, units, strict=True):
+                found = b"".join(map(memo.__getitem__, own))
+                out = np.frombuffer(found, "<u4").tolist()
+                yield i, len(out), zlib.crc32(found), pieces.decode(out) == t.replace(MARK, " "), *([out] if with_ids else [])
 
     def rows(made):
         some: list[tuple] = []
