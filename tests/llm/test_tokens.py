@@ -112,3 +112,19 @@ def test_repeated_rows_each_get_a_row(spark):
     df = frame(spark, ["a b", "a b", None, "c"], ids=[1, 1, 1, None])
     for out in (count_tokens(df, P.path("piece_bpe_32k.model")), encode(df, P.path("piece_bpe_32k.model"), hot=2)):
         assert sorted(-1 if x.doc_id is None else x.doc_id for x in out.collect()) == [-1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("step", [3, 7, 1 << 20])
+def test_cut_texts_have_the_best_path_of_whole_words(monkeypatch, step):
+    import random
+
+    from siltlog.llm import piece_lattice
+
+    monkeypatch.setattr(piece_lattice, "STEP", step)
+    r, pieces = random.Random(1), Pieces(P.path("piece_bpe_32k.model"))
+    parts = ["a", "the", " ", "  ", " Wort", "é", "🔑", "\n", "ing", "x1", MARK, "<s>", "   ", "tion", "日本", "\x00", "aaaa" * 5, "zq"]
+    for _ in range(500):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(40)))
+        want = [x for w in words_of(t.replace(MARK, " ")) for x in pieces.ids(pieces.best(w))]
+        got = b"".join(pieces.spelled(pieces.units(t), lambda w: pieces.packed(pieces.best(w))))
+        assert np.frombuffer(got, "<u4").tolist() == want, t
