@@ -1,7 +1,8 @@
 """Approximate nearest neighbours with a permutation index.
 
-Each vector is represented by the order of its nearest pivots. A shard posts its vectors in an inverted file a pivot (vector, place of the pivot
-in its order). A query adds up, over the files of its own pivots, what their places share: with prefixes of length L, the footrule distance
+Each vector is represented by the order of its nearest pivots. A shard posts its vectors in an inverted file a pivot: the pivot's place in the
+order of each vector, L where it isn't among the first L. (More than a third of the vectors are in each file, so a place a vector takes less room than pairs of vector and place, and
+files are added up without an index.) A query adds up, over the files of its own pivots, what their places share: with prefixes of length L, the footrule distance
 is L(L+1) - 2 * sum(L - max(place in query, place in vector)) over the common pivots. The vectors of least distance are reranked by cosine in double precision.
 
 The pivots are a bounded sample (``pivots`` vectors, the smallest id hashes); every vector is indexed. All vectors tied at the
@@ -44,7 +45,11 @@ def unit(m: np.ndarray) -> np.ndarray:
 def prefixes(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The ``length`` nearest pivots of each row, nearest first, ties to the smaller pivot number."""
     near = -(unit(m) @ pivots.T)
-    return np.argsort(near, axis=1, kind="stable")[:, :length]
+    order = np.argsort(near, axis=1)
+    got = np.take_along_axis(near, order, axis=1)
+    tied = (got[:, 1:] == got[:, :-1]).any(axis=1)
+    order[tied] = np.argsort(near[tied], axis=1, kind="stable")
+    return order[:, :length]
 
 
 @dataclass
@@ -52,9 +57,7 @@ class Posted:
     ids: np.ndarray
     data: np.ndarray
     norms: np.ndarray
-    starts: np.ndarray  # of each pivot's file
-    members: np.ndarray
-    places: np.ndarray
+    files: np.ndarray  # pivot by vector: the pivot's place, or the prefix length
 
     @property
     def dim(self) -> int:
@@ -65,6 +68,8 @@ class PermutationSearch:
     arrow, kind = pa.float64(), "double"
 
     def __init__(self, pivots: dict[int, np.ndarray], k: int, length: int, depth: float):
+        if length > 181:
+            raise ValueError("sums of places of a prefix of over 181 pivots do not fit 16 bits")
         self.pivots, self.k, self.length, self.depth = pivots, k, length, depth
 
     def of(self, d: int) -> np.ndarray:
@@ -73,10 +78,9 @@ class PermutationSearch:
     def prepare(self, ids: np.ndarray, m: np.ndarray) -> Posted:
         pivots, m = self.of(m.shape[1]), scaled(m)
         p = prefixes(m, pivots, self.length)
-        flat = p.ravel()
-        order = np.argsort(flat, kind="stable")
-        starts = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
-        return Posted(ids, m, np.sqrt((m * m).sum(axis=1)), starts, (order // p.shape[1]).astype(np.int32), (order % p.shape[1]).astype(np.int16))
+        files = np.full((len(pivots), len(m)), p.shape[1], np.int16)
+        files[p, np.arange(len(m))[:, None]] = np.arange(p.shape[1], dtype=np.int16)
+        return Posted(ids, m, np.sqrt((m * m).sum(axis=1)), files)
 
     def __call__(self, shards: list[Posted], ids: np.ndarray, queries: np.ndarray):
         pivots, queries = self.of(queries.shape[1]), scaled(queries)
@@ -86,12 +90,14 @@ class PermutationSearch:
         for s in shards:
             n = len(s.ids)
             depth = max(self.k + 1, 200, int(np.ceil(self.depth * n)))
-            shared = np.empty(n, np.int16)
+            apart, later = np.empty(n, np.int16), np.empty(n, np.int16)
+            places = np.repeat(np.arange(length, dtype=np.int16)[:, None], n, axis=1)  # whole rows: a scalar takes four times as long
             for i, order in enumerate(orders):
-                shared[:] = 0
-                for place, j in enumerate(order):
-                    a, b = s.starts[j], s.starts[j + 1]
-                    shared[s.members[a:b]] += (length - np.maximum(place, s.places[a:b])).astype(np.int16)
+                apart[:] = 0
+                for place, j in zip(places, order, strict=True):
+                    np.maximum(s.files[j], place, out=later)
+                    np.add(apart, later, out=apart)
+                shared = length * length - apart
                 least = 1 if depth >= n else max(1, int(np.partition(shared, n - depth)[n - depth]))
                 found = np.flatnonzero(shared >= least)
                 if len(found) <= self.k:
