@@ -70,7 +70,7 @@ def blocks(df: DataFrame, prepare: Callable[[np.ndarray], tuple[np.ndarray, np.n
 def against_all(shards: DataFrame, tiles: DataFrame, groups: int, search: Callable) -> DataFrame:
     """Sends each query tile to each group of shards. ``search(shards, query ids, queries)`` gives (query row, vec_id, score) arrays.
 
-    A group's shards stay in the memory of one task, the tiles stream past them.
+    A group is a task; its shards stay in the task's memory, the tiles stream past them.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def against_all(shards: DataFrame, tiles: DataFrame, groups: int, search: Callab
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), now), pa.int64()), pa.array(r["block"] * (1 << 16) + row, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(vec, pa.int64()), pa.array(score, search.arrow)], ["g", "query_row", "query_id", "vec_id", "score"])
 
     sent = tiles.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    dealt = shards.unionByName(sent).repartition(groups, "g").sortWithinPartitions("g", "kind", "block")
+    dealt = shards.unionByName(sent).repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions("g", "kind", "block")
     return dealt.mapInArrow(run, f"g long, query_row long, query_id long, vec_id long, score {search.kind}")
 
 
