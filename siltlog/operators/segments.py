@@ -50,8 +50,8 @@ def rotation(log: DataFrame, max_bytes: int = 4096, chunk_rows: int = 1_000_000)
     """The segment of each record if a new one is begun before a write once the last holds ``max_bytes`` or more.
 
     The rule is sequential, yet what a chunk of the log does depends only on the record at which it first rotates. Each chunk is summed up by the outcome
-    for each such record (those within ``max_bytes`` of its start); the chunks are then linked on the driver (a few numbers a chunk of
-    ``chunk_rows`` records), and each assigns its own records.
+    for each such record (those within ``max_bytes`` of its start); the chunks are then linked on the driver, which reads these sums a partition at a time
+    and keeps two numbers a chunk of ``chunk_rows`` records. These are joined to the chunks, and each assigns its own records.
     """
     rows = log.select("seq", "record_size", F.floor(F.col("seq") / chunk_rows).cast("long").alias("chunk"))
 
@@ -69,22 +69,25 @@ def rotation(log: DataFrame, max_bytes: int = 4096, chunk_rows: int = 1_000_000)
         for i, j in zip(range(n - 1, -1, -1), follower[::-1].tolist(), strict=True):
             opened[i], last[i] = opened[j] + 1, last[j] if j < n else i
         fill = before[-1] - before[np.array(last[:near], np.int64)]
-        return pd.DataFrame({"chunk": [key[0]], "before": [before[:near].tolist()], "opened": [opened[:near]], "fill": [fill.tolist()], "total": [int(before[-1])]})
-
-    sums = rows.groupBy("chunk").applyInPandas(summed, "chunk long, before array<long>, opened array<long>, fill array<long>, total long").collect()
-    state, segment, fill = {}, 1, 0
-    for r in sorted(sums, key=lambda r: r.chunk):
-        state[r.chunk] = (segment, fill)
-        first = next((i for i, b in enumerate(r.before) if fill + b >= max_bytes), None)
-        if first is None:
+        packed = (np.asarray(x[:near], np.int64).tobytes() for x in (before, opened, fill))
+        return pd.DataFrame({"chunk": [key[0]], **{c: [x] for c, x in zip(("before", "opened", "fill"), packed, strict=True)}, "total": [int(before[-1])]})
+
+    sums = rows.groupBy("chunk").applyInPandas(summed, "chunk long, before binary, opened binary, fill binary, total long").orderBy("chunk")
+    state, segment, fill = [], 1, 0
+    for r in sums.toLocalIterator():
+        state.append((r.chunk, segment, fill))
+        before, opened, fills = (np.frombuffer(x, np.int64) for x in (r.before, r.opened, r.fill))
+        first = int(np.searchsorted(before, max_bytes - fill, "left"))
+        if first == len(before):
             fill += r.total
         else:
-            segment, fill = segment + r.opened[first], r.fill[first]
+            segment, fill = segment + int(opened[first]), int(fills[first])
+    begun = log.sparkSession.createDataFrame(state, "chunk long, opened long, fill long")
 
     def assigned(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         sizes = pdf["record_size"].to_numpy()
-        segment, fill = state[key[0]]
+        segment, fill = int(pdf["opened"].iat[0]), int(pdf["fill"].iat[0])
         before, follower = followers(sizes)
         begins, i = np.zeros(len(sizes), np.int64), int(np.searchsorted(before[:-1] + fill, max_bytes, "left"))
         while i < len(sizes):
@@ -92,6 +95,6 @@ def rotation(log: DataFrame, max_bytes: int = 4096, chunk_rows: int = 1_000_000)
             i = int(follower[i])
         return pd.DataFrame({"seq": pdf["seq"], "record_size": sizes, "segment": segment + np.cumsum(begins)})
 
-    return rows.groupBy("chunk").applyInPandas(assigned, "seq long, record_size long, segment long")
+    return rows.join(begun, "chunk").groupBy("chunk").applyInPandas(assigned, "seq long, record_size long, segment long")
 
 

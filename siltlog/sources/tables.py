@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``, or a temporary folder where it is unset and driver and executors are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         found = tempfile.mkdtemp(prefix="siltlog-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -27,18 +27,19 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key directory by a stream: arrival order (seq) decides, so late rows are never dropped. The state is a row a key; each run is written to the shared folder."""
+    """The key directory by a stream: arrival order (seq) decides, so late rows are never dropped. The state is a row a key; a micro-batch
+    writes the keys it has changed, in a folder of its own, and a read keeps the last row of each."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     out = f"{shared_dir(spark)}/siltlog-stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/view")
+        batch.write.mode("overwrite").parquet(f"{out}/view/epoch={epoch}")
 
     view = keydir(event_stream(spark, path, schema).select("key", "seq", "segment_id", "is_tombstone", "value"))
-    query = view.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query = view.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/view").select("key", "seq", "segment_id", "is_tombstone", "value")
+    return keydir(spark.read.parquet(f"{out}/view").select("key", "seq", "segment_id", "is_tombstone", "value"))
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
