@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from siltlog.llm.permutation_index import nearest
+from siltlog.llm.permutation_index import PermutationSearch, nearest, prefixes, unit
 from siltlog.llm.topk import OP6_SQL, op6_topk, top_k
 
 from ..conftest import DATA
@@ -126,3 +126,34 @@ def test_repeated_query_rows_each_get_a_list(spark):
     for f in (top_k, nearest):
         got = sorted((x.query_id, x["rank"], x.vec_id) for x in f(df, df.where("vec_id = 0"), k=1).collect())
         assert got == [(0, 1, 1), (0, 1, 2)]
+
+
+def test_recall_of_a_full_shard_and_its_footrule():
+    """One shard of 4,096 vectors, where the index has to choose; its sums of places against the definition of the footrule."""
+    r = np.random.default_rng(11)
+    m, pivots, length = r.normal(size=(4096, 64)), unit(r.normal(size=(256, 64))), 96
+    search = PermutationSearch({64: pivots}, 5, length, 0.08)
+    shard = search.prepare(np.arange(4096), m)
+    ids = np.arange(0, 4096, 50)
+    row, vec, _ = search([shard], ids, m[ids])
+    u = unit(m)
+    hit = 0
+    for i, q in enumerate(ids):
+        cosine = u @ u[q]
+        cosine[q] = -9
+        hit += len(set(vec[row == i].tolist()) & set(np.argsort(-cosine)[:5].tolist()))
+    assert hit >= 0.9 * 5 * len(ids) and len(row) == 5 * len(ids)
+
+    a, b = (prefixes(m[:20], pivots, length), prefixes(m[20:40], pivots, length))
+    for x, y in zip(a, b, strict=True):
+        at = [dict(zip(z.tolist(), range(length), strict=True)) for z in (x, y)]
+        footrule = sum(abs(at[0].get(p, length) - at[1].get(p, length)) for p in set(at[0]) | set(at[1]))
+        shared = sum(length - max(i, at[1][p]) for p, i in at[0].items() if p in at[1])
+        assert footrule == length * (length + 1) - 2 * shared
+    own = np.array([dict(zip(a[0].tolist(), range(length), strict=True)).get(p, length) for p in range(256)])
+    assert (shard.files[:, 0] == own).all()
+
+
+def test_pivots_tied_for_a_vector_come_by_number():
+    pivots = unit(np.array([[0.0, 1.0], [1.0, 0.0], [0.0, -1.0], [-1.0, 0.0]]))
+    assert prefixes(np.array([[1.0, 1.0], [1.0, 0.0]]), pivots, 4).tolist() == [[0, 1, 2, 3], [1, 0, 2, 3]]
