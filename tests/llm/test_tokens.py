@@ -128,3 +128,12 @@ def test_cut_texts_have_the_best_path_of_whole_words(monkeypatch, step):
         want = [x for w in words_of(t.replace(MARK, " ")) for x in pieces.ids(pieces.best(w))]
         got = b"".join(pieces.spelled(pieces.units(t), lambda w: pieces.packed(pieces.best(w))))
         assert np.frombuffer(got, "<u4").tolist() == want, t
+
+
+def test_units_not_spelled_by_their_ids_are_named():
+    pieces = Pieces(P.path("piece_bpe_32k.model"))
+    units = pieces.units("the cat 日本 \x00 é the")
+    packed = pieces.spelled(units, lambda w: pieces.packed(pieces.best(w)))
+    assert pieces.strange(units, packed) == [] == pieces.strange([], [])
+    assert pieces.strange(units, [packed[1], packed[0], *packed[2:]]) == units[:2]
+    assert pieces.strange(["ab", "c"], pieces.spelled(["a", "bc"], lambda w: pieces.packed(pieces.best(w)))) == ["ab", "c"]
