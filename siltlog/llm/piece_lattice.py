@@ -86,7 +86,7 @@ class Pieces:
         for a, b in joined:
             self.side[number[a], number[b]] = True
         self.bytes = [bytes([self.value[i]]) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
-        self.apart = [*self.bytes, b"\xff"]  # no text's bytes hold the last one
+        self.apart = [*self.bytes, GAP.encode("utf-8", "surrogatepass")]  # no text's bytes hold the last one
 
     def units(self, text: str) -> list[str]:
         """The text's parts from one blank, as a mark, to the next; where a piece holds two marks, runs of blanks stay with what follows."""
@@ -136,7 +136,7 @@ class Pieces:
             ids = np.frombuffer(len(self.bytes).to_bytes(4, "little").join(some), "<u4").tolist()
             return b"".join(map(self.apart.__getitem__, ids))
 
-        if spelt(packed) == b"\xff".join([u.encode() for u in units]):
+        if spelt(packed) == GAP.join(units).encode("utf-8", "surrogatepass"):
             return []
         return [u for u, p in zip(units, packed, strict=True) if spelt([p]) != u.encode()]
 
