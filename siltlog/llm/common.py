@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,24 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, at whose end the worker gives back what it has freed: it waits for its next task, and what it holds counts meanwhile."""
+
+    def ran(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        freed()
+
+    return ran
+
+
+def freed() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system, where the library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def rows_for(n: int, per_task: int, least: int) -> int:
     """Tasks for n rows."""
     return max(least, -(-n // per_task))

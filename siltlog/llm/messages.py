@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 MESSAGE = "key long, kind int, sub long, body binary"
 
 
@@ -49,7 +51,7 @@ def each(df: DataFrame, step: Callable, schema: str = MESSAGE, out: Callable = s
 
         yield from out(made())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def gathered(frames: list[DataFrame], parts: int, step: Callable, schema: str = MESSAGE, out: Callable = sent) -> DataFrame:
@@ -74,4 +76,4 @@ def gathered(frames: list[DataFrame], parts: int, step: Callable, schema: str =
 
         yield from out(made())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -15,7 +15,8 @@ the smallest id of its holders. Windows whose hash no other such string has keep
    windows are merged; prefixes of neighbours in the order are compared (by 64-bit fingerprints, so a wrong tie has odds of 1 to 2**64 a pair of neighbours), and a run of
    equal ones gets the smallest id of its holders. Every string's answer goes back to the chunks, blocks and documents it came from.
 
-What crosses the network for a sort are the distinct tuples of a task, and ranks go back as differences. Strings equal within a
+What crosses the network for a sort are the distinct tuples of a task, and ranks go back as differences. Which of them a place has goes along as a message of a bucket to
+itself, so nothing is sorted twice: later steps look the answers up. Strings equal within a
 block are sent once, so one that all documents share costs a message a block. Splitters come from a bounded sample of the runs and only balance the work. Each step is
 written to the shared folder, and the tables it has used up are dropped.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, table, utf8_views
+from .common import Stage, lean, table, utf8_views
 from .messages import MESSAGE, each, gathered, sent, unpacked
 from .minhash import _POWERS, mix
 
 GRAM = 24
 BLOCK_BYTES, PIECE_BYTES = 1 << 21, 1 << 21
+#: Bytes of packed blocks that a bucket stands for: a task costs some 0.1 s besides its work.
+BUCKET_BYTES = 6 << 20
 #: Windows of a chunk: about, and at most.
 CHUNK, CHUNK_MOST = 48, 2048
 SPLITTERS = 1 << 16
+STRIP = 1 << 15
 NONE = np.uint32(2**32 - 1)
+#: Kinds of a sort's messages, plus the level: names and ranks as they come from the ranges, and which triple or item a place has.
+NAMES, RANKS, TRIPLE_OF, ITEM_OF = 100, 200, 300, 400
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 FACTORS = mix(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
 OF_BYTE = [mix(np.arange(256, dtype=np.uint64) + np.uint64(s)) for s in (1, 257)]
@@ -52,11 +59,21 @@ OF_BYTE = [mix(np.arange(256, dtype=np.uint64) + np.uint64(s)) for s in (1, 257)
 
 def sums(b: np.ndarray, salt: int) -> np.ndarray:
     up, _ = _POWERS.upto(len(b) + 1)
-    out = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(OF_BYTE[salt][b] * up[: len(b)], out=out[1:])
+    out = np.empty(len(b) + 1, np.uint64)
+    out[0] = 0
+    for i, j in strips(len(b)):
+        part = out[i + 1 : j + 1]
+        np.multiply(OF_BYTE[salt][b[i:j]], up[i:j], out=part)
+        part[:1] += out[i : i + 1]
+        np.cumsum(part, out=part)
     return out
 
 
+def strips(n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places small enough for what is made of them to stay in a core's cache."""
+    return ((a, min(n, a + STRIP)) for a in range(0, n, STRIP))
+
+
 def hashes(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of the bytes a to b."""
     _, down = _POWERS.upto(len(total))
@@ -106,12 +123,17 @@ def groups_of(sorted_: np.ndarray) -> np.ndarray:
 
 
 def several(values: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values in order, and which of them have more than one holder."""
+    """The distinct 48-bit values in order, and which of them have more than one holder."""
+    if not len(values):
+        return values, np.zeros(0, bool)
+    if 0 <= holder.min() and holder.max() < 1 << 16:
+        both = np.sort(values << np.uint64(16) | holder.astype(np.uint64))
+        one = both >> np.uint64(16)
+        begin = groups_of(one)
+        return one[begin], both[begin] != both[np.append(begin[1:], len(both)) - 1]
     order = np.argsort(values)
     values, holder = values[order], holder[order]
     begin = groups_of(values)
-    if not len(begin):
-        return values, np.zeros(0, bool)
     return values[begin], np.minimum.reduceat(holder, begin) < np.maximum.reduceat(holder, begin)
 
 
@@ -123,34 +145,46 @@ class Text:
         self.buf = np.frombuffer(data, np.uint8)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.off))
 
-    def words(self) -> np.ndarray:
-        """The eight bytes from each place on."""
-        return np.ndarray((len(self.buf),), "<u8", np.concatenate([self.buf, np.zeros(8, np.uint8)]), strides=(1,)).copy()
-
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and 48-bit fingerprints of the least hash of every window."""
         n, w = len(self.buf), length - GRAM + 1
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        self.word = self.words()
-        h = self.word[: n - 23] * FACTORS[0]
-        h += self.word[8 : n - 15] * FACTORS[1]
-        h += self.word[16 : n - 7] * FACTORS[2]
-        self.hash = np.minimum((h >> np.uint64(32)).astype(np.uint32), NONE - np.uint32(1))
+        # the eight bytes from each place on
+        self.word = np.ndarray((n,), "<u8", np.concatenate([self.buf, np.zeros(8, np.uint8)]), strides=(1,))
+        self.hash = np.empty(n - 23, np.uint32)
+        for a, b in strips(n - 23):
+            word = self.word[a : b + 16].copy()
+            self.hash[a:b] = self.grams(word[:-16], word[8:-8], word[16:]) >> np.uint64(32)
+        np.minimum(self.hash, NONE - np.uint32(1), out=self.hash)
         cut = before_ends(self.off[1:-1], GRAM - 1)
         self.hash[cut[cut < len(self.hash)]] = NONE
-        self.least = sliding(self.hash, w, np.minimum)
-        edge = np.zeros(w - 1, np.uint32)
-        place = np.flatnonzero((self.hash == sliding(np.concatenate([edge, self.least, edge]), w, np.maximum)) & (self.hash != NONE))
-        return place, mix(h[place]) >> np.uint64(16)
+        self.least, places = np.empty(n - length + 1, np.uint32), []
+        for a, b in strips(len(self.least)):
+            self.least[a:b] = sliding(self.hash[a : b + w - 1], w, np.minimum)
+        for a, b in strips(len(self.hash)):
+            near = self.least[max(0, a - w + 1) : b]
+            near = np.concatenate([np.zeros(max(0, w - 1 - a), np.uint32), near, np.zeros(max(0, b - len(self.least)), np.uint32)])
+            hash_ = self.hash[a:b]
+            places.append(a + np.flatnonzero((hash_ == sliding(near, w, np.maximum)) & (hash_ != NONE)))
+        place = np.concatenate(places)
+        return place, mix(self.grams(self.word[place], self.word[place + 8], self.word[place + 16])) >> np.uint64(16)
+
+    @staticmethod
+    def grams(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        h = a * FACTORS[0]
+        h += b * FACTORS[1]
+        h += c * FACTORS[2]
+        return h
 
     def candidates(self, length: int, again: np.ndarray) -> np.ndarray:
         """The starts of windows whose own least fingerprint is at one of the places ``again``: only they can have a copy."""
-        own = np.full(len(self.hash), NONE)
+        own, w = np.full(len(self.hash), NONE), length - GRAM + 1
         own[again] = self.hash[again]
-        own = sliding(own, length - GRAM + 1, np.minimum)
         out = np.zeros(len(self.buf), bool)
-        out[: len(own)] = (own == self.least) & (own != NONE)
+        for a, b in strips(len(self.least)):
+            some = sliding(own[a : b + w - 1], w, np.minimum)
+            out[a:b] = (some == self.least[a:b]) & (some != NONE)
         out[before_ends(self.off[1:], length - 1)] = False
         if not self.known.all():
             out &= self.known[self.doc]
@@ -189,7 +223,7 @@ def blocks(docs: DataFrame, length: int, block_bytes: int, piece_bytes: int) ->
 
         yield from sent(packs())
 
-    return docs.mapInArrow(run, MESSAGE)
+    return docs.mapInArrow(lean(run), MESSAGE)
 
 
 def ranges(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
@@ -207,7 +241,7 @@ def fingerprints(length: int, buckets: int):
     def step(block, _, body):
         t = Text(body)
         place, fp = t.anchors(length)
-        one, many = several(fp, t.ids[t.doc[place]])
+        one, many = several(fp, np.unique(t.ids, return_inverse=True)[1][t.doc[place]])
         for k, a, b in by_value(one, buckets):
             yield k, 0, block, (steps(one[a:b]), np.packbits(many[a:b]))
 
@@ -260,7 +294,8 @@ def chunks(length: int, buckets: int):
             k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             start, count = np.repeat(start, times) + k * CHUNK_MOST, np.minimum(CHUNK_MOST, np.repeat(count, times) - k * CHUNK_MOST)
         stop = start + count + length - 1
-        h1, h2, ids = hashes(sums(t.buf, 0), start, stop), hashes(sums(t.buf, 1), start, stop), t.ids[t.doc[start]]
+        data, ids = t.buf.tobytes(), t.ids[t.doc[start]]
+        h1, h2 = np.frombuffer(b"".join([blake2b(data[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), stop.tolist(), strict=True)]), "<u8").reshape(-1, 2).T.copy()
         to = (h1 % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((ids, h2, h1, to))
         new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
@@ -270,7 +305,7 @@ def chunks(length: int, buckets: int):
         yield block, 2, 0, (start, count, number, count[first])
         for k, a, b in ranges(to[first]):
             f = first[a:b]
-            yield k, 3, block, (h1[f], h2[f], ids[f], count[f], b"".join(t.buf[x:y].tobytes() for x, y in zip(start[f], stop[f], strict=True)))
+            yield k, 3, block, (h1[f], h2[f], ids[f], count[f], b"".join([data[x:y] for x, y in zip(start[f].tolist(), stop[f].tolist(), strict=True)]))
 
     return step
 
@@ -280,7 +315,7 @@ def distinct_strings(length: int):
         """One of equal chunks, with the smallest id of its holders, and for each block which ones it asked for."""
         got = held[3]
         h1, h2, ids, count = (np.concatenate([x[i] for _, x in got]) for i in range(4))
-        data = np.frombuffer(b"".join(x[4] for _, x in got), np.uint8)
+        text = b"".join([x[4] for _, x in got])
         begin = np.concatenate([[0], np.cumsum(count + length - 1)])
         order = np.lexsort((ids, h2, h1))
         new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
@@ -291,7 +326,7 @@ def distinct_strings(length: int):
         for s, x in got:
             asked[s] = number[a : a + len(x[0])]
             a += len(x[0])
-        yield key, 0, 0, (ids[first], count[first], b"".join(data[begin[i] : begin[i + 1]].tobytes() for i in first), asked)
+        yield key, 0, 0, (ids[first], count[first], b"".join([text[x:y] for x, y in zip(begin[first].tolist(), begin[first + 1].tolist(), strict=True)]), asked)
 
     return step
 
@@ -305,7 +340,11 @@ def window_places(count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
 def window_hashes(body, length: int) -> tuple[np.ndarray, np.ndarray]:
     _, count, data, _ = body
     at, of = window_places(count, length)
-    return hashes(sums(np.frombuffer(data, np.uint8), 0), at, at + length) >> np.uint64(16), of
+    total, h = sums(np.frombuffer(data, np.uint8), 0), np.empty(max(0, len(data) - length + 1), np.uint64)
+    _, down = _POWERS.upto(len(total))
+    for a, b in strips(len(h)):
+        h[a:b] = mix((total[a + length : b + length] - total[a:b]) * down[a:b]) >> np.uint64(16)
+    return h[at], of
 
 
 def hashes_out(length: int, buckets: int):
@@ -349,16 +388,12 @@ class Runs:
             self.top += 1
         size = self.count + length - 1
         pad = 2 * self.step(self.top) + 3 * self.width
-        of = np.repeat(np.arange(len(size)), size)
-        self.places = np.arange(len(of)) + of * pad
-        self.within = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+        of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.places = np.arange(len(of)) + np.repeat(np.arange(len(size)) * pad, size)
+        self.within = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         self.buf = np.zeros(len(of) + (len(size) + 1) * pad, np.uint8)
         self.buf[self.places] = np.frombuffer(data, np.uint8)
-        self.room, self.of = self.count[of] - self.within, of  # windows from this place on, none or fewer behind the last
-        n = len(self.buf) - self.width
-        self.symbols = [np.zeros(n, np.uint64)]
-        for k in range(self.width):
-            self.symbols[0] = self.symbols[0] << np.uint64(8) | self.buf[k : k + n]
+        self.room, self.of = self.count.astype(np.int32)[of] - self.within, of  # windows from this place on, none or fewer behind the last
 
     def step(self, level: int) -> int:
         """How far the follower of a place is."""
@@ -366,7 +401,7 @@ class Runs:
 
     def number(self, level: int) -> np.ndarray:
         """Symbol numbers modulo 3."""
-        return self.within // self.step(level) % 3
+        return self.within // np.int32(self.step(level)) % np.int32(3)
 
     def level(self, level: int) -> np.ndarray:
         """Which of ``places`` belong to a level."""
@@ -376,20 +411,22 @@ class Runs:
         return out
 
     def cells(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.symbols[0]), np.uint64)
+        out = np.zeros(len(self.buf) - self.width, np.uint64)
         out[at] = values
         return out
 
-    def triples(self, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """The sampled places of a level; their distinct triples of symbols in order; which each place has; a place of each."""
-        at, s, x = self.places[self.level(level + 1)], self.step(level), self.symbols[level]
-        return at, *distinct([x[at], x[at + s], x[at + 2 * s]], at)
+    def symbols(self, level: int, held) -> np.ndarray:
+        """By cell: ``width`` bytes, above them the names of the triples of the level below."""
+        if not level:
+            words = np.ndarray((len(self.buf) - self.width,), ">u8", np.concatenate([self.buf, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
+            return words >> np.uint64(64 - 8 * self.width)
+        got = np.concatenate([np.zeros(0, np.uint64), *[summed(x) for _, x in held.get(NAMES + level - 1, [])]])
+        return self.cells(self.places[self.level(level)], got[joined(held[TRIPLE_OF + level - 1][0][1]).view(np.int64)])
 
-    def name(self, level: int, names: list[tuple[int, np.ndarray]]) -> None:
-        """Takes the names of the distinct triples for the next level's symbols."""
-        at, _, back, _ = self.triples(level)
-        got = np.concatenate([np.zeros(0, np.uint64), *[summed(x) for _, x in names]])
-        self.symbols.append(self.cells(at, got[back]))
+    def triples(self, level: int, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of the sampled places of a level, whose symbols are x: their distinct triples of symbols in order; which each place has; a place of each."""
+        at, s = self.places[self.level(level + 1)], self.step(level)
+        return distinct([x[at], x[at + s], x[at + 2 * s]], at)
 
     def text(self, at: np.ndarray, n: int) -> np.ndarray:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.buf, n)[at]).view(f"S{n}").ravel()
@@ -407,26 +444,63 @@ class Runs:
             edges.append(a)
         return [(k, a, b) for k, (a, b) in enumerate(zip(edges, [*edges[1:], len(at)], strict=True)) if b > a]
 
-    def items(self, level: int, rank: np.ndarray, only: np.ndarray) -> tuple[list, ...]:
-        """What a merge of a level needs of the places ``only``, by class: the distinct keys in order, which each place has, a place of each.
+    def items(self, level: int, x: np.ndarray, rank: np.ndarray, only: np.ndarray) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray, np.ndarray]]:
+        """What a merge of a level needs of the places ``only``, by class: its number, the distinct keys in order, which each place has, a place of each, which of ``only`` the class has.
 
         The sample is in the order of its ranks; for class 1 come (symbol, rank one on), for class 2 (two symbols, rank two on), for the rest both.
         """
-        s, x, number, out = self.step(level), self.symbols[level], self.number(level), []
+        s, places, number = self.step(level), self.places[only], self.number(level)[only]
         for c in range(3):
-            at = self.places[only & (number == c)]
+            mine = number == c
+            at = places[mine]
             keys, back, place = distinct([x[at], rank[at + s]] if c == 0 else [rank[at]], at)
             one, two = (x[place], rank[place + s]), (x[place], x[place + s], rank[place + 2 * s])
-            out.append(({0: (*one, *two[1:]), 1: (*keys, *one), 2: (*keys, *two)}[c], back, at, place))
-        return out
+            yield c, {0: (*one, *two[1:]), 1: (*keys, *one), 2: (*keys, *two)}[c], back, place, mine
 
 
-def distinct(keys: list[np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
+def words(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The keys one behind the other, without the high bits that all lack, in as few 64-bit numbers: their order is that of the keys."""
+    out, free = [], 0
     for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
+        n = int(k.max(initial=0)).bit_length()
+        if free:
+            m = min(n, free)
+            out[-1] |= (k >> np.uint64(n - m)) << np.uint64(free - m)
+            n, free = n - m, free - m
+        if n:
+            out.append(k << np.uint64(64 - n))
+            free = 64 - n
+    return out or [np.zeros(len(keys[0]), np.uint64)]
+
+
+def order_of(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, and which of them in that order differ from those before. Only rows that tie so far are sorted on."""
+    first, *more = words(keys)
+    order = np.argsort(first)
+    new = np.ones(len(order), bool)
+    first = first[order]
+    new[1:] = first[1:] != first[:-1]
+    for k in more:
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        some = order[at]
+        k = k[some]
+        by = np.argsort(k)
+        k = k[by]
+        rank = np.zeros(len(at), np.uint64)
+        rank[by[1:]] = np.cumsum(k[1:] != k[:-1])
+        both = np.cumsum(new[at]).astype(np.uint64) << np.uint64(32) | rank
+        by = np.argsort(both)
+        both, order[at] = both[by], some[by]
+        new[at[1:]] = both[1:] != both[:-1]
+    return order, new
+
+
+def distinct(keys: list[np.ndarray], at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    order, new = order_of(keys)
     back = np.empty(len(order), np.int64)
     back[order] = np.cumsum(new) - 1
     first = order[new]
@@ -438,26 +512,31 @@ def numbered(new: np.ndarray, key: int) -> np.ndarray:
     return (np.uint64(key) << np.uint64(40)) + np.cumsum(new).astype(np.uint64)
 
 
-def named(key, held):
-    """Names of the triples of one range."""
-    got = held[0]
-    got = [(s, [joined(x) for x in body]) for s, body in got]
-    keys = [np.concatenate([x[i] for _, x in got]) for i in range(3)]
-    one, back, _ = distinct(keys, np.zeros(len(keys[0]), np.int64))
-    zero = (one[0] | one[1] | one[2]) == 0
-    names = np.where(zero, np.uint64(0), numbered(np.ones(len(zero), bool), key))[back]
-    a = 0
-    for s, x in got:
-        yield s, 1, key, steps(names[a : a + len(x[0])])
-        a += len(x[0])
+def named(level: int):
+    def step(key, held):
+        """Names of the triples of one range."""
+        for _, x in held.get(TRIPLE_OF + level, []):
+            yield key, TRIPLE_OF + level, 0, x
+        if 0 not in held:
+            return
+        got = [(s, [joined(x) for x in body]) for s, body in held[0]]
+        keys = [np.concatenate([x[i] for _, x in got]) for i in range(3)]
+        one, back, _ = distinct(keys, np.zeros(len(keys[0]), np.int64))
+        zero = (one[0] | one[1] | one[2]) == 0
+        names = np.where(zero, np.uint64(0), numbered(np.ones(len(zero), bool), key))[back]
+        a = 0
+        for s, x in got:
+            yield s, NAMES + level, key, steps(names[a : a + len(x[0])])
+            a += len(x[0])
+
+    return step
 
 
 def triples_out(length: int, level: int, split):
     def step(key, held):
         t = Runs(held[5][0][1], length)
-        for k in range(level):
-            t.name(k, held.get(10 + k, []))
-        _, keys, _, place = t.triples(level)
+        keys, back, place = t.triples(level, t.symbols(level, held))
+        yield key, TRIPLE_OF + level, 0, planes(back)
         for k, a, b in t.cut(place, split.value, 3 * t.step(level)):
             yield k, 0, key, [planes(x[a:b]) for x in keys]
 
@@ -467,10 +546,10 @@ def triples_out(length: int, level: int, split):
 def less(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """For each of b how many of a have a smaller key."""
     keys = [np.concatenate(x) for x in zip(a, b, strict=True)]
-    mine = np.repeat([1, 0], [len(a[0]), len(b[0])])  # of equal ones b's first
-    order = np.lexsort([mine, *keys[::-1]])
+    mine = np.repeat(np.array([1, 0], np.uint64), [len(a[0]), len(b[0])])  # of equal ones b's first
+    order, _ = order_of([*keys, mine])
     before = np.empty(len(order), np.int64)
-    before[order] = np.cumsum(mine[order])
+    before[order] = np.cumsum(mine[order].astype(np.int64))
     return before[len(a[0]) :]
 
 
@@ -478,10 +557,16 @@ def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The merged order of the rest (class 0) and of both classes of the sample, whose items are numbered on, and which of them in that order differ from those before."""
     rest, one, two = parts
     n = [len(x[0]) for x in parts]
-    sample = n[0] + np.argsort(np.concatenate([one[0], two[0]]), kind="stable")
-    order = np.lexsort((rest[1], rest[0]))
+    sample = n[0] + np.argsort(np.concatenate([one[0], two[0]]))
+    order, _ = order_of(rest[:2])
     before = (less(one[1:], rest[:2]) + less(two[1:], [rest[0], *rest[2:]]))[order]
-    array = np.concatenate([sample, order])[np.argsort(np.concatenate([2 * np.arange(len(sample)) + 1, 2 * before]), kind="stable")]
+    if (before[1:] < before[:-1]).any():  # ties that differ behind their prefixes
+        again = np.argsort(before, kind="stable")
+        order, before = order[again], before[again]
+    array, of_sample = np.empty(sum(n), np.int64), np.ones(sum(n), bool)
+    at = before + np.arange(n[0])
+    of_sample[at] = False
+    array[at], array[of_sample] = order, sample
     kind = (array >= n[0]).astype(np.int8)
     first, second = np.concatenate([rest[0], one[0], two[0]])[array], np.concatenate([rest[1], np.zeros(n[1] + n[2], np.uint64)])[array]
     new = np.ones(len(array), bool)
@@ -502,16 +587,20 @@ def items_out(length: int, level: int, split):
 
     def step(key, held):
         t = Runs(held[5][0][1], length)
-        rank = ranks(t, held, level)
-        out: dict[int, list] = {}
-        for c, (keys, back, at, place) in enumerate(t.items(level, rank, wanted(t, level))):
+        only = wanted(t, level)
+        owner = t.ids[t.of[only]] if level == 0 else None
+        of, n, out = np.empty(int(only.sum()), np.int64), 0, {}
+        for c, keys, back, place, mine in t.items(level, t.symbols(level, held), ranks(t, held, level), only):
+            of[mine] = n + back
+            n += len(place)
             more = ()
             if level == 0:
                 least = np.full(len(place), np.iinfo(np.int64).max)
-                np.minimum.at(least, back, t.ids[t.of[np.searchsorted(t.places, at)]])
+                np.minimum.at(least, back, owner[mine])
                 more = (t.prints(place), least.view(np.uint64))
             for k, a, b in t.cut(place, split.value, length):
                 out.setdefault(k, []).append((c, [planes(x[a:b]) for x in (*keys, *more)]))
+        yield key, ITEM_OF + level, 0, planes(of)
         for k, x in out.items():
             yield k, 0, key, x
 
@@ -523,22 +612,26 @@ def wanted(t: Runs, level: int) -> np.ndarray:
     return t.level(level) & (t.room > -2 * sum(t.step(k) for k in range(level)))
 
 
+def of_items(held, level: int, kind: int, plain) -> np.ndarray:
+    """What the ranges said of the items of a merge, for each place that was wanted."""
+    got = [[x for _, body in held.get(kind, []) for k, x in body if k == c] for c in range(3)]
+    return np.concatenate([plain(x) for some in got for x in some])[joined(held[ITEM_OF + level][0][1]).view(np.int64)]
+
+
 def ranks(t: Runs, held, level: int) -> np.ndarray:
     """Ranks of the places of the level above, by cell: what its merge has sent, or above the last level the names of the last triples."""
-    while len(t.symbols) <= t.top + 1:
-        t.name(len(t.symbols) - 1, held.get(9 + len(t.symbols), []))
     if level == t.top:
-        return t.symbols[-1]
-    got = {c: np.concatenate([np.zeros(0, np.uint64), *[summed(x) for _, body in held.get(21 + level, []) for k, x in body if k == c]]) for c in range(3)}
-    out = np.zeros(len(t.symbols[0]), np.uint64)
-    for c, (_, back, at, _) in enumerate(t.items(level + 1, ranks(t, held, level + 1), wanted(t, level + 1))):
-        out[at] = got[c][back]
-    return out
+        return t.symbols(level + 1, held)
+    return t.cells(t.places[wanted(t, level + 1)], of_items(held, level + 1, RANKS + level + 1, summed))
 
 
 def ranked(level: int):
     def step(key, held):
         """Ranks of one range of a level, to those who sent its items."""
+        for _, x in held.get(ITEM_OF + level, []):
+            yield key, ITEM_OF + level, 0, x
+        if 0 not in held:
+            return
         who, parts = taken(held)
         array, new = merged(parts)
         rank = np.empty(len(array), np.uint64)
@@ -548,13 +641,17 @@ def ranked(level: int):
             out.setdefault(s, []).append((c, steps(rank[a : a + n])))
             a += n
         for s, x in out.items():
-            yield s, 20 + level, key, x
+            yield s, RANKS + level, key, x
 
     return step
 
 
 def compared(key, held):
     """The suffix array of one range, and of each string the smallest id that has it. Neighbours' prefixes are compared by their fingerprints."""
+    for _, x in held.get(ITEM_OF, []):
+        yield key, ITEM_OF, 0, x
+    if 0 not in held:
+        return
     who, parts = taken(held)
     array, _ = merged([x[:-2] for x in parts])
     prefix, ids = (np.concatenate([x[i] for x in parts])[array] for i in (-2, -1))
@@ -570,17 +667,9 @@ def compared(key, held):
         yield s, 6, key, x
 
 
-def open_answers(length: int):
-    def step(key, held):
-        """The smallest id of each window of the runs."""
-        t = Runs(held[5][0][1], length)
-        out = np.zeros(len(t.buf), np.int64)
-        got = {c: np.concatenate([np.zeros(0, np.int64), *[x for _, body in held.get(6, []) for k, x in body if k == c]]) for c in range(3)}
-        for c, (_, back, at, _) in enumerate(t.items(0, ranks(t, held, 0), wanted(t, 0))):
-            out[at] = got[c][back]
-        yield key, 7, 0, out[t.places[t.room > 0]]
-
-    return step
+def open_answers(key, held):
+    """The smallest id of each window of the runs."""
+    yield key, 7, 0, of_items(held, 0, 6, np.asarray)
 
 
 def answers(length: int):
@@ -714,20 +803,20 @@ def sorted_windows(stage: Stage, runs: DataFrame, length: int, parts: int) -> Da
     split = spark.sparkContext.broadcast(splitters(runs, length, parts))
     top = Runs((np.zeros(0, np.int64), np.zeros(0, np.int64), b""), length).top
 
-    def tagged(kind: int, df: DataFrame) -> DataFrame:
-        return df.withColumn("kind", F.lit(kind).cast("int"))
-
-    known: list[DataFrame] = []
+    names: list[DataFrame] = []
     for level in range(top + 1):  # down: names
-        triples = gathered([runs, *known], parts, triples_out(length, level, split))
-        known.append(stage.put(tagged(10 + level, gathered([triples], parts, named)), f"names{level}"))
+        triples = gathered([runs, *names[-1:]], parts, triples_out(length, level, split))
+        names.append(stage.put(gathered([triples], parts, named(level)), f"names{level}"))
+    above = names.pop()
     for level in range(top, 0, -1):  # up: the rest merged in
-        items = gathered([runs, *known], parts, items_out(length, level, split))
-        known.append(stage.put(gathered([items], parts, ranked(level)), f"ranks{level}"))
-    items = gathered([runs, *known], parts, items_out(length, 0, split))
-    found = gathered([items], parts, compared)
-    out = stage.put(gathered([runs, *known, found], parts, open_answers(length)), "windows")
-    stage.drop(*known)
+        own = names.pop()
+        items = gathered([runs, own, above], parts, items_out(length, level, split))
+        rank = stage.put(gathered([items], parts, ranked(level)), f"ranks{level}")
+        stage.drop(own, above)
+        above = rank
+    items = gathered([runs, above], parts, items_out(length, 0, split))
+    out = stage.put(gathered([gathered([items], parts, compared)], parts, open_answers), "windows")
+    stage.drop(above)
     return out
 
 
@@ -741,7 +830,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     texts = stage.put(blocks(own, length, block_bytes, max(piece_bytes, length)), "blocks")
     # messages shrink texts, so the work is dealt by the bytes that blocks take
     size = texts.agg(F.sum(F.length("body"))).first()[0] or 0
-    parts = max(12, -(-size // (3 << 20)))
+    parts = max(12, -(-size // BUCKET_BYTES))
     found = gathered([each(texts, fingerprints(length, parts))], parts, repeated)
     sent_out = stage.put(gathered([texts, found], parts, chunks(length, parts)), "chunks")
     strings = stage.put(gathered([sent_out.where("kind = 3")], parts, distinct_strings(length)), "strings")
@@ -757,7 +846,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     schema = OUT + ", kept_text string" * with_text
     whole = each(done.where("kind = 8"), lambda key, sub, rows: rows, schema, rows_out(with_text))
     pieces = done.where("kind = 9").repartition(parts, "key").sortWithinPartitions("key", "sub")
-    return whole.unionByName(pieces.mapInArrow(whole_documents(length, with_text), schema))
+    return whole.unionByName(pieces.mapInArrow(lean(whole_documents(length, with_text)), schema))
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

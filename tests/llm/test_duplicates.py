@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from siltlog.llm.common import Stage
+from siltlog.llm import suffix_array as S
 from siltlog.llm.components import components
 from siltlog.llm.minhash import near_duplicates, shingle_set, word_hashes
 from siltlog.llm.suffix_array import remove_repeats
@@ -159,3 +160,54 @@ def test_repeat_edge_cases(spark):
     assert [tuple(r) for r in remove_repeats(frame(spark, [None])).collect()] == [(0, 0, 0, 0, sha(b""))]
     two = remove_repeats(frame(spark, ["é" * 60, "é" * 60]), with_text=True).collect()
     assert {r.doc_id: r.kept_text for r in two} == {0: "é" * 60, 1: ""}
+
+
+def exchange(rows, step):
+    """One round of messages, in order, without Spark."""
+    held = {}
+    for key, kind, sub, body in sorted(rows, key=lambda r: r[:3]):
+        held.setdefault(key, {}).setdefault(kind, []).append((sub, body))
+    return [r for key in held for r in step(key, held[key])]
+
+
+@pytest.mark.parametrize("length", [27, 50, 100])
+def test_each_level_of_a_bucket_is_sorted_once(monkeypatch, length):
+    r = random.Random(length)
+    calls = {"triples": 0, "items": 0}
+    for name in calls:
+
+        def counted(self, *args, f=getattr(S.Runs, name), name=name):
+            calls[name] += 1
+            return f(self, *args)
+
+        monkeypatch.setattr(S.Runs, name, counted)
+    shared = [bytes(r.choice(b"ab") for _ in range(length + 30)) for _ in range(6)]
+    texts = [[r.choice([x, x[:-7], x[5:], x[3:9] * 40]) for x in r.choices(shared, k=8)] for _ in range(3)]
+    runs, ids = [], []
+    for key, some in enumerate(texts):
+        ids.append(np.array(r.sample(range(1000), len(some))))
+        runs.append((key, 5, 0, (ids[-1], np.array([len(x) - length + 1 for x in some]), b"".join(some))))
+    every = sorted({x[i : i + length] for some in texts for x in some for i in range(len(x) - length + 1)})
+    least = {w: min(int(ids[k][j]) for k, some in enumerate(texts) for j, x in enumerate(some) if w in x) for w in every}
+    split = type("Split", (), {"value": [every[len(every) // 3], every[2 * len(every) // 3]]})
+    top, names = S.Runs(runs[0][3], length).top, []
+    for level in range(top + 1):
+        names.append(exchange(exchange([*runs, *(names[-1] if names else [])], S.triples_out(length, level, split)), S.named(level)))
+    above = names.pop()
+    for level in range(top, 0, -1):
+        above = exchange(exchange([*runs, *names.pop(), *above], S.items_out(length, level, split)), S.ranked(level))
+    found = exchange(exchange([*runs, *above], S.items_out(length, 0, split)), S.compared)
+    got = {key: body.tolist() for key, _, _, body in exchange(found, S.open_answers)}
+    assert got == {k: [least[x[i : i + length]] for x in some for i in range(len(x) - length + 1)] for k, some in enumerate(texts)}
+    assert calls == {"triples": 3 * (top + 1), "items": 3 * (top + 1)}
+
+
+def test_order_of_rows_by_several_keys():
+    r = np.random.default_rng(1)
+    for n, high in ((0, 9), (1, 9), (2000, 5), (2000, 2**47), (2000, 2**64 - 1), (500, 0)):
+        for k in (1, 2, 3, 4):
+            keys = [r.choice(r.integers(0, high, 40, np.uint64, endpoint=True), n) for _ in range(k)]
+            order, new = S.order_of(keys)
+            rows = list(zip(*(x.tolist() for x in keys), strict=True))
+            got = [rows[i] for i in order]
+            assert got == sorted(rows) and new.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(n)]
