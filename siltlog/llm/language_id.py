@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, texts_of
+from .common import crc_mod, lean, table, texts_of
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Letters, and numbers that aren't digits.
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, sample: int = 250, sample_bytes: int = 8192, landm
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     kinds = dict(docs.dtypes)
-    return own.mapInArrow(run, SCHEMA + "".join(f", _{c} {kinds[c]}" for c in carry))
+    return own.mapInArrow(lean(run), SCHEMA + "".join(f", _{c} {kinds[c]}" for c in carry))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, table, utf8_views
+from .common import Stage, lean, table, utf8_views
 from .components import components
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,7 +47,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 1 << 17, 2 * self.n)
+            self.n = max(n, 1 << 17, min(2 * self.n, self.n + (1 << 18)))
             grow = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(self.n - 1, b, np.uint64)]))
             self.up, self.down = grow(BASE), grow(BASE_INV)
         return self.up[:n], self.down[:n]
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, width: int, t: int, m: int) -> DataFrame:
             subs = [sub_keys(s, t, m).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "subs"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, subs array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, sig binary, subs array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -112,7 +112,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             raw, off = utf8_views(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(raw[off[i] : off[i + 1]], width).tobytes() for i in range(b.num_rows)], pa.binary())], ["node", "items"])
 
-    return docs.mapInArrow(run, "node long, items binary")
+    return docs.mapInArrow(lean(run), "node long, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,7 +128,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = sets.select(F.col("node").alias("u"), F.col("items").alias("x")), sets.select(F.col("node").alias("v"), F.col("items").alias("y"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(lean(run), "u long, v long")
 
 
 def mixed_only(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -163,7 +163,7 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.concatenate(own), pa.int64())], ["g", "item"])
 
     size = member.groupBy("g").agg(F.count("*").alias("size"))
-    often = member.select("g", "items").mapInArrow(count, "g long, item long").groupBy("g", "item").agg(F.count("*").alias("c"))
+    often = member.select("g", "items").mapInArrow(lean(count), "g long, item long").groupBy("g", "item").agg(F.count("*").alias("c"))
     # tables of their own, so that Spark can split a large group in the joins with them
     size = stage.put(size, "size")
     common = stage.put(often.join(size, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("item").alias("common")), "common")
@@ -180,7 +180,7 @@ def all_links(stage: Stage, groups: DataFrame, sets: DataFrame, labels: DataFram
                     o.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(o, pa.int64()) for o in out[:4]], pa.array(out[4], pa.list_(pa.int64()))], ["g", "node", "n", "c", "both", "w", "d"])
 
-    diff = stage.put(member.join(common, "g", "left").select("g", "node", "items", "common").mapInArrow(differences, "g long, node long, n long, c long, both long, w long, d array<long>"), "differences")
+    diff = stage.put(member.join(common, "g", "left").select("g", "node", "items", "common").mapInArrow(lean(differences), "g long, node long, n long, c long, both long, w long, d array<long>"), "differences")
     best = stage.put(diff.groupBy("g").agg(F.min(F.struct("w", "node")).alias("m")), "best")
     star = diff.join(best, "g").where(f"node <> m.node and w + m.w <= {100 - percent} * c").select(F.col("node").alias("u"), F.col("m.node").alias("v"))
     labels = relabelled(stage, labels, star)

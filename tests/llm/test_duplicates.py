@@ -211,3 +211,26 @@ def test_order_of_rows_by_several_keys():
             rows = list(zip(*(x.tolist() for x in keys), strict=True))
             got = [rows[i] for i in order]
             assert got == sorted(rows) and new.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(n)]
+
+
+def test_workers_give_freed_memory_back():
+    from siltlog.llm.common import lean
+    from siltlog.llm.minhash import Powers
+
+    def rss():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(2000)]  # 96 KB each, below what the C library maps by itself
+        last.append(held[-1])  # keeps the end of the heap in use
+        yield from batches
+
+    last = []
+    before = rss()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert rss() - before < 100_000_000
+    powers = Powers()
+    for n in (2_000_000, 2_000_001):
+        up, _ = powers.upto(n)
+    assert len(up) == n and powers.n < 2_400_000
