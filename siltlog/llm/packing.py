@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,22 @@ PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 LATIN = re.compile("[\\x00-\xff]*")
 
 
+class Words(dict):
+    """The packed ids of words, asked for once each."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        self.of = of
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self[""] = b""
+
+    def __missing__(self, w: str) -> bytes:
+        self[w] = ids = self.of(w)
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
@@ -43,49 +59,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.bytes_of, self.letters = ByteLevel(add_prefix_space=False, use_regex=False), {}
         self.lib, self.memo_words = Tokenizer.from_file(path), memo_words
-        self.memo: dict[str, bytes] = {"": b""}
+        self.token, self.memo = self.lib.model.tokenize, Words(self._learn)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
+        # letters as the pre-tokeniser writes their bytes
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {i: bytes_of.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, w: str) -> bytes:
         """A run of Latin-1 small letters, and a run of marks after it, are pre-tokens of their own that the normaliser leaves as they are: the model is given them directly. All else goes through the whole library."""
-        memo, token = self.memo, self.lib.model.tokenize
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            if m:
-                ids = b""
-                for part in filter(None, m.groups()):
-                    if part not in memo:
-                        shown = part if part.isascii() else "".join(map(self._shown, part))
-                        memo[part] = np.asarray([t.id for t in token(shown)], dtype="<u4").tobytes()
-                    ids += memo[part]
-                memo[w] = ids
-            else:
-                memo[w] = np.asarray(self.lib.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _shown(self, letter: str) -> str:
-        """The letter's bytes as the pre-tokeniser writes them."""
-        if letter not in self.letters:
-            self.letters[letter] = self.bytes_of.pre_tokenize_str(letter)[0][0]
-        return self.letters[letter]
+        if w.isascii() and w.isalpha() and w.islower():
+            return self._pre_token(w)
+        m = PLAIN.fullmatch(w)
+        if not m:
+            return b"".join(map(self.packed.__getitem__, self.lib.encode(w, add_special_tokens=False).ids))
+        word, marks = m.groups()
+        return self.memo[word] + self.memo[marks] if marks else self._pre_token(w)
+
+    def _pre_token(self, w: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.token(w if w.isascii() else w.translate(self.shown))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > self.memo_words:
-            memo.clear()
-            memo[""] = b""
-        split = []
+            memo.empty()
+        known, out = memo.__getitem__, []
         for t in texts:
             if "<|" not in t and LATIN.fullmatch(t):
                 t = t.lower()  # the file's normaliser does so; fewer words to remember
-            split.append(t.replace("\n", " ").split(" "))
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(memo.__getitem__, words)))
-            except KeyError:
-                self._learn({w for w in words if w not in memo})
-                out.append(b"".join(map(memo.__getitem__, words)))
+            out.append(b"".join(map(known, t.replace("\n", " ").split(" "))))
         return out
 
 

@@ -137,3 +137,19 @@ def test_units_not_spelled_by_their_ids_are_named():
     assert pieces.strange(units, packed) == [] == pieces.strange([], [])
     assert pieces.strange(units, [packed[1], packed[0], *packed[2:]]) == units[:2]
     assert pieces.strange(["ab", "c"], pieces.spelled(["a", "bc"], lambda w: pieces.packed(pieces.best(w)))) == ["ab", "c"]
+
+
+def test_each_new_word_is_encoded_once():
+    from siltlog.llm.packing import WordEncoder
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [t or "" for t in TEXTS] + [prose(i, 40) + ", été! straße;" for i in range(20)]
+    for limit in (10, 600_000):
+        enc, asked = WordEncoder(P.path("word_bpe_49k.json"), limit), []
+        learn = enc.memo.of
+        enc.memo.of = lambda w, learn=learn, asked=asked: asked.append(w) or learn(w)
+        for t in texts:
+            assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+        if limit > 10:
+            assert len(asked) == len(set(asked))
