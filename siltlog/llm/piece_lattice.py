@@ -337,7 +337,9 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
             yield out()
 
     texts = own.mapInArrow(text_messages, MESSAGE)
-    return gathered([rest.mapInArrow(bundle, MESSAGE), texts], parts, spell, OUT + (", ids array<int>" if with_ids else ""), rows)
+    bundles = stage.put(rest.mapInArrow(bundle, MESSAGE), "bundles")
+    stage.drop(held, paths, often)  # before the texts take their room
+    return gathered([bundles, texts], parts, spell, OUT + (", ids array<int>" if with_ids else ""), rows)
 
 
 def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,22 @@ def test_each_new_word_is_encoded_once():
             assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
         if limit > 10:
             assert len(asked) == len(set(asked))
+
+
+def test_lattice_drops_what_is_used_up(spark, monkeypatch):
+    """Only the bundles of atoms are left when the texts are dealt."""
+    from pathlib import Path
+
+    from siltlog.llm import piece_lattice
+
+    made = []
+
+    class Seen(piece_lattice.Stage):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(piece_lattice, "Stage", Seen)
+    out = encode(frame(spark, TEXTS), P.path("piece_bpe_32k.model"), hot=20)
+    assert [x.name[4:] for x in Path(made[0].root.removeprefix("file:")).iterdir()] == ["bundles"]
+    assert out.count() == len(TEXTS)
