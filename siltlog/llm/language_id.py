@@ -115,8 +115,8 @@ def labelled(docs: DataFrame, sample: int, sample_bytes: int) -> list[tuple[str,
     return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text, r.lang)) if has_letter(r.text)]
 
 
-def identify(docs: DataFrame, sample: int = 250, sample_bytes: int = 8192, landmarks: int = 24, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document. ``carry``: names of columns to take along behind ``score``, as they are (string or long)."""
+def identify(docs: DataFrame, sample: int = 250, sample_bytes: int = 8192, landmarks: int = 24, carry: tuple[str, ...] = (), lettered: bool = False) -> DataFrame:
+    """One row a document. ``carry``: names of columns to take along behind ``score``, as they are (string or long); ``lettered``: rows without a letter in their text go."""
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, sample, sample_bytes), landmarks))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +126,14 @@ def identify(docs: DataFrame, sample: int = 250, sample_bytes: int = 8192, landm
                 b = whole.slice(a, 64)
                 texts = texts_of(b.column(2))
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                can = [i for i, t in enumerate(texts) if m and has_letter(t)]
+                some = list(map(has_letter, texts))
+                can = [i for i, letter in enumerate(some) if m and letter]
                 if can:
                     s = m.scores(grams, [texts[i] for i in can])
                     for i, row in zip(can, s, strict=True):
                         lang[i], score[i] = m.langs[int(row.argmax())], float(row.max())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang), pa.array(score), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]])
+                out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang), pa.array(score), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]])
+                yield out.filter(pa.array(some)) if lettered else out
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     kinds = dict(docs.dtypes)

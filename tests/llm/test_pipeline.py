@@ -3,6 +3,7 @@
 import corpus_pipeline as C
 import pytest
 from siltlog.llm import queries
+from siltlog.llm.language_id import has_letter
 
 from .helpers import ODD, frame, prose
 
@@ -52,6 +53,13 @@ def test_texts_stay_without_a_language_to_learn(spark):
     assert {r.doc_id: r.lang for r in rows} == dict(enumerate(["en", "fr"] * 4 + ["fr"]))
 
 
+def test_letters_are_those_of_language_id(spark):
+    """One rule decides which texts have a letter: also for letters that the JVM's older Unicode tables lack."""
+    texts = ["\U0001df00\U0001df01", "\U00031350", "12 \U00011f04", "½ ² Ⅷ", "12 34", "é"]
+    rows = C.language(spark, frame(spark, texts, langs=["en"] * len(texts)), None).collect()
+    assert {r.doc_id for r in rows} == {i for i, t in enumerate(texts) if has_letter(t)} == {0, 1, 2, 5}
+
+
 def test_run_on_a_table(spark, tmp_path):
     frame(spark, [prose(i, 60) for i in range(8)], langs=["en"] * 8).write.parquet(str(tmp_path / "documents.parquet"))
     rows = C.run(spark, str(tmp_path)).collect()
