@@ -57,27 +57,18 @@ FACTORS = mix(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
 OF_BYTE = [mix(np.arange(256, dtype=np.uint64) + np.uint64(s)) for s in (1, 257)]
 
 
-def sums(b: np.ndarray, salt: int) -> np.ndarray:
-    up, _ = _POWERS.upto(len(b) + 1)
-    out = np.empty(len(b) + 1, np.uint64)
-    out[0] = 0
-    for i, j in strips(len(b)):
-        part = out[i + 1 : j + 1]
-        np.multiply(OF_BYTE[salt][b[i:j]], up[i:j], out=part)
-        part[:1] += out[i : i + 1]
-        np.cumsum(part, out=part)
-    return out
-
-
 def strips(n: int) -> Iterator[tuple[int, int]]:
     """Ranges of places small enough for what is made of them to stay in a core's cache."""
     return ((a, min(n, a + STRIP)) for a in range(0, n, STRIP))
 
 
-def hashes(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the bytes a to b."""
-    _, down = _POWERS.upto(len(total))
-    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+def rolling(b: np.ndarray, length: int, salt: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """64-bit sums of the windows of ``length`` bytes, strip by strip: (from, to, sums). The powers of one strip do for all."""
+    up, down = _POWERS.upto(STRIP + length)
+    for i, j in strips(len(b) - length + 1):
+        total = np.zeros(j - i + length, np.uint64)
+        np.cumsum(OF_BYTE[salt][b[i : j + length - 1]] * up[: len(total) - 1], out=total[1:])
+        yield i, j, (total[length:] - total[:-length]) * down[: j - i]
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -127,7 +118,9 @@ def several(values: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(values):
         return values, np.zeros(0, bool)
     if 0 <= holder.min() and holder.max() < 1 << 16:
-        both = np.sort(values << np.uint64(16) | holder.astype(np.uint64))
+        both = values << np.uint64(16)
+        both |= holder.astype(np.uint16)
+        both.sort()
         one = both >> np.uint64(16)
         begin = groups_of(one)
         return one[begin], both[begin] != both[np.append(begin[1:], len(both)) - 1]
@@ -331,20 +324,15 @@ def distinct_strings(length: int):
     return step
 
 
-def window_places(count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of strings in a row: the places of their windows, and each one's string."""
-    of = np.repeat(np.arange(len(count)), count)
-    return np.arange(len(of)) + of * (length - 1), of
-
-
 def window_hashes(body, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings in a row: the 48-bit hash of each window, and its string."""
     _, count, data, _ = body
-    at, of = window_places(count, length)
-    total, h = sums(np.frombuffer(data, np.uint8), 0), np.empty(max(0, len(data) - length + 1), np.uint64)
-    _, down = _POWERS.upto(len(total))
-    for a, b in strips(len(h)):
-        h[a:b] = mix((total[a + length : b + length] - total[a:b]) * down[a:b]) >> np.uint64(16)
-    return h[at], of
+    of = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    at, out = np.arange(len(of)) + of * (length - 1), np.empty(len(of), np.uint64)
+    for i, j, x in rolling(np.frombuffer(data, np.uint8), length, 0):
+        a, b = np.searchsorted(at, [i, j])
+        out[a:b] = mix(x[at[a:b] - i]) >> np.uint64(16)
+    return out, of
 
 
 def hashes_out(length: int, buckets: int):
@@ -433,7 +421,12 @@ class Runs:
 
     def prints(self, at: np.ndarray) -> np.ndarray:
         """64-bit fingerprints of the windows that begin at the places, independent of the hashes that chose them."""
-        return hashes(sums(self.buf, 1), at, at + self.length)
+        out, order = np.empty(len(at), np.uint64), np.argsort(at)
+        ordered = at[order]
+        for i, j, x in rolling(self.buf, self.length, 1):
+            a, b = np.searchsorted(ordered, [i, j])
+            out[order[a:b]] = mix(x[ordered[a:b] - i] + np.uint64(self.length))
+        return out
 
     def cut(self, at: np.ndarray, split: list[bytes], n: int) -> list[tuple[int, int, int]]:
         """Places in the order of their first n bytes, by range: (range, from, to)."""

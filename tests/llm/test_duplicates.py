@@ -213,6 +213,30 @@ def test_order_of_rows_by_several_keys():
             assert got == sorted(rows) and new.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(n)]
 
 
+def test_windows_are_hashed_strip_by_strip():
+    """Hashes are equal where windows are, across strips and strings, and take a few numbers a window."""
+    import tracemalloc
+
+    length, r = 100, np.random.default_rng(1)
+    count = np.array([40, 1, 3000, 3 * S.STRIP, 40])
+    parts = [r.integers(0, 3, n + length - 1, np.uint8).tobytes() for n in count]
+    parts[4], parts[2] = parts[0], parts[2][:500] + parts[0] + parts[2][500 + len(parts[0]) :]
+    h, of = S.window_hashes((None, count, b"".join(parts), None), length)
+    windows = [(k, x[i : i + length]) for k, x in enumerate(parts) for i in range(count[k])]
+    assert of.tolist() == [k for k, _ in windows]
+    assert len(set(h.tolist())) == len({x for _, x in windows}) == len({(a, x) for a, (_, x) in zip(h.tolist(), windows, strict=True)})
+    t = S.Runs((np.zeros(5, np.int64), count, b"".join(parts)), length)
+    at = r.permutation(t.places[t.room > 0])
+    p = t.prints(at)
+    assert len(set(p.tolist())) == len({t.buf[a : a + length].tobytes() for a in at.tolist()}) == len({(b, t.buf[a : a + length].tobytes()) for a, b in zip(at.tolist(), p.tolist(), strict=True)})
+    body = (None, np.full(20_000, 45), bytes(20_000 * (45 + length - 1)), None)
+    tracemalloc.start()
+    list(S.hashes_out(length, 12)(0, 0, body))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * body[1].sum()  # bytes a window; 126 with sums of the whole bucket, 32 so
+
+
 def test_workers_give_freed_memory_back():
     from siltlog.llm.common import lean
     from siltlog.llm.minhash import Powers
