@@ -21,7 +21,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -197,36 +197,63 @@ def lattice(words: DataFrame, spark: SparkSession, table_: Pieces) -> DataFrame:
     return grouped.select("word", F.element_at(F.aggregate("edges", none, reach), -1)["path"].alias("path"))
 
 
+def numbers() -> defaultdict[str, int]:
+    """Keys asked for are numbered as they come."""
+    return defaultdict(count().__next__)
+
+
+def atoms_of(units: dict[str, int], had: list[tuple[int, np.ndarray]], pieces: Pieces) -> tuple[pa.Array, pa.Array]:
+    """The distinct atoms of units, and of each the blocks that have it: ``had`` lists (block, units). Each unit is cut once, however many blocks have it."""
+    atom = numbers()
+    gap = atom[GAP]
+    flat = np.fromiter(map(atom.__getitem__, pieces.atoms(GAP.join([*units, ""]))), np.int64)
+    end = np.flatnonzero(flat == gap)
+    begin = np.append(-1, end[:-1])[: len(end)] + 1
+    held = []
+    for k, own in had:
+        n = (end - begin)[own]
+        at = np.arange(n.sum()) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
+        has = np.zeros(len(atom), bool)
+        has[flat[at]] = True
+        held.append(np.flatnonzero(has) << 32 | k)
+    both = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
+    both = both[np.diff(both, prepend=-1) > 0]
+    words = [w if len(w) <= MOST and w != GAP else None for w in atom]
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(both, np.arange(len(atom) + 1) << 32), pa.int32()), pa.array(both & 0xFFFFFFFF, pa.int32()))
+    words = pa.array(words, pa.string())
+    return words.drop_null(), lists.filter(words.is_valid())
+
+
 def held_by(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, blocks) of each task's atoms of documents (block, doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: defaultdict[str, list[int]] = defaultdict(list)
+        units, had = numbers(), []  # of each block's texts, the numbers of their units
         size = 0
 
         def out():
-            words = [w for w in blocks if len(w) <= MOST and w != GAP]
+            nonlocal units
+            words, lists = atoms_of(units, had, pieces)
+            units = numbers()
+            had.clear()
             for i in range(0, len(words), 1 << 16):
-                some = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([blocks[w] for w in some], pa.list_(pa.int32()))], ["word", "blocks"])
-            blocks.clear()
+                yield pa.RecordBatch.from_arrays([words[i : i + (1 << 16)], lists[i : i + (1 << 16)]], ["word", "blocks"])
 
         for b in batches:
             of = defaultdict(list)
             for row, k in enumerate(b.column(0).to_pylist()):
                 of[k].append(row)
             for k, rows in of.items():
-                units: set[str] = set()
+                own: set[str] = set()
                 for t in texts_of(b.column(2).take(pa.array(rows))):
-                    units.update(pieces.units(t))
-                atoms = set(pieces.atoms(GAP.join(units)))
-                for w in atoms:
-                    blocks[w].append(k)
-                size += len(atoms)
-                if len(blocks) > HELD or size > 4 * HELD:
+                    own.update(pieces.units(t))
+                had.append((k, np.fromiter(map(units.__getitem__, own), np.int64, len(own))))
+                size += len(own)
+                if len(units) > 3 * HELD or size > 8 * HELD:
                     yield from out()
                     size = 0
-        yield from out()
+        if had:
+            yield from out()
 
     return docs.mapInArrow(run, "word string, blocks array<int>")
 

@@ -1,5 +1,6 @@
 """Token counts, packing and the piece lattice against the libraries."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -130,6 +131,26 @@ def test_cut_texts_have_the_best_path_of_whole_words(monkeypatch, step):
         assert np.frombuffer(got, "<u4").tolist() == want, t
 
 
+def test_a_unit_that_many_blocks_have_is_cut_once(monkeypatch):
+    from siltlog.llm import piece_lattice as L
+
+    pieces, r = Pieces(P.path("piece_bpe_32k.model")), random.Random(4)
+    words = [*dict.fromkeys(u for t in TEXTS for u in pieces.units(t or ""))]
+    blocks = [(k, r.sample(words, min(len(words), n))) for k, n in ((3, 40), (0, 0), (3, 9), (70, 40), (5, 1))]
+    cut, atoms = [], Pieces.atoms
+    monkeypatch.setattr(Pieces, "atoms", lambda self, s: cut.append(len(s)) or atoms(self, s))
+    units = L.numbers()
+    had = [(k, np.array([units[u] for u in own], np.int64)) for k, own in blocks]
+    got = dict(zip(*(x.to_pylist() for x in L.atoms_of(units, had, pieces)), strict=True))
+    want = {}
+    for k, own in blocks:
+        for w in {w for u in own for w in atoms(pieces, u) if len(w) <= L.MOST}:
+            want.setdefault(w, set()).add(k)
+    assert got == {w: sorted(x) for w, x in want.items()}
+    assert cut == [sum(len(u) + 1 for u in units)]
+    assert [x.to_pylist() for x in L.atoms_of(L.numbers(), [(0, np.zeros(0, np.int64))], pieces)] == [[], []]
+
+
 def test_units_not_spelled_by_their_ids_are_named():
     pieces = Pieces(P.path("piece_bpe_32k.model"))
     units = pieces.units("the cat 日本 \x00 é the")
