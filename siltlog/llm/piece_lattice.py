@@ -21,7 +21,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 MOST = 64
 #: Atoms or units a task holds at once; of their blocks, four times as many.
 HELD = 300_000
-#: Characters cut at once.
+#: Characters cut at once, and ids spelled out at once.
 STEP = 1 << 20
+#: Characters of a block's texts whose units are numbered at once.
+TAKEN = 1 << 21
 #: Stands between units; no valid text holds it.
 GAP = "\ud800"
 #: Its packed id.
@@ -86,7 +88,9 @@ class Pieces:
         for a, b in joined:
             self.side[number[a], number[b]] = True
         self.bytes = [bytes([self.value[i]]) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
-        self.apart = [*self.bytes, GAP.encode("utf-8", "surrogatepass")]  # no text's bytes hold the last one
+        apart = [*self.bytes, GAP.encode("utf-8", "surrogatepass")]  # no text's bytes hold the last one
+        self.apart, self.apart_n = np.frombuffer(b"".join(apart), np.uint8), np.array([len(b) for b in apart])
+        self.apart_at = np.cumsum(self.apart_n) - self.apart_n
 
     def units(self, text: str) -> list[str]:
         """The text's parts from one blank, as a mark, to the next; where a piece holds two marks, runs of blanks stay with what follows."""
@@ -120,28 +124,50 @@ class Pieces:
             out.append("".join(open_))
         return out
 
+    def run(self, units: list[str], known: Known) -> np.ndarray:
+        """The ids of units one after another, ``END`` after each."""
+        return np.frombuffer(b"".join(map(known.__getitem__, self.atoms(GAP.join([*units, ""])))), "<u4")
+
     def spelled(self, units: list[str], of: Callable[[str], bytes]) -> list[bytes]:
         """The packed ids of each unit; ``of`` gives an atom's."""
-        if not units:
-            return []
-        known = Known(of)
-        found = b"".join(map(known.__getitem__, self.atoms(GAP.join([*units, ""]))))
-        ends = (np.flatnonzero(np.frombuffer(found, "<u4") == 0xFFFFFFFF) * 4).tolist()
-        return [found[i:j] for i, j in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+        found = self.run(units, Known(of))
+        ends = np.flatnonzero(found == 0xFFFFFFFF).tolist()
+        return [found[i:j].tobytes() for i, j in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)] if units else []
+
+    def spelt(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """The bytes of ids, strip by strip; an end gives a gap's."""
+        for i in range(0, len(ids), STEP):
+            own = np.minimum(ids[i : i + STEP], len(self.bytes))
+            yield self.apart[taken(self.apart_at[own], self.apart_n[own])]
+
+    def odd(self, units: list[str], run: np.ndarray) -> list[int]:
+        """The numbers of the units that their ids in a run do not spell."""
+        want, at = GAP.join([*units, ""]).encode("utf-8", "surrogatepass"), 0
+        for got in self.spelt(run):
+            if got.tobytes() != want[at : at + len(got)]:
+                break
+            at += len(got)
+        else:
+            if at == len(want):
+                return []
+        ends = np.flatnonzero(run == 0xFFFFFFFF).tolist()
+        parts = (run[i:j] for i, j in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True))
+        return [k for k, (u, ids) in enumerate(zip(units, parts, strict=True)) if b"".join(x.tobytes() for x in self.spelt(ids)) != u.encode()]
 
     def strange(self, units: list[str], packed: list[bytes]) -> list[str]:
         """The units that their packed ids do not spell."""
+        return [units[k] for k in self.odd(units, np.frombuffer(b"".join(p + END for p in packed), "<u4"))]
 
-        def spelt(some: Iterable[bytes]) -> bytes:
-            ids = np.frombuffer(len(self.bytes).to_bytes(4, "little").join(some), "<u4").tolist()
-            return b"".join(map(self.apart.__getitem__, ids))
+    def rows(self) -> list[tuple[str, float, bytes]]:
+        return [(p, s, i.to_bytes(4, "little")) for p, (s, i) in self.score.items()]
 
-        if spelt(packed) == GAP.join(units).encode("utf-8", "surrogatepass"):
-            return []
-        return [u for u, p in zip(units, packed, strict=True) if spelt([p]) != u.encode()]
-
-    def rows(self) -> list[tuple[str, float, int]]:
-        return [(p, s, i) for p, (s, i) in self.score.items()]
+    def of_bytes(self, character: Column) -> Column:
+        """The packed ids of a character's bytes."""
+        if len(self.byte) < 256:
+            return F.raise_error(F.concat(F.lit("no piece, and no pieces of its bytes: "), character)).cast("binary")
+        ids, own = F.lit(b"".join(self.byte[b].to_bytes(4, "little") for b in range(256))), character.cast("binary")
+        at = [F.conv(F.hex(F.substr(own, F.lit(i + 1), F.lit(1))), 16, 10).cast("int") * 4 + 1 for i in range(4)]
+        return F.concat(*(F.when(F.octet_length(own) > i, F.substr(ids, at[i], F.lit(4))).otherwise(F.lit(b"")) for i in range(4)))
 
     def best(self, word: str) -> list[int]:
         """The recurrence of the fold, for one word."""
@@ -178,21 +204,21 @@ def words_of(text: str) -> list[str]:
 
 
 def lattice(words: DataFrame, spark: SparkSession, table_: Pieces) -> DataFrame:
-    """(word, path) of distinct words, which must come partitioned by word: then nothing is shuffled."""
-    pieces = spark.createDataFrame(table_.rows(), "piece string, score double, id int")
+    """(word, path) of distinct words, which must come partitioned by word: then nothing is shuffled. A path is its packed ids."""
+    pieces = spark.createDataFrame(table_.rows(), "piece string, score double, ids binary")
     ends = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("b"))
     edges = ends.select("word", "b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("b") - table_.longest), F.col("b") - 1)).alias("a"))
     edges = edges.withColumn("piece", F.substr("word", F.col("a") + 1, F.col("b") - F.col("a"))).join(F.broadcast(pieces), "piece", "left")
-    edges = edges.where(F.col("id").isNotNull() | (F.col("b") == F.col("a") + 1))
-    edge = F.struct("b", "a", F.coalesce("score", F.lit(table_.unknown)).alias("s"), F.coalesce("id", F.lit(-1) - F.expr("ascii(piece)")).alias("id"))
+    edges = edges.where(F.col("ids").isNotNull() | (F.col("b") == F.col("a") + 1))
+    edge = F.struct("b", "a", F.coalesce("score", F.lit(table_.unknown)).alias("s"), F.coalesce("ids", table_.of_bytes(F.col("piece"))).alias("ids"))
     grouped = edges.select("word", edge.alias("e")).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    none = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("path")))
+    none = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(b"").alias("path")))
 
     def reach(best: Column, e: Column) -> Column:
         """The best (score, path) to each place so far; edges come by end, then by begin. A place's first edge appends, a better one replaces."""
         s = best[e["a"]]["s"] + e["s"]
-        made = F.array(F.struct(s.alias("s"), F.concat(best[e["a"]]["path"], F.array(e["id"])).alias("path")))
-        return F.when(e["b"] == F.size(best), F.concat(best, made)).when(s > best[e["b"]]["s"], F.concat(F.slice(best, F.lit(1), e["b"]), made)).otherwise(best)
+        made = F.struct(s.alias("s"), F.concat(best[e["a"]]["path"], e["ids"]).alias("path"))
+        return F.when(e["b"] == F.size(best), F.array_append(best, made)).when(s > best[e["b"]]["s"], F.array_append(F.slice(best, F.lit(1), e["b"]), made)).otherwise(best)
 
     return grouped.select("word", F.element_at(F.aggregate("edges", none, reach), -1)["path"].alias("path"))
 
@@ -202,6 +228,41 @@ def numbers() -> defaultdict[str, int]:
     return defaultdict(count().__next__)
 
 
+def taken(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after another, that have these begins and lengths."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
+class Spelling:
+    """The ids of texts by those of their units: a unit is looked up once a text and spelled once."""
+
+    def __init__(self, pieces: Pieces, known: Known):
+        self.pieces, self.known = pieces, known
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = numbers()
+        self.ids, self.begin, self.n, self.odd = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Of each text the ids, and whether its units are spelled by theirs."""
+        if len(self.number) > HELD:
+            self.clear()
+        had = len(self.number)
+        held = [np.fromiter(map(self.number.__getitem__, units), np.int64, len(units)) for units in map(self.pieces.units, texts)]
+        fresh = [*islice(reversed(self.number), len(self.number) - had)][::-1]
+        run = self.pieces.run(fresh, self.known)
+        end = np.flatnonzero(run == 0xFFFFFFFF)
+        begin = np.append(-1, end[:-1])[: len(end)] + 1
+        odd = np.zeros(len(fresh), bool)
+        odd[self.pieces.odd(fresh, run)] = True
+        self.begin, self.n, self.odd = np.append(self.begin, begin + len(self.ids)), np.append(self.n, end - begin), np.append(self.odd, odd)
+        self.ids = np.append(self.ids, run)
+        some = self.odd.any()
+        for own in held:
+            yield self.ids[taken(self.begin[own], self.n[own])], not (some and self.odd[own].any())
+
+
 def atoms_of(units: dict[str, int], had: list[tuple[int, np.ndarray]], pieces: Pieces) -> tuple[pa.Array, pa.Array]:
     """The distinct atoms of units, and of each the blocks that have it: ``had`` lists (block, units). Each unit is cut once, however many blocks have it."""
     atom = numbers()
@@ -211,10 +272,8 @@ def atoms_of(units: dict[str, int], had: list[tuple[int, np.ndarray]], pieces: P
     begin = np.append(-1, end[:-1])[: len(end)] + 1
     held = []
     for k, own in had:
-        n = (end - begin)[own]
-        at = np.arange(n.sum()) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
         has = np.zeros(len(atom), bool)
-        has[flat[at]] = True
+        has[flat[taken(begin[own], (end - begin)[own])]] = True
         held.append(np.flatnonzero(has) << 32 | k)
     both = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
     both = both[np.diff(both, prepend=-1) > 0]
@@ -224,6 +283,16 @@ def atoms_of(units: dict[str, int], had: list[tuple[int, np.ndarray]], pieces: P
     return words.drop_null(), lists.filter(words.is_valid())
 
 
+def light(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (word, blocks, ...) in parts of ``HELD`` blocks, or of one word that has more."""
+    ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, HELD + (ends[i - 1] if i else 0), "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def held_by(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, blocks) of each task's atoms of documents (block, doc_id, text)."""
 
@@ -276,25 +345,28 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
         spark.conf.set(FALLBACK, before)
     often = held.groupBy("word").agg(F.sum(F.size("blocks")).alias("n")).orderBy(F.desc("n"), "word").limit(hot).select("word")
     often = stage.put(paths.join(F.broadcast(often), "word"), "hot")
-    known = spark.sparkContext.broadcast({r.word: pieces.packed(r.path) for r in often.collect()})
+    known = spark.sparkContext.broadcast({r.word: bytes(r.path) for r in often.collect()})
     rest = held.join(F.broadcast(often.select("word")), "word", "left_anti").join(paths, "word").select("word", "blocks", "path")
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages():
             held: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
             size, made = 0, TaskContext.get().partitionId() << 24
-            for b in batches:
-                for w, blocks, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    ids = pieces.packed(p)
-                    for k in blocks:
-                        x = held[k]
-                        x[0].append(w)
-                        x[1].append(ids)
-                    size += len(blocks)
-                    if size > HELD:
-                        yield from ((k, 1, made, x) for k, x in held.items())
-                        held.clear()
-                        size, made = 0, made + 1
+            for b in chain.from_iterable(map(light, batches)):
+                words, ids = b.column(0).to_pylist(), b.column(2).to_pylist()
+                blocks = b.column(1).flatten().to_numpy()
+                order = np.argsort(blocks, kind="stable")
+                row = np.repeat(np.arange(len(words)), b.column(1).value_lengths().to_numpy())[order].tolist()
+                keys, first = np.unique(blocks[order], return_index=True)
+                for k, i, j in zip(keys.tolist(), first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
+                    x = held[k]
+                    x[0].extend(map(words.__getitem__, row[i:j]))
+                    x[1].extend(map(ids.__getitem__, row[i:j]))
+                size += len(row)
+                if size > HELD:
+                    yield from ((k, 1, made, x) for k, x in held.items())
+                    held.clear()
+                    size, made = 0, made + 1
             yield from ((k, 1, made, x) for k, x in held.items())
 
         yield from sent(messages())
@@ -318,33 +390,32 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
         yield from sent(messages())
 
     def spell(key, held):
-        own_words = {w: p for _, (words, ps) in held.get(1, []) for w, p in zip(words, ps, strict=True)}
         hot_words = known.value
 
         def of(w: str) -> bytes:
             got = hot_words.get(w)
-            if got is None:
-                got = own_words.get(w)
             return pieces.packed(pieces.best(w)) if got is None else got  # over MOST characters
 
-        memo: dict[str, bytes] = {}
-        strange: set[str] = set()  # of the memo's units; a text without any comes back as it was
-        for _, (ids, texts) in held.get(2, []):
-            units = list(map(pieces.units, texts))
-            if len(memo) > HELD:
-                memo.clear()
-                strange.clear()
-            fresh = list(set().union(*units).difference(memo))
-            packed = pieces.spelled(fresh, of)
-            memo.update(zip(fresh, packed, strict=True))
-            strange.update(pieces.strange(fresh, packed))
-            for i, t, own in zip(ids, texts, units, strict=True):
-                found = b"".join(map(memo.__getitem__, own))
-                same = strange.isdisjoint(own) if strange else True
-                if with_ids or not same:
-                    out = np.frombuffer(found, "<u4").tolist()
-                    same = same or pieces.decode(out) == t.replace(MARK, " ")
-                yield i, len(found) // 4, zlib.crc32(found), same, *([out] if with_ids else [])
+        words = Known(of)
+        for _, (some, ids) in held.pop(1, []):
+            words.update(zip(some, ids, strict=True))
+        spelling = Spelling(pieces, words)
+        for ids, texts in steps(held.get(2, [])):
+            for i, t, (out, same) in zip(ids, texts, spelling.texts(texts), strict=True):
+                if not same:
+                    same = pieces.decode(out.tolist()) == t.replace(MARK, " ")
+                yield i, len(out), zlib.crc32(out), same, *([out.tolist()] if with_ids else [])
+
+    def steps(messages):
+        ids, texts, size = [], [], 0
+        for _, (some, own) in messages:
+            ids += some
+            texts += own
+            size += sum(map(len, own))
+            if size > TAKEN:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        yield ids, texts
 
     def rows(made):
         some: list[tuple] = []

@@ -193,3 +193,48 @@ def test_lattice_drops_what_is_used_up(spark, monkeypatch):
     out = encode(frame(spark, TEXTS), P.path("piece_bpe_32k.model"), hot=20)
     assert [x.name[4:] for x in Path(made[0].root.removeprefix("file:")).iterdir()] == ["bundles"]
     assert out.count() == len(TEXTS)
+
+
+def test_paths_of_the_lattice_are_packed_ids(spark):
+    """Nothing is left to do with them in Python, for characters without a piece either."""
+    from siltlog.llm.piece_lattice import lattice
+
+    pieces = Pieces(P.path("piece_bpe_32k.model"))
+    words = ["▁the", "ation", "▁onhaereth", "͸", "\U000e0001", "\x00", "é", "日本", "🔑"]
+    rows = lattice(spark.createDataFrame([(w,) for w in words], "word string"), spark, pieces).collect()
+    assert {r.word: bytes(r.path) for r in rows} == {w: pieces.packed(pieces.best(w)) for w in words}
+
+
+def test_units_of_a_block_are_spelled_once(monkeypatch):
+    """However its texts come, and however much is held."""
+    from siltlog.llm import piece_lattice as L
+
+    pieces = Pieces(P.path("piece_bpe_32k.model"))
+    of = lambda w: pieces.packed(pieces.best(w))
+    texts = [t or "" for t in TEXTS if len(t or "") < 5000]
+    want = [b"".join(pieces.spelled(pieces.units(t), of)) for t in texts]
+    cut, atoms = [], Pieces.atoms
+    monkeypatch.setattr(Pieces, "atoms", lambda self, s: cut.append(s) or atoms(self, s))
+    for held, step in ((L.HELD, 1), (L.HELD, len(texts)), (0, 2)):
+        monkeypatch.setattr(L, "HELD", held)
+        cut.clear()
+        spelling = L.Spelling(pieces, L.Known(of))
+        got = [x for i in range(0, len(texts), step) for x in spelling.texts(texts[i : i + step])]
+        assert [(ids.tobytes(), same) for ids, same in got] == [(w, True) for w in want]
+        units = [u for s in cut for u in s.split(L.GAP)[:-1]]
+        assert len(units) == len(set(units)) or not held
+    assert [*L.Spelling(pieces, L.Known(of)).texts([])] == []
+    wrong = L.Spelling(pieces, L.Known(lambda w: of("x" if w == "日" else w)))
+    assert [same for _, same in wrong.texts(["the cat", "the 日", "", "cat the"])] == [True, False, True, True]
+
+
+def test_words_of_many_blocks_are_bundled_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from siltlog.llm import piece_lattice as L
+
+    monkeypatch.setattr(L, "HELD", 4)
+    b = pa.RecordBatch.from_arrays([pa.array([*"abcdef"]), pa.array([[1], [2, 3], [1, 2], [*range(9)], [4], []], pa.list_(pa.int32()))], ["word", "blocks"])
+    assert [x.column(0).to_pylist() for x in L.light(b)] == [["a", "b"], ["c"], ["d"], ["e", "f"]]
+    assert [x.column(1).flatten().to_pylist() for x in L.light(b)] == [[1, 2, 3], [1, 2], [*range(9)], [4]]
+    assert [*L.light(b.slice(0, 0))] == []
