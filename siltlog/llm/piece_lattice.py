@@ -234,7 +234,7 @@ def taken(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Spelling:
-    """The ids of texts by those of their units: a unit is looked up once a text and spelled once."""
+    """The ids of texts by those of their units, numbered as they come: each is spelled once, until more than ``HELD`` are known and all are forgotten."""
 
     def __init__(self, pieces: Pieces, known: Known):
         self.pieces, self.known = pieces, known
