@@ -4,6 +4,7 @@ Texts are cut between two characters that stand side by side in no piece: no pie
 ("atoms", a word or less) are the lattice's words. The distinct atoms' substrings of bounded length are exploded and equi-joined to the piece table, the edges
 are grouped by atom, and a fold with Spark's higher-order ``aggregate`` keeps the best path to each place (Viterbi; of equal scores the longer last piece).
 A character without a piece costs the least score less 10 and becomes its bytes' pieces.
+A piece that scores less than other pieces that spell it is on no best path, as these could stand in its place: the lattice and the cuts leave it out.
 
 The table is a model file's pieces and scores, read as a unigram model: the result is the best path
 of the library's own lattice (its n-best search) when the file's model type is set to unigram. For a file trained as BPE this is the best-scoring segmentation, which can differ from its merges.
@@ -25,11 +26,12 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, rows_for, table, texts_of
+from .common import Stage, lean, rows_for, table, texts_of
 from .messages import MESSAGE, gathered, sent
 
 MARK = "▁"
@@ -39,8 +41,11 @@ MOST = 64
 HELD = 300_000
 #: Characters cut at once, and ids spelled out at once.
 STEP = 1 << 20
-#: Characters of a block's texts whose units are numbered at once.
-TAKEN = 1 << 21
+#: Characters of a block's texts whose units are known at once.
+TAKEN = 1 << 22
+#: Bytes or characters of texts whose units are numbered at once, and units cut or spelled at once.
+STRIP = 1 << 21
+LEARNT = 1 << 16
 #: Stands between units; no valid text holds it.
 GAP = "\ud800"
 #: Its packed id.
@@ -76,22 +81,34 @@ class Pieces:
         self.value = {i: b for b, i in self.byte.items()}
         self.unknown = min(s for s, _ in self.score.values()) - 10
         self.longest = max(map(len, self.score))
+        self.used = {p: s for p, (s, _) in self.score.items() if self.split(p) <= s + 1e-6 * abs(s)}
         if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.score):
             raise ValueError("a piece crosses a word's boundary")
         # a number for each character of pieces of two and more (0: none of them), and which pairs of them stand side by side in a piece
-        joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        joined = {p[i : i + 2] for p in self.used for i in range(len(p) - 1)}
         number = {c: i + 1 for i, c in enumerate(sorted(set("".join(joined))))}
-        self.number = np.zeros(0x110000, np.int64)
+        self.number = np.zeros(0x110000, np.int32)
         for c, i in number.items():
             self.number[ord(c)] = i
         self.side = np.zeros((len(number) + 1, len(number) + 1), bool)
         for a, b in joined:
             self.side[number[a], number[b]] = True
+        self.alone = next(chr(i) for i in range(1, 0xD800) if not self.number[i])
         self.bytes = [bytes([self.value[i]]) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
-        apart = [*self.bytes, GAP.encode("utf-8", "surrogatepass")]  # no text's bytes hold the last one
+        apart = [*self.bytes, b" "]  # no unit holds a blank
         self.apart, self.apart_n = np.frombuffer(b"".join(apart), np.uint8), np.array([len(b) for b in apart])
         self.apart_at = np.cumsum(self.apart_n) - self.apart_n
 
+    def split(self, piece: str) -> float:
+        """The best score of two or more pieces that spell this one."""
+        n = len(piece)
+        best = [0.0] + [-np.inf] * n
+        for b in range(1, n + 1):
+            for a in range(b):
+                if b - a < n and (got := self.score.get(piece[a:b])) and best[a] + got[0] > best[b]:
+                    best[b] = best[a] + got[0]
+        return best[n]
+
     def units(self, text: str) -> list[str]:
         """The text's parts from one blank, as a mark, to the next; where a piece holds two marks, runs of blanks stay with what follows."""
         if not text:
@@ -101,6 +118,23 @@ class Pieces:
             return words_of(text)
         return (MARK + text.replace(" ", GAP + MARK)).split(GAP)
 
+    def numbered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct ``units`` of texts, the number of each unit of one text after another, and how many units each text has."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARK, " ")
+        mark, none = pa.scalar(MARK, pa.large_string()), pa.scalar("", pa.large_string())
+        parts = pc.split_pattern(pc.binary_join_element_wise(mark, pc.replace_substring(texts, " ", " " + MARK), none), " ")
+        other = pc.equal(texts, "")
+        if self.side[self.number[ord(MARK)], self.number[ord(MARK)]]:
+            other = pc.or_(other, pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")))
+        rows = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+        if len(rows):
+            order = np.arange(len(texts))
+            order[rows] = len(texts) + np.arange(len(rows))
+            own = pa.array([*map(self.units, texts.take(pa.array(rows)).to_pylist())], parts.type)
+            parts = pa.concat_arrays([parts, own]).take(pa.array(order))
+        flat = parts.flatten().dictionary_encode()
+        return flat.dictionary, flat.indices.to_numpy(), parts.value_lengths().to_numpy()
+
     def atoms(self, s: str) -> list[str]:
         """A marked string, cut wherever two characters stand side by side in no piece; a gap is a part by itself."""
         out: list[str] = []
@@ -108,7 +142,7 @@ class Pieces:
         before = 0
         for at in range(0, len(s), STEP):
             part = s[at : at + STEP]
-            numbers = self.number.take(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))
+            numbers = self.number.take(np.frombuffer(part.replace(GAP, self.alone).encode("utf-32-le", "surrogatepass"), "<u4"))
             cuts = (np.flatnonzero(~self.side.ravel().take(numbers[:-1] * len(self.side) + numbers[1:])) + 1).tolist()
             got = [part[i:j] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)]
             if open_ and not self.side[before, numbers[0]]:
@@ -135,14 +169,14 @@ class Pieces:
         return [found[i:j].tobytes() for i, j in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)] if units else []
 
     def spelt(self, ids: np.ndarray) -> Iterator[np.ndarray]:
-        """The bytes of ids, strip by strip; an end gives a gap's."""
+        """The bytes of ids, strip by strip; an end gives a blank's."""
         for i in range(0, len(ids), STEP):
             own = np.minimum(ids[i : i + STEP], len(self.bytes))
             yield self.apart[taken(self.apart_at[own], self.apart_n[own])]
 
     def odd(self, units: list[str], run: np.ndarray) -> list[int]:
         """The numbers of the units that their ids in a run do not spell."""
-        want, at = GAP.join([*units, ""]).encode("utf-8", "surrogatepass"), 0
+        want, at = " ".join([*units, ""]).encode(), 0
         for got in self.spelt(run):
             if got.tobytes() != want[at : at + len(got)]:
                 break
@@ -158,9 +192,6 @@ class Pieces:
         """The units that their packed ids do not spell."""
         return [units[k] for k in self.odd(units, np.frombuffer(b"".join(p + END for p in packed), "<u4"))]
 
-    def rows(self) -> list[tuple[str, float, bytes]]:
-        return [(p, s, i.to_bytes(4, "little")) for p, (s, i) in self.score.items()]
-
     def of_bytes(self, character: Column) -> Column:
         """The packed ids of a character's bytes."""
         if len(self.byte) < 256:
@@ -204,21 +235,29 @@ def words_of(text: str) -> list[str]:
 
 
 def lattice(words: DataFrame, spark: SparkSession, table_: Pieces) -> DataFrame:
-    """(word, path) of distinct words, which must come partitioned by word: then nothing is shuffled. A path is its packed ids."""
-    pieces = spark.createDataFrame(table_.rows(), "piece string, score double, ids binary")
+    """(word, path) of distinct words, which must come partitioned by word: then nothing is shuffled. A path is its packed ids.
+
+    An edge is one number: its end, its begin, then 21 bits for its piece, or their count for a character without one."""
+    used, longest = [*table_.used], max(map(len, table_.used))
+    pieces = spark.createDataFrame([*zip(used, range(len(used)), strict=True)], "piece string, i long")
+    scores = F.split(F.lit(",".join(map(repr, [*table_.used.values(), table_.unknown]))), ",").cast("array<double>")
+    packed = F.lit(b"".join(table_.score[p][1].to_bytes(4, "little") for p in used))
     ends = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("b"))
-    edges = ends.select("word", "b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("b") - table_.longest), F.col("b") - 1)).alias("a"))
+    edges = ends.select("word", "b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("b") - longest), F.col("b") - 1)).alias("a"))
     edges = edges.withColumn("piece", F.substr("word", F.col("a") + 1, F.col("b") - F.col("a"))).join(F.broadcast(pieces), "piece", "left")
-    edges = edges.where(F.col("ids").isNotNull() | (F.col("b") == F.col("a") + 1))
-    edge = F.struct("b", "a", F.coalesce("score", F.lit(table_.unknown)).alias("s"), F.coalesce("ids", table_.of_bytes(F.col("piece"))).alias("ids"))
+    edges = edges.where(F.col("i").isNotNull() | (F.col("b") == F.col("a") + 1))
+    edge = F.shiftleft(F.col("b").cast("long"), 42) + F.shiftleft(F.col("a").cast("long"), 21) + F.coalesce("i", F.lit(len(used)))
     grouped = edges.select("word", edge.alias("e")).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     none = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(b"").alias("path")))
 
     def reach(best: Column, e: Column) -> Column:
         """The best (score, path) to each place so far; edges come by end, then by begin. A place's first edge appends, a better one replaces."""
-        s = best[e["a"]]["s"] + e["s"]
-        made = F.struct(s.alias("s"), F.concat(best[e["a"]]["path"], e["ids"]).alias("path"))
-        return F.when(e["b"] == F.size(best), F.array_append(best, made)).when(s > best[e["b"]]["s"], F.array_append(F.slice(best, F.lit(1), e["b"]), made)).otherwise(best)
+        b, i = F.shiftright(e, 42).cast("int"), e.bitwiseAND((1 << 21) - 1).cast("int")
+        from_ = best[F.shiftright(e, 21).bitwiseAND((1 << 21) - 1).cast("int")]
+        s = from_["s"] + scores[i]
+        ids = F.when(i < len(used), F.substr(packed, i * 4 + 1, F.lit(4))).otherwise(table_.of_bytes(F.substr("word", b, F.lit(1))))
+        made = F.struct(s.alias("s"), F.concat(from_["path"], ids).alias("path"))
+        return F.when(b == F.size(best), F.array_append(best, made)).when(s > best[b]["s"], F.array_append(F.slice(best, F.lit(1), b), made)).otherwise(best)
 
     return grouped.select("word", F.element_at(F.aggregate("edges", none, reach), -1)["path"].alias("path"))
 
@@ -233,56 +272,99 @@ def taken(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, of numbers from 0; numpy's own ``unique`` hashes, which takes longer."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) > 0]
+
+
+def listed(units: pa.Array) -> list[str]:
+    """Units, which hold no blanks, as a list."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units)
+    return pc.binary_join(whole, pa.scalar(" ", units.type))[0].as_py().split(" ") if len(units) else []
+
+
 class Spelling:
-    """The ids of texts by those of their units, numbered as they come: each is spelled once, until more than ``HELD`` are known and all are forgotten."""
+    """The ids of texts by those of their units: each unit is spelled once, until more than ``HELD`` are known as texts come and all are forgotten."""
 
     def __init__(self, pieces: Pieces, known: Known):
         self.pieces, self.known = pieces, known
         self.clear()
 
     def clear(self) -> None:
-        self.number = numbers()
+        self.units = pa.array([], pa.large_string())
         self.ids, self.begin, self.n, self.odd = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def learn(self, units: pa.Array) -> None:
+        """Spells units after those that are known."""
+        parts = [(self.ids, self.begin, self.n, self.odd)]
+        at = len(self.ids)
+        for i in range(0, len(units), LEARNT):
+            fresh = listed(units[i : i + LEARNT])
+            run = self.pieces.run(fresh, self.known)
+            end = np.flatnonzero(run == 0xFFFFFFFF)
+            begin = np.append(-1, end[:-1]) + 1
+            odd = np.zeros(len(fresh), bool)
+            odd[self.pieces.odd(fresh, run)] = True
+            parts.append((run, begin + at, end - begin, odd))
+            at += len(run)
+        self.ids, self.begin, self.n, self.odd = map(np.concatenate, zip(*parts, strict=True))
+
     def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
         """Of each text the ids, and whether its units are spelled by theirs."""
-        if len(self.number) > HELD:
+        if len(self.units) > HELD:
             self.clear()
-        had = len(self.number)
-        held = [np.fromiter(map(self.number.__getitem__, units), np.int64, len(units)) for units in map(self.pieces.units, texts)]
-        fresh = [*islice(reversed(self.number), len(self.number) - had)][::-1]
-        run = self.pieces.run(fresh, self.known)
-        end = np.flatnonzero(run == 0xFFFFFFFF)
-        begin = np.append(-1, end[:-1])[: len(end)] + 1
-        odd = np.zeros(len(fresh), bool)
-        odd[self.pieces.odd(fresh, run)] = True
-        self.begin, self.n, self.odd = np.append(self.begin, begin + len(self.ids)), np.append(self.n, end - begin), np.append(self.odd, odd)
-        self.ids = np.append(self.ids, run)
-        some = self.odd.any()
-        for own in held:
-            yield self.ids[taken(self.begin[own], self.n[own])], not (some and self.odd[own].any())
-
-
-def atoms_of(units: dict[str, int], had: list[tuple[int, np.ndarray]], pieces: Pieces) -> tuple[pa.Array, pa.Array]:
+        strip = [self.pieces.numbered(pa.array(texts[i:j], pa.large_string())) for i, j in strips(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        had = len(self.units)
+        both = pa.concat_arrays([self.units, *(units for units, _, _ in strip)]).dictionary_encode()
+        number, self.units = np.split(both.indices.to_numpy()[had:], np.cumsum([len(units) for units, _, _ in strip])), both.dictionary
+        strip = [(own, flat, n) for own, (_, flat, n) in zip(number, strip, strict=False)]
+        self.learn(self.units[had:])
+        for own, flat, n in strip:
+            own = own[flat]
+            ids = self.ids[taken(self.begin[own], self.n[own])]
+            last = np.cumsum(n)
+            ends, odds = (np.append(0, np.cumsum(x[own]))[[last - n, last]] for x in (self.n, self.odd))
+            for i, j, same in zip(*ends.tolist(), (odds[0] == odds[1]).tolist(), strict=True):
+                yield ids[i:j], same
+
+
+def atoms_of(units: Iterable[str], had: list[tuple[int, np.ndarray]], pieces: Pieces) -> tuple[pa.Array, pa.Array]:
     """The distinct atoms of units, and of each the blocks that have it: ``had`` lists (block, units). Each unit is cut once, however many blocks have it."""
     atom = numbers()
     gap = atom[GAP]
-    flat = np.fromiter(map(atom.__getitem__, pieces.atoms(GAP.join([*units, ""]))), np.int64)
+    rest, parts = iter(units), [np.zeros(0, np.int32)]
+    while some := [*islice(rest, LEARNT)]:
+        parts.append(np.fromiter(map(atom.__getitem__, pieces.atoms(GAP.join([*some, ""]))), np.int32))
+    flat = np.concatenate(parts)
     end = np.flatnonzero(flat == gap)
     begin = np.append(-1, end[:-1])[: len(end)] + 1
     held = []
     for k, own in had:
-        has = np.zeros(len(atom), bool)
-        has[flat[taken(begin[own], (end - begin)[own])]] = True
-        held.append(np.flatnonzero(has) << 32 | k)
-    both = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
-    both = both[np.diff(both, prepend=-1) > 0]
+        got = flat[taken(begin[own], (end - begin)[own])]
+        if 8 * len(got) > len(atom):
+            has = np.zeros(len(atom), bool)
+            has[got] = True
+            held.append(np.flatnonzero(has) << 32 | k)
+        else:
+            held.append(distinct(got.astype(np.int64)) << 32 | k)
+    both = distinct(np.concatenate([np.zeros(0, np.int64), *held]))
     words = [w if len(w) <= MOST and w != GAP else None for w in atom]
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(both, np.arange(len(atom) + 1) << 32), pa.int32()), pa.array(both & 0xFFFFFFFF, pa.int32()))
     words = pa.array(words, pa.string())
     return words.drop_null(), lists.filter(words.is_valid())
 
 
+def strips(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begins and ends of parts of a size of ``STRIP``, or of one text that has more."""
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, STRIP + (ends[i - 1] if i else 0), "right")))
+        yield i, j
+        i = j
+
+
 def light(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows (word, blocks, ...) in parts of ``HELD`` blocks, or of one word that has more."""
     ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
@@ -297,34 +379,39 @@ def held_by(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, blocks) of each task's atoms of documents (block, doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, had = numbers(), []  # of each block's texts, the numbers of their units
-        size = 0
+        had: list[tuple[pa.Array, np.ndarray]] = []  # of each strip its distinct units, and the distinct (block, unit)
+
+        def merge():
+            units = pa.concat_arrays([x for x, _ in had]).dictionary_encode()
+            number, at = units.indices.to_numpy(), np.cumsum([0, *(len(x) for x, _ in had)])
+            both = distinct(np.concatenate([k >> 32 << 32 | number[i + (k & 0xFFFFFFFF)] for i, (_, k) in zip(at, had, strict=False)]))
+            had[:] = [(units.dictionary, both)]
+
+        def more(units: int, both: int) -> bool:
+            return sum(len(x) for x, _ in had) > units * HELD or sum(len(k) for _, k in had) > both * HELD
 
         def out():
-            nonlocal units
-            words, lists = atoms_of(units, had, pieces)
-            units = numbers()
-            had.clear()
+            merge()
+            units, both = had.pop()
+            first = np.flatnonzero(np.diff(both >> 32, prepend=-1))
+            each = chain.from_iterable(listed(units[i : i + LEARNT]) for i in range(0, len(units), LEARNT))
+            words, lists = atoms_of(each, [(int(own[0] >> 32), own & 0xFFFFFFFF) for own in np.split(both, first[1:]) if len(own)], pieces)
             for i in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([words[i : i + (1 << 16)], lists[i : i + (1 << 16)]], ["word", "blocks"])
 
         for b in batches:
-            of = defaultdict(list)
-            for row, k in enumerate(b.column(0).to_pylist()):
-                of[k].append(row)
-            for k, rows in of.items():
-                own: set[str] = set()
-                for t in texts_of(b.column(2).take(pa.array(rows))):
-                    own.update(pieces.units(t))
-                had.append((k, np.fromiter(map(units.__getitem__, own), np.int64, len(own))))
-                size += len(own)
-                if len(units) > 3 * HELD or size > 8 * HELD:
-                    yield from out()
-                    size = 0
+            blocks = b.column(0).to_numpy().astype(np.int64)
+            for i, j in strips(pc.binary_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                units, flat, n = pieces.numbered(b.column(2)[i:j])
+                had.append((units, distinct(np.repeat(blocks[i:j] << 32, n) | flat)))
+                if more(4, 12):
+                    merge()
+                    if more(3, 8):
+                        yield from out()
         if had:
             yield from out()
 
-    return docs.mapInArrow(run, "word string, blocks array<int>")
+    return docs.mapInArrow(lean(run), "word string, blocks array<int>")
 
 
 def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -332,7 +419,7 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     pieces = Pieces(model)
-    parts = rows_for(own.count(), 8192, 12)
+    parts = rows_for(own.count(), 4096, 12)
     own = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"), "doc_id", "text")
     stage = Stage(spark, "lattice")
     held = stage.put(held_by(own, pieces), "held")
@@ -390,15 +477,14 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
         yield from sent(messages())
 
     def spell(key, held):
-        hot_words = known.value
-
         def of(w: str) -> bytes:
-            got = hot_words.get(w)
-            return pieces.packed(pieces.best(w)) if got is None else got  # over MOST characters
+            return pieces.packed(pieces.best(w))  # over MOST characters
 
         words = Known(of)
-        for _, (some, ids) in held.pop(1, []):
-            words.update(zip(some, ids, strict=True))
+        words.update(known.value)
+        bundles = held.pop(1, [])
+        while bundles:
+            words.update(zip(*bundles.pop()[1], strict=True))
         spelling = Spelling(pieces, words)
         for ids, texts in steps(held.get(2, [])):
             for i, t, (out, same) in zip(ids, texts, spelling.texts(texts), strict=True):
@@ -408,7 +494,9 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
 
     def steps(messages):
         ids, texts, size = [], [], 0
-        for _, (some, own) in messages:
+        messages.reverse()
+        while messages:
+            some, own = messages.pop()[1]
             ids += some
             texts += own
             size += sum(map(len, own))
@@ -434,8 +522,8 @@ def encode(docs: DataFrame, model: str, hot: int = 200_000, id_col: str = "doc_i
         if some:
             yield out()
 
-    texts = own.mapInArrow(text_messages, MESSAGE)
-    bundles = stage.put(rest.mapInArrow(bundle, MESSAGE), "bundles")
+    texts = own.mapInArrow(lean(text_messages), MESSAGE)
+    bundles = stage.put(rest.mapInArrow(lean(bundle), MESSAGE), "bundles")
     stage.drop(held, paths, often)  # before the texts take their room
     return gathered([bundles, texts], parts, spell, OUT + (", ids array<int>" if with_ids else ""), rows)
 

@@ -238,3 +238,50 @@ def test_words_of_many_blocks_are_bundled_in_parts(monkeypatch):
     assert [x.column(0).to_pylist() for x in L.light(b)] == [["a", "b"], ["c"], ["d"], ["e", "f"]]
     assert [x.column(1).flatten().to_pylist() for x in L.light(b)] == [[1, 2, 3], [1, 2], [*range(9)], [4]]
     assert [*L.light(b.slice(0, 0))] == []
+
+
+def test_pieces_that_others_spell_better_stay_out_of_the_lattice():
+    """They are on no best path, so the paths are those of the whole table."""
+    pieces, r = Pieces(P.path("piece_bpe_32k.model")), random.Random(7)
+    out = [p for p in pieces.score if p not in pieces.used]
+    assert out and pieces.used and max(map(len, out)) > 1
+    for p in r.sample(out, 200):
+        path = pieces.best(p)
+        assert sum(pieces.score[pieces.pieces[i]][0] for i in path) > pieces.score[p][0]
+    words = {w for t in TEXTS for w in words_of((t or "")[:4000])} | {"".join(r.sample(out, 3)) for _ in range(300)}
+    assert not {pieces.pieces[i] for w in words for i in pieces.best(w) if i >= 0} & {*out}
+
+
+@pytest.mark.parametrize("strip", [1, 50, 1 << 21])
+def test_units_are_numbered_as_they_are_cut(monkeypatch, strip):
+    """Of whole columns at once, nulls, empty texts and runs of blanks included, and by each task in parts."""
+    import pyarrow as pa
+
+    from siltlog.llm import piece_lattice as L
+
+    monkeypatch.setattr(L, "STRIP", strip)
+    monkeypatch.setattr(L, "LEARNT", 7)
+    pieces = Pieces(P.path("piece_bpe_32k.model"))
+    texts = [t if t is None else t[:300] for t in TEXTS] + [" ", "  ", " a", "a  b", "a ", f"{MARK} x", "\n"]
+    units, flat, n = pieces.numbered(pa.array(texts))
+    got = [L.listed(units)[i] for i in flat]
+    assert [got[j - k : j] for j, k in zip(np.cumsum(n), n, strict=True)] == [pieces.units(t or "") for t in texts]
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    blocks = [i % 3 for i in range(len(texts))]
+    b = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(range(len(texts))), pa.array(texts)], ["block", "doc_id", "text"])
+    want = defaultdict(set)
+    for k, t in zip(blocks, texts, strict=True):
+        for w in pieces.atoms(L.GAP.join([*pieces.units(t or ""), ""])):
+            if w != L.GAP and len(w) <= L.MOST:
+                want[w].add(k)
+    for held in (L.HELD, 3):
+        monkeypatch.setattr(L, "HELD", held)
+        found = defaultdict(set)
+        for x in L.held_by(Docs(), pieces)(iter([b, b.slice(0, 0)])):
+            for w, ks in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                found[w].update(ks)
+        assert found == want
